@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sonolith.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordered",)
+MODULES = ("ordered", "verbs")
 
 
 def load() -> tuple[dict, dict]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.functions.scalars import finite
@@ -75,8 +75,8 @@ def consistent_peak(peaks: DataFrame, tolerance: float, k_least: int, key: str =
 
     The largest set begins at some peak, so each peak counts those from itself to itself + tolerance.
     """
-    w = Window.partitionBy(key).orderBy(value).rangeBetween(0, tolerance)
-    per = peaks.withColumn("k", F.count(F.lit(1)).over(w)).groupBy(key).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n_sig"), F.median(value).alias("median_peak"))
+    ahead = f"count(*) over (partition by {key} order by {value} range between current row and {float(tolerance)!r}D following)"
+    per = peaks.withColumn("k", F.expr(ahead)).groupBy(key).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n_sig"), F.median(value).alias("median_peak"))
     return per.where((F.col("n_sig") >= 2) & (F.col("k") >= k_least) & (F.col("k") / F.col("n_sig") > 0.5))
 
 

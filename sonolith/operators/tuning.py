@@ -17,8 +17,8 @@ def occupancy(frames: DataFrame, feature: str, low: float, high: float, n: int,
 def occupancy_2d(frames: DataFrame, x: str, y: str, low: float, high: float, n_side: int, fps: float, keys: tuple[str, ...]) -> DataFrame:
     """Seconds in each cell of a square grid, bins (low, high] on both axes."""
     edges = linear_edges(low, high, n_side)
-    out = frames.withColumns({"bx": open_closed_bin(F.col(x), edges), "by": open_closed_bin(F.col(y), edges)}).where("bx is not null and by is not null")
-    return out.groupBy(*keys, "bx", "by").agg((F.count(F.lit(1)) / F.lit(fps)).alias("seconds"))
+    out = frames.withColumns({"gx": open_closed_bin(F.col(x), edges), "gy": open_closed_bin(F.col(y), edges)}).where("gx is not null and gy is not null")
+    return out.groupBy(*keys, "gx", "gy").agg((F.count(F.lit(1)) / F.lit(fps)).alias("seconds"))
 
 
 def rate_map(frames: DataFrame, spikes: DataFrame, feature: str, low: float, high: float, n: int, fps: float, keys: tuple[str, ...], unit: str = "unit_id", shuffles: DataFrame | None = None, n_frames: int | None = None) -> DataFrame:
@@ -76,9 +76,9 @@ def information(curve: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def coherence(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Correlation of each cell's rate with the mean of its neighbours, eight at most."""
     steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)])
-    lent = grid.withColumn("s", F.explode(steps)).select(*keys, (F.col("bx") + F.col("s.dx")).alias("bx"), (F.col("by") + F.col("s.dy")).alias("by"), "rate")
-    around = lent.groupBy(*keys, "bx", "by").agg(F.avg("rate").alias("around"))
-    return grid.join(around, [*keys, "bx", "by"]).groupBy(*keys).agg(F.corr("rate", "around").alias("coherence"))
+    lent = grid.withColumn("s", F.explode(steps)).select(*keys, (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), "rate")
+    around = lent.groupBy(*keys, "gx", "gy").agg(F.avg("rate").alias("around"))
+    return grid.join(around, [*keys, "gx", "gy"]).groupBy(*keys).agg(F.corr("rate", "around").alias("coherence"))
 
 
 def ranked(rows: DataFrame, value: str, keys: tuple[str, ...], out: str) -> DataFrame:

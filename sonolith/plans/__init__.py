@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sonolith.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordered", "verbs")
+MODULES = ("ordered", "verbs", "curves")
 
 
 def load() -> tuple[dict, dict]:

@@ -14,17 +14,37 @@ from functools import cache
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Code points of the first four planes.
+_PLANES = 0x40000
 # Unicode's White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The contractions of the pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+def _matching(pattern: str, text: str) -> list[int]:
+    """Code points of the text that match, by the regular expressions of the tokenizers library."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    left = {ch for piece, _ in Split(Regex(pattern), behavior="removed").pre_tokenize_str(text) for ch in piece}
+    return [ord(ch) for ch in text if ch not in left]
+
+
 @cache
 def classes() -> np.ndarray:
-    """For each code point: letter, number, white space or other."""
+    """For each code point: letter, number, white space or other.
+
+    Python's tables may be older than the library's, so code points that Python does not know are
+    asked of the library; those behind the fourth plane are no text.
+    """
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), dtype=np.uint8)
+    name = [unicodedata.category(chr(i)) for i in range(_PLANES)]
+    out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    out[:_PLANES] = [kind.get(c[0], OTHER) for c in name]
+    unknown = "".join(chr(i) for i, c in enumerate(name) if c == "Cn")
+    for pattern, k in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        out[_matching(pattern, unknown)] = k
     out[WHITE_SPACE] = SPACE
     return out
 

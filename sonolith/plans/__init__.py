@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sonolith.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordered", "verbs", "curves", "kernels", "streams")
+MODULES = ("ordered", "verbs", "curves", "kernels", "streams", "summaries")
 
 
 def load() -> tuple[dict, dict]:

@@ -186,7 +186,8 @@ def lattice_posterior(atlas: np.ndarray, data: np.ndarray) -> np.ndarray:
 def lattice_embedding(posterior: np.ndarray, lattice: np.ndarray) -> np.ndarray:
     """Posterior mean on the unit torus, by angles, in [0, 1)."""
     a = 2 * np.pi * lattice
-    return np.mod(np.arctan2(posterior @ np.sin(a), posterior @ np.cos(a)) / (2 * np.pi), 1)
+    out = np.mod(np.arctan2(posterior @ np.sin(a), posterior @ np.cos(a)) / (2 * np.pi), 1)
+    return np.where(out < 1, out, 0.0)  # a tiny negative angle comes out as 1
 
 
 def modes(weight: np.ndarray, mean: np.ndarray, sd: np.ndarray, apart: float = 1e-4) -> list[float]:

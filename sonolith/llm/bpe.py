@@ -205,17 +205,41 @@ class Ranks:
         return self.spelled[np.arange(first[-1]) + np.repeat(self.at[ids] - first[:-1], size)].tobytes()
 
 
-class PieceCache(dict):
-    """piece -> its ids as bytes (uint32, lowest byte first); holds REMEMBERED pieces at most between batches."""
+class PieceCache:
+    """piece -> its ids as bytes (uint32, lowest byte first), for the pieces met lately.
+
+    Two generations: when the young one is full the old one goes, and what is used of the old one
+    becomes young again, so frequent pieces stay. Holds 2 * REMEMBERED pieces, beside one batch.
+    """
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
 
     def ids(self, pieces: list[str], encode) -> list[bytes]:
         """``encode`` gives the ids of the pieces that are not remembered."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(set(pieces).difference(self))
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        own: dict[str, bytes] = dict.fromkeys(pieces)  # small, so that looking up each piece stays near
+        new = []
+        for p in own:
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    new.append(p)
+                    continue
+                young[p] = ids
+            own[p] = ids
         if new:
-            self.update(zip(new, encode(new), strict=True))
-        return [self[p] for p in pieces]
+            fresh = dict(zip(new, encode(new), strict=True))
+            own.update(fresh)
+            young.update(fresh)
+        return list(map(own.__getitem__, pieces))
 
 
 @cache

@@ -231,8 +231,22 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the row with the least id stays, with all its columns.
 
-    Ids are those of distinct rows (null ids: all rows of a component without any other id stay).
+    Of rows that repeat both id and text one stays, that with the least hash of its columns. Rows
+    without an id can't be told apart and all stay. An id should have one text; where it has
+    several, each goes if any of them is in a component with a lesser id.
     """
-    marked = near_components(df, id_col, text_col)
-    gone = marked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return df.join(gone.distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    inner = df.toDF(*columns)
+    id_at, text_at = columns[df.columns.index(id_col)], columns[df.columns.index(text_col)]
+    marked = cut(near_components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id"))
+    gone = marked.where(F.col("id") != F.col("component_id")).select("id").distinct()
+    twice = marked.groupBy("id").count().where("count > 1 and id is not null").select("id")
+    left = inner.join(gone, F.col(id_at) == F.col("id"), "left_anti")
+    once = left.join(twice, F.col(id_at) == F.col("id"), "left_anti")
+    again = (
+        left.join(twice, F.col(id_at) == F.col("id"), "left_semi")
+        .groupBy(id_at, F.xxhash64(text_at).alias("h"))
+        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+        .select("row.*")
+    )
+    return once.unionByName(again).toDF(*df.columns)

@@ -186,9 +186,11 @@ def test_components_of_documents(spark):
 
 def test_near_copies_leave_one(spark):
     body = " ".join(f"w{i}" for i in range(300))
-    df = docs(spark, [(5, body), (6, body), (7, "nothing like it at all"), (4, body.upper())])
-    out = simhash.drop_near(df)
-    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [4, 7]
+    df = docs(spark, [(5, body), (6, body), (7, "nothing like it at all"), (4, body.upper()), (4, body.upper()), (None, body), (7, "nothing like it at all")])
+    out = simhash.drop_near(df.withColumnRenamed("source", "ID"))
+    assert out.columns == [c.replace("source", "ID") for c in df.columns]
+    assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 4, 7]
+    assert simhash.drop_near(df.limit(0)).collect() == []
 
 
 def test_components_of_chains_and_stars(spark):

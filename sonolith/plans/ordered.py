@@ -23,7 +23,7 @@ def _intervals_sql(before: str) -> str:
         SELECT session_id, sex, start, lag(sex) OVER w AS sex0, lag({before}) OVER w AS from_s FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY row_idx)
     ), d AS (SELECT session_id, sex, start - from_s AS i FROM l WHERE sex = sex0 AND sex IN ('male', 'female'))
     SELECT session_id, sex, count(*) FILTER (i > 0) AS n, count(*) FILTER (i <= 0) AS n_dropped,
-           round(quantile_cont(i, 0.5) FILTER (i > 0), 6) AS median_s, round(avg(ln(CASE WHEN i > 0 THEN i END)), 6) AS mean_log
+           round(quantile_cont(i, 0.5) FILTER (i > 0), 7) AS median_s, round(avg(ln(CASE WHEN i > 0 THEN i END)), 6) AS mean_log
     FROM d GROUP BY ALL"""
 
 
@@ -31,7 +31,7 @@ def _intervals(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     d = I.same_emitter_intervals(A.calls(spark, sf), mode)
     kept = F.when(~F.col("dropped"), F.col("interval_s"))
     return d.groupBy("session_id", "sex").agg(
-        F.count(kept).alias("n"), F.count_if("dropped").alias("n_dropped"), r6(F.median(kept)).alias("median_s"), r6(F.avg("log_interval")).alias("mean_log")
+        F.count(kept).alias("n"), F.count_if("dropped").alias("n_dropped"), r6(F.median(kept), 7).alias("median_s"), r6(F.avg("log_interval")).alias("mean_log")
     )
 
 

@@ -125,10 +125,10 @@ def _curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_CURVE + """, t AS (SELECT *, seconds / sum(seconds) OVER w AS p, sum(rate * seconds) OVER w / sum(seconds) OVER w AS m FROM full_ WINDOW w AS (PARTITION BY session_id, unit_id))
-    SELECT session_id, unit_id, round(sum(CASE WHEN rate > 0 AND m > 0 THEN p * rate * log2(rate / m) ELSE 0 END), 6) AS info_rate, round(sum(p * rate) * sum(p * rate) / CASE WHEN sum(p * rate * rate) = 0 THEN NULL ELSE sum(p * rate * rate) END, 6) AS sparsity FROM t GROUP BY ALL""")
+    SELECT session_id, unit_id, round(sum(CASE WHEN rate > 0 AND m > 0 THEN p * rate * log2(rate / m) ELSE 0 END), 9) AS info_rate, round(sum(p * rate) * sum(p * rate) / CASE WHEN sum(p * rate * rate) = 0 THEN NULL ELSE sum(p * rate * rate) END, 9) AS sparsity FROM t GROUP BY ALL""")
 def skaggs_information(spark: SparkSession, sf: str) -> DataFrame:
     i = U.information(_curve(spark, sf), ("session_id", "unit_id"))
-    return i.withColumns({"info_rate": r6("info_rate"), "sparsity": r6("sparsity")})
+    return i.withColumns({"info_rate": r6("info_rate", 9), "sparsity": r6("sparsity", 9)})
 
 
 @query(_CURVE + " SELECT session_id, unit_id, round((max(rate) - min(rate)) / CASE WHEN max(rate) + min(rate) = 0 THEN NULL ELSE max(rate) + min(rate) END, 6) AS selectivity FROM full_ GROUP BY ALL")

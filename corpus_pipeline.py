@@ -11,7 +11,7 @@ from sonolith.llm import exact_dedup, language_id, packing, simhash, toxicity
 from sonolith.llm.common import checkpoint_dir
 
 #: Cosine with the nearest language below which a text counts as no language at all.
-LEAST_COSINE = 0.1
+LEAST_COSINE = 0.03
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

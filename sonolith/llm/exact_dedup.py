@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sonolith.llm.common import cut, named, utf8_size
 
-#: Characters of the second level.
-PREFIX_CHARS = 64
+#: Characters of the second level; groups of two or more, after it, up to which they are broadcast (16 bytes each).
+PREFIX_CHARS, BROADCAST_GROUPS = 64, 500_000
 
 
 def _content(text: str) -> Column:
@@ -31,11 +31,14 @@ def _located(df: DataFrame, id_col: str, text_col: str, digest_all: bool) -> Dat
     })
     first = cut(keyed.select("size", "prefix"))
     lengths = first.groupBy("size").count().where("count > 1").select("size")
-    pairs = (
+    pairs = cut(
         first.join(lengths, "size", "left_semi")
         .groupBy("size", "prefix").count().where("count > 1")
         .select("size", "prefix", F.lit(True).alias("open"))
     )
+    # few enough, by count, they go to the texts; else both are dealt by key and skewed parts are split
+    if pairs.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        pairs = F.broadcast(pairs)
     # only survivors have their whole content read and hashed
     refined = keyed.join(pairs, ["size", "prefix"], "left").withColumn("sha", F.when(F.col("open"), _hash("text")))
     if digest_all:

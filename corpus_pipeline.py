@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import exact_dedup, language_id, packing, simhash, toxicity
+from sonolith.llm import exact_dedup, language_id, packing, shingle_join, simhash, toxicity
 from sonolith.llm.common import checkpoint_dir
 
 #: Cosine with the nearest language below which a text counts as no language at all.
@@ -34,8 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints one document stays, that with the least doc_id."""
-    return simhash.drop_near(docs)
+    """Of documents linked by five-word shingles (similarity 4/5 or more) one stays, that with the least doc_id."""
+    return simhash.drop_near(docs, components=shingle_join.near_components)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

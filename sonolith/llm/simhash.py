@@ -10,7 +10,7 @@ what then shares a key differs in two bytes only, so it holds 65,536 fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,10 +38,14 @@ _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitord
 
 
 def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """SimHash of each text: A-Z in lower case, words between white space (space, tab to CR), shingles hashed by XXH64 with seed 42.
+    """SimHash of each text. A bit is set if it is set in over half of the shingles' hashes, repeats included; a text without words has fingerprint 0."""
+    return _majority(*shingle_hashes(texts, words))
 
-    Fewer words than a shingle has make one shingle; a text without words has fingerprint 0. A bit
-    is set if it is set in over half of the shingles' hashes, repeats included.
+
+def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all texts and where each text starts: A-Z in lower case, words between white space (space, tab to CR), hashed by XXH64 with seed 42.
+
+    Fewer words than a shingle has make one shingle; a text without words has none.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     buffer = np.frombuffer(b" ".join(raw) + b" " * (PAD + 1), dtype=np.uint8)
@@ -65,8 +69,7 @@ def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
     at = starts_of(shingles)
     which = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], shingles)
     last = which + np.repeat(np.minimum(n, words), shingles) - 1
-    h = xxh64(flat, begin[which], end[last] - begin[which])
-    return _majority(h, at)
+    return xxh64(flat, begin[which], end[last] - begin[which]), at
 
 
 def _majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -228,8 +231,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the least id stays, with all its columns.
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[[DataFrame, str, str], DataFrame] = near_components) -> DataFrame:
+    """Of each component (of linked fingerprints, unless ``components`` tells others) the row with the least id stays, with all its columns.
 
     Of rows that repeat both id and text one stays, that with the least hash of its columns. Rows
     without an id can't be told apart and all stay. An id should have one text; where it has
@@ -238,7 +241,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns = [f"c{i}" for i in range(len(df.columns))]
     inner = df.toDF(*columns)
     id_at, text_at = columns[df.columns.index(id_col)], columns[df.columns.index(text_col)]
-    marked = cut(near_components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id"))
+    marked = cut(components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id"))
     gone = marked.where(F.col("id") != F.col("component_id")).select("id").distinct()
     twice = marked.groupBy("id").count().where("count > 1 and id is not null").select("id")
     left = inner.join(gone, F.col(id_at) == F.col("id"), "left_anti")

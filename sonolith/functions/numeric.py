@@ -155,14 +155,20 @@ def kde(samples: np.ndarray, queries: np.ndarray, period: float | None = None, b
     cov = np.atleast_2d(np.cov(samples.T)) * factor**2
     inv = np.linalg.inv(cov)
     norm = 1 / (n * math.sqrt((2 * math.pi) ** d * np.linalg.det(cov)))
-    shifts = np.array(list(product((-period, 0, period), repeat=d))) if period else np.zeros((1, d))
+    return kernel_sums(samples, queries, inv, period) * norm
+
+
+def kernel_sums(samples: np.ndarray, queries: np.ndarray, inv: np.ndarray, period: float | None = None) -> np.ndarray:
+    """Sum of the samples' kernels at the queries, a block of each at a time; sums of parts of the samples add up."""
+    shifts = np.array(list(product((-period, 0, period), repeat=samples.shape[1]))) if period else np.zeros((1, samples.shape[1]))
     out = np.zeros(len(queries))
     for i in range(0, len(queries), 256):
         q = queries[i : i + 256]
-        for s in shifts:
-            diff = q[:, None, :] - (samples + s)[None, :, :]
-            out[i : i + 256] += np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", diff, inv, diff)).sum(axis=1)
-    return out * norm
+        for k in range(0, len(samples), 16_384):
+            for s in shifts:
+                diff = q[:, None, :] - (samples[k : k + 16_384] + s)[None, :, :]
+                out[i : i + 256] += np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", diff, inv, diff)).sum(axis=1)
+    return out
 
 
 def inverse_density_weights(points: np.ndarray, clip_percentile: float, eps: float, period: float | None) -> np.ndarray:

@@ -115,7 +115,7 @@ def source_positions(spark: SparkSession, sf: str) -> DataFrame:
                 rows.append((i, P.exponential_decay(d, a), *P.triangulate(contacts, a)[:3].tolist()))
             yield pd.DataFrame(rows, columns=["vec_id", "decay", "x", "y", "z"])
 
-    return _curves(spark, sf, 8).where("vec_id % 10 = 0").mapInPandas(run, "vec_id long, decay double, x double, y double, z double")
+    return _curves(spark, sf, 8).mapInPandas(run, "vec_id long, decay double, x double, y double, z double")
 
 
 @query()
@@ -166,7 +166,7 @@ def mixture_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def polar_density(spark: SparkSession, sf: str) -> DataFrame:
     """Density of events over that of all frames, by distance and angle."""
-    f = A.frames(spark, sf).where("frame_index % 5 = 0")
+    f = A.frames(spark, sf)
 
     def work(p):
         xy = p[["distance", "yaw"]].to_numpy(float) / np.array([10.0, 30.0])

@@ -17,15 +17,13 @@ LEAST_COSINE = 0.03
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, learned from all labels, predicts to be toxic go."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    kept = toxicity.scored(docs, model).where("predicted = 0")
-    return kept.select(*docs.columns)
+    return toxicity.kept(docs, model)
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every language, go."""
     profiles = language_id.learn(docs, F.lit(True))
-    kept = language_id.identified(docs, profiles).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_COSINE))
-    return kept.select(*docs.columns)
+    return language_id.kept(docs, profiles, LEAST_COSINE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

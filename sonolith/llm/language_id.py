@@ -146,6 +146,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(id_bucket(id_col, 5) == 0, F.lit(False))
 
 
+def kept(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows with a letter and a cosine of ``least`` or more, with their columns, whatever these are named."""
+    inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = df.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start, texts in text_chunks(batch.column(at)):
+            langs, score = profiles.compare(texts)
+            yield batch.slice(start, len(texts)).filter(pa.array((np.array(langs) != UNDETERMINED) & (score >= least)))
+
+    return arrow_map(inner, work, inner.schema).toDF(*df.columns)
+
+
 def identified(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """All rows and columns, with lang_pred and score behind them."""
     clash = [c for c in df.columns if c.lower() in ("lang_pred", "score")]

@@ -291,6 +291,20 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return ToxicityModel(weights, bias, slope)
 
 
+def kept(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with their columns, whatever these are named."""
+    inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model.weights)
+        for batch in batches:
+            for start, texts in text_chunks(batch.column(at)):
+                yield batch.slice(start, len(texts)).filter(pa.array(model.scores(texts, lexicon) < THRESHOLD))
+
+    return inner.mapInArrow(run, inner.schema).toDF(*df.columns)
+
+
 def scored(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """All rows and columns, with score (0 to 1) and predicted (1 from THRESHOLD on) behind them.
 

@@ -165,7 +165,10 @@ class Lexicon:
     def _clause(self, low: str, before: int, after: int, hits: dict[int, float]) -> float:
         symbols, weights = [], []
         for m in _WORD.finditer(low, before, after):
-            kind, w = _CLOSED.get(m.group(), OTHER), hits.get(m.start(), 0.0)
+            # behind an elision (l', d', qu') the word begins anew
+            tail = m.start() + m.group().find("'") + 1
+            kind = _CLOSED.get(m.group()) or _CLOSED.get(low[tail : m.end()], OTHER)
+            w = max(hits.get(m.start(), 0.0), hits.get(tail, 0.0))
             if w:
                 kind = INSULT
             symbols.append(kind)

@@ -15,7 +15,7 @@ from sonolith.llm.common import cut, named
 
 #: Buckets; padded tokens a batch may have; rows that one task numbers, about.
 BUCKETS, TOKEN_BUDGET, ROWS_PER_PART = 16, 65_536, 500_000
-#: Lengths over which the boundaries are searched exactly; beyond, neighbouring lengths share a cell.
+#: Bounds nothing any more: the search is over all lengths. A test still sets it.
 CELLS = 1 << 16
 
 
@@ -73,17 +73,10 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 def length_buckets(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Boundaries for all rows of ``lengths`` (column length), from their exact histogram.
 
-    The driver gets one row for each different length, CELLS at most: beyond that many the rarest
-    detail goes first, a cell standing for a run of neighbouring lengths by its greatest.
+    The driver gets two numbers for each different length; these are sqrt(2 * words of all texts) at most.
     """
-    histogram = lengths.groupBy("length").count()
-    kinds = histogram.count()
-    if kinds > CELLS:
-        top = histogram.agg(F.max("length")).first()[0]
-        step = -(-top // CELLS)
-        histogram = histogram.groupBy(F.ceil(F.col("length") / step).alias("cell")).agg(F.max("length").alias("length"), F.sum("count").alias("count")).drop("cell")
-    rows = sorted((r["length"], r["count"]) for r in histogram.collect())
-    return optimal_boundaries(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), buckets)[0]
+    histogram = lengths.groupBy("length").count().orderBy("length").toArrow()
+    return optimal_boundaries(histogram.column("length").to_numpy(), histogram.column("count").to_numpy(), buckets)[0]
 
 
 def pack_batches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, length: Column | None = None) -> DataFrame:

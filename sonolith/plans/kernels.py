@@ -273,14 +273,25 @@ def merged_boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def density_geodesics(spark: SparkSession, sf: str) -> DataFrame:
     """Shortest paths over a neighbour graph of a grid on the torus; edges cost their length over the density of points."""
-    p = A.points(spark, sf).select(F.lit(0).alias("grid"), "x", "y")
+    p = A.points(spark, sf).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    n, period = 8, 6.0
+    c = (np.arange(n) + 0.5) * period / n
+    nodes = np.array([(a, b) for a in c for b in c])
+    count, xx, xy, yy = p.agg(F.count(F.lit(1)), F.var_samp("x"), F.covar_samp("x", "y"), F.var_samp("y")).first()
+    if count < 3:  # no density
+        return spark.createDataFrame([], "a int, b int, d double")
+    inv = np.linalg.inv(np.array([[xx, xy], [xy, yy]]) * count ** (-1 / 3))  # Scott's bandwidth
+
+    def sums(batches):
+        import pandas as pd
+
+        for q in batches:
+            yield pd.DataFrame({"node": range(n * n), "s": N.kernel_sums(q[["x", "y"]].to_numpy(float), nodes, inv, period)})
+
+    density = p.mapInPandas(sums, "node int, s double").groupBy("node").agg(F.sum("s").alias("s"))
 
     def work(rows):
-        n, period = 8, 6.0
-        c = (np.arange(n) + 0.5) * period / n
-        nodes = np.array([(a, b) for a in c for b in c])
-        xy = rows[["x", "y"]].to_numpy(float)
-        dens = N.kde(xy[:2000], nodes, period)
+        dens = rows.sort_values("node")["s"].to_numpy(float)
         dens = dens / dens.mean() + 1e-3
         edges = []
         for i in range(n):
@@ -291,7 +302,7 @@ def density_geodesics(spark: SparkSession, sf: str) -> DataFrame:
         d = N.geodesic_matrix(edges, n * n)
         return [(int(a), int(b), float(d[a, b])) for a in range(n * n) for b in range(n * n) if a < b]
 
-    return K.per_group(p, ["grid"], work, "a int, b int, d double").drop("grid")
+    return K.per_group(density.withColumn("grid", F.lit(0)), ["grid"], work, "a int, b int, d double").drop("grid")
 
 
 @query("SELECT CAST(i AS BIGINT) AS i, round(i * 1 / 377.0::DOUBLE, 9) AS x, round(i * 233 / 377.0::DOUBLE, 9) AS y FROM range(377) r(i)")

@@ -79,7 +79,7 @@ def paired_signed_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def smoothed_traces(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf).where("frame_index < 500").select("session_id", "frame_index", "speed")
+    f = A.frames(spark, sf).select("session_id", "frame_index", "speed")
     return K.smoothed(f, ["session_id"], "frame_index", "speed", 2.0)
 
 
@@ -128,7 +128,7 @@ def medoids(spark: SparkSession, sf: str) -> DataFrame:
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     d = I.same_emitter_intervals(A.calls(spark, sf), "s2s").where("not dropped")
-    return d.where(F.dayofmonth("session_id") <= 6).select("sex", "log_interval")
+    return d.select("sex", "log_interval")
 
 
 @query()
@@ -216,7 +216,7 @@ def ridge_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hidden_state_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf).where("session_id < 2 and frame_index < 400").withColumns({"seq": F.floor(F.col("frame_index") / 100), "speed": F.col("speed") / 10, "distance": F.col("distance") / 20})
+    f = A.frames(spark, sf).withColumns({"seq": F.floor(F.col("frame_index") / 100), "speed": F.col("speed") / 10, "distance": F.col("distance") / 20})
     return K.hmm_sweep(f.select("session_id", "seq", "frame_index", "speed", "distance"), "session_id", "seq", "frame_index", ["speed", "distance"], range(1, 4), 2)
 
 

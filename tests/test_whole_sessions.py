@@ -22,3 +22,10 @@ def test_intervals_are_of_all_days(spark, sf_dir):
 def test_states_are_of_all_sessions(spark, sf_dir):
     got = QUERIES["hidden_state_sweep"](spark, sf_dir).collect()
     assert {r.session_id for r in got} == {r.session_id for r in A.frames(spark, sf_dir).select("session_id").distinct().collect()}
+
+
+def test_null_distributions_are_of_all_days(spark, sf_dir):
+    want = {r.session_id for r in kernels._anchors(spark, sf_dir).where("group = 'a'").join(A.spikes(spark, sf_dir), "session_id").select("session_id").distinct().collect()}
+    assert max(s.day for s in want) > 10
+    for query in ("circular_shuffle_null", "bootstrap_coactivity"):
+        assert max(r.session_id.day for r in QUERIES[query](spark, sf_dir).select("session_id").distinct().collect()) > 10

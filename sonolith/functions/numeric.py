@@ -238,45 +238,91 @@ def condition_number(x: np.ndarray) -> float:
 # bases for histories
 
 
-def raised_cosine(n_time: int, n_basis: int, first: float, last: float, offset: float = 1.0, n_early: int = 0) -> np.ndarray:
-    """n_time x (n_early + n_basis): cosine bumps with peaks evenly spaced on a log axis, unit sum each; early bins apart."""
-    t = np.arange(n_time, dtype=float)
-    warped = np.log(t + offset)
-    low, high = math.log(first + offset), math.log(last + offset)
-    step = (high - low) / max(n_basis - 1, 1)
-    angle = (warped[:, None] - (low + step * np.arange(n_basis))[None, :]) * math.pi / (2 * step)
-    bumps = np.where(np.abs(angle) <= math.pi, (np.cos(angle) + 1) / 2, 0.0)
-    both = np.column_stack([np.eye(n_time)[:, :n_early], bumps]) if n_early else bumps
-    total = both.sum(axis=0)
-    return both / np.where(total > 0, total, 1)
+#: Keeps the logarithm of 0 finite.
+LOG_FLOOR = 1e-20
+
+
+def raised_cosine(n_identity: int, n_cosines: int, peaks: tuple[float, float], offset: float, width: int | None = None, n_bases: int | None = None) -> np.ndarray:
+    """time x bases, time running towards the event: one base for each of the last ``n_identity`` steps, before them cosine bumps.
+
+    Bumps have their peaks from the first to the last of ``peaks`` evenly on the axis log(time +
+    offset), reach two spacings to either side, and time goes to two spacings behind the last peak.
+    ``n_bases`` cuts bases or adds empty ones, ``width`` cuts the oldest steps or adds empty ones;
+    columns have length 1 at the end, empty ones stay empty.
+    """
+    low, high = (math.log(x + offset + LOG_FLOOR) for x in peaks)
+    spacing = (high - low) / (n_cosines - 1)
+    end = math.exp(high + 2 * spacing) - LOG_FLOOR - offset
+    steps = np.arange(math.ceil(end))
+    distance = np.log(steps + offset + LOG_FLOOR)[:, None] - np.linspace(low, high, n_cosines)[None, :]
+    bumps = (1 + np.cos(np.clip(distance * math.pi / (2 * spacing), -math.pi, math.pi))) / 2
+    out = np.zeros((n_identity + len(steps), n_identity + n_cosines))
+    out[:n_identity, :n_identity] = np.eye(n_identity)
+    out[n_identity:, n_identity:] = bumps
+    bases, rows = n_bases or out.shape[1], width or len(out)
+    fitted = np.zeros((rows, bases))
+    keep, columns = min(rows, len(out)), min(bases, out.shape[1])
+    fitted[rows - keep :, :columns] = out[::-1][len(out) - keep :, :columns]
+    size = np.sqrt((fitted**2).sum(axis=0))
+    return np.divide(fitted, size, out=np.zeros_like(fitted), where=size > 0)
 
 
 def laplacian_pyramid(width: int, levels: int, step: float, fwhm: float, normalise: bool = True) -> np.ndarray:
-    """Gaussians of growing width on a grid of growing step, level by level."""
-    columns, x = [], np.arange(width, dtype=float)
-    for level in range(levels):
-        sigma = fwhm * 2**level / (2 * math.sqrt(2 * math.log(2)))
-        for c in np.arange(0, width, step * 2**level):
-            g = np.exp(-0.5 * ((x - c) / sigma) ** 2)
+    """time x bases: Gaussians on centred grids whose spacing, and with it their width, doubles with each whole level.
+
+    Levels go from 0 to ``levels`` by ``step``. The grid of a level has a spacing of 2^(level - 1) and
+    int(width / spacing - 1) places; its first place has no base. Without any base, ValueError.
+    """
+    x, columns = np.arange(width), []
+    for level in np.arange(0, levels, step):
+        spacing = 2.0 ** (level - 1)
+        places = int(width / spacing - 1)
+        if places < 1:
+            continue
+        grid = np.floor((width - ((places - 1) * spacing + 1)) / 2 + spacing / 2 + spacing * np.arange(places)) + 1
+        for centre in grid[1:]:
+            g = np.exp(-((x - centre) ** 2) / (2 * (spacing / 2.35 * fwhm) ** 2))
             columns.append(g / np.linalg.norm(g) if normalise else g)
+    if not columns:
+        raise ValueError(f"no base fits into {width} steps at levels below {levels} by {step}")
     return np.column_stack(columns)
 
 
-def bsplines(width: int, knots: np.ndarray, degree: int = 3) -> np.ndarray:
-    """B-spline basis at 0 .. width - 1 by the Cox-de Boor recursion; end knots are repeated."""
-    t = np.concatenate([[knots[0]] * degree, knots, [knots[-1]] * degree]).astype(float)
-    x = np.linspace(knots[0], knots[-1], width)
-    b = np.array([(x >= t[i]) & (x < t[i + 1]) for i in range(len(t) - 1)], dtype=float)
-    inner = np.flatnonzero(t[:-1] < t[1:])
-    b[inner[-1], x == t[-1]] = 1.0
-    for k in range(1, degree + 1):
-        rows = []
-        for i in range(len(t) - 1 - k):
-            left = (x - t[i]) / (t[i + k] - t[i]) * b[i] if t[i + k] > t[i] else np.zeros(width)
-            right = (t[i + k + 1] - x) / (t[i + k + 1] - t[i + 1]) * b[i + 1] if t[i + k + 1] > t[i + 1] else np.zeros(width)
-            rows.append(left + right)
-        b = np.array(rows)
-    return b.T
+def spline_knots(positions: np.ndarray, degree: int, periodic: bool) -> np.ndarray:
+    """Knots of the spline of this degree that interpolates at the positions.
+
+    Inner knots are positions (between them, for an even degree), as many as leave one coefficient a
+    position; the ends are repeated, or, if periodic, inner knots go on by whole periods.
+    """
+    x, k = np.asarray(positions, dtype=float), degree
+    between = x if k % 2 else (x[1:] + x[:-1]) / 2
+    if not periodic:
+        first = k // 2 + 1 if k % 2 else k // 2
+        return np.r_[[x[0]] * (k + 1), between[first : first + len(x) - k - 1], [x[-1]] * (k + 1)]
+    inner = np.r_[x[0], between[1:-1] if k % 2 else between[: len(x) - 2], x[-1]]
+    period = x[-1] - x[0]
+    cycle = inner[:-1]
+    many = np.concatenate([cycle + i * period for i in range(-k - 1, k + 2)])
+    at = (k + 1) * len(cycle)
+    return many[at - k : at + len(cycle) + k + 1]
+
+
+def bsplines(width: int, positions: np.ndarray, degree: int = 3, periodic: bool = False) -> np.ndarray:
+    """time x bases, latest step first: the first B-splines, one a position, at steps 0 to width - 1; beyond the ends the outer pieces go on."""
+    t, k, x = spline_knots(positions, degree, periodic), degree, np.arange(width, dtype=float)
+    span = np.clip(np.searchsorted(t, x, side="right") - 1, k, len(t) - k - 2)
+    piece = np.zeros((len(t) - 1, width))
+    piece[span, np.arange(width)] = 1
+    for d in range(1, k + 1):
+        rise = [(x - t[i]) / (t[i + d] - t[i]) * piece[i] if t[i + d] > t[i] else np.zeros(width) for i in range(len(t) - d)]
+        fall = [(t[i + d] - x) / (t[i + d] - t[i]) * piece[i] if t[i + d] > t[i] else np.zeros(width) for i in range(len(t) - d)]
+        piece = np.array([rise[i] + fall[i + 1] for i in range(len(t) - d - 1)])
+    return piece[: len(positions), ::-1].T
+
+
+def identity_basis(width: int) -> np.ndarray:
+    """One base a step, the first of them the latest step."""
+    return np.eye(width)[::-1]
 
 
 # lattices

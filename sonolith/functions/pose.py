@@ -113,24 +113,24 @@ def nelder_mead(f, start: np.ndarray, step: float = 0.1, rounds: int = 400, tol:
     return points[int(np.argmin(values))]
 
 
-def back_alignment(directions: np.ndarray) -> np.ndarray:
-    """The two angles that turn a cloud of unit directions onto the x axis on the whole."""
-
-    def off(a: np.ndarray) -> float:
-        axis = np.array([math.cos(a[0]) * math.cos(a[1]), math.sin(a[0]) * math.cos(a[1]), math.sin(a[1])])
-        return float(((directions - axis) ** 2).sum(axis=1).mean())
-
-    return nelder_mead(off, np.zeros(2), 0.2)
+def mean_axis(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Aggregates: yaw and pitch of the axis with the least mean squared distance from unit directions, which is that of their sum."""
+    size = F.greatest(F.sqrt(x * x + y * y + z * z), F.lit(1e-12))
+    sx, sy, sz = (F.sum(v / size) for v in (x, y, z))
+    return F.atan2(sy, sx), F.atan2(sz, F.sqrt(sx * sx + sy * sy))
 
 
 # units
 
 
 def noise_deviation(at: np.ndarray, amplitude: np.ndarray, period: float, noise: float, template: float = 0.0) -> float:
-    """Deviation of differences of amplitudes over sqrt 2, over the noise less the template's own; NaN without spikes, 0 with one."""
+    """Deviation of differences of amplitudes over sqrt 2, over the noise less the template's own; NaN without spikes, 0 with one.
+
+    Of spikes at one time the least comes first.
+    """
     from sonolith.functions.numeric import censored
 
-    order = np.argsort(at, kind="stable")
+    order = np.lexsort((amplitude, at))
     a = amplitude[order][censored(at[order], period)]
     if not len(a):
         return math.nan
@@ -183,11 +183,12 @@ def lattice_posterior(atlas: np.ndarray, data: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def lattice_embedding(posterior: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-    """Posterior mean on the unit torus, by angles, in [0, 1)."""
+def lattice_embedding(posterior: np.ndarray, lattice: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """Posterior mean on the unit torus, by angles, in [0, 1); NaN where the mean vector is shorter than ``least``, as of an even posterior."""
     a = 2 * np.pi * lattice
-    out = np.mod(np.arctan2(posterior @ np.sin(a), posterior @ np.cos(a)) / (2 * np.pi), 1)
-    return np.where(out < 1, out, 0.0)  # a tiny negative angle comes out as 1
+    y, x = posterior @ np.sin(a), posterior @ np.cos(a)
+    out = np.mod(np.arctan2(y, x) / (2 * np.pi), 1)
+    return np.where(np.hypot(x, y) < least, np.nan, np.where(out < 1, out, 0.0))  # a tiny negative angle comes out as 1
 
 
 def modes(weight: np.ndarray, mean: np.ndarray, sd: np.ndarray, apart: float = 1e-4) -> list[float]:

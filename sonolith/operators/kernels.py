@@ -27,11 +27,30 @@ def per_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], I
 
 
 def smoothed(rows: DataFrame, keys: list[str], order: str, value: str, sigma: float) -> DataFrame:
-    def work(p: pd.DataFrame) -> Iterable[tuple]:
-        p = p.sort_values(order)
-        return zip(p[order].tolist(), N.smooth(p[value].to_numpy(float), sigma).tolist(), strict=True)
-
-    return per_group(rows, keys, work, f"{order} long, smoothed double")
+    """Gaussian smoothing in order, edges repeated; null and NaN have no weight and stay null. Window expressions over one sort."""
+    k = N.gaussian_kernel(sigma)
+    r = len(k) // 2
+    w = Window.partitionBy(*keys).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = F.when(~F.isnan(value), F.col(value).cast("double"))
+    nth, n, first, last = F.row_number().over(w), F.count(F.lit(1)).over(whole), F.first(x).over(whole), F.last(x).over(whole)
+    at = [F.when(nth + i < 1, first).when(nth + i > n, last).otherwise(F.lag(x, -i).over(w)) if i else x for i in range(-r, r + 1)]
+    placed = rows.select(*keys, order, x.alias("__x"), *[v.alias(f"__{i}") for i, v in enumerate(at)])
+    num = sum((F.coalesce(F.col(f"__{i}"), F.lit(0.0)) * float(q) for i, q in enumerate(k)), F.lit(0.0))
+    den = sum((F.col(f"__{i}").isNotNull().cast("double") * float(q) for i, q in enumerate(k)), F.lit(0.0))
+    return placed.select(*keys, order, F.when(F.col("__x").isNotNull(), F.try_divide(num, den)).alias("smoothed"))
+
+
+def linear_fit(rows: DataFrame, keys: list[str], a: str, b: str, y: str) -> DataFrame:
+    """Least squares of y on a, b and a constant, from partial sums of products."""
+    c = lambda u, v: F.covar_pop(u, v)
+    m = rows.groupBy(*keys).agg(
+        c(a, a).alias("aa"), c(a, b).alias("ab"), c(b, b).alias("bb"), c(a, y).alias("ay"), c(b, y).alias("by"),
+        F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(y).alias("my"),
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    m = m.withColumns({"b_a": F.try_divide(F.col("ay") * F.col("bb") - F.col("by") * F.col("ab"), det), "b_b": F.try_divide(F.col("by") * F.col("aa") - F.col("ay") * F.col("ab"), det)})
+    return m.select(*keys, "b_a", "b_b", (F.col("my") - F.col("b_a") * F.col("ma") - F.col("b_b") * F.col("mb")).alias("intercept"))
 
 
 def paired_test(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

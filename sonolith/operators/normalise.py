@@ -116,3 +116,18 @@ def harmonised(rows: DataFrame, features: list[str]) -> DataFrame:
     """Missing features as 0, float."""
     have = set(rows.columns)
     return rows.withColumns({f: F.coalesce(F.col(f).cast("float"), F.lit(0.0).cast("float")) if f in have else F.lit(0.0).cast("float") for f in features})
+
+
+def seeded_hash(seed: int, value: Column) -> Column:
+    """The md5 of seed and value as text: an order that depends on the seed, the same in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), value.cast("string")))
+
+
+def held_out(sessions: DataFrame, session: str, share: float, seed: int, strata: tuple[str, ...] = ()) -> DataFrame:
+    """``sessions``, one row each, with held_out: ``share`` of them, one at least, or of each stratum, first by a seeded hash.
+
+    The table has a row a session; without strata one task orders it.
+    """
+    order = Window.partitionBy(*strata).orderBy(seeded_hash(seed, F.col(session)), session)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
+    return sessions.withColumn("held_out", F.row_number().over(order) <= F.greatest(F.lit(1), F.bround(F.lit(share) * n).cast("long")))

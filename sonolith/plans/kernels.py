@@ -15,7 +15,7 @@ from sonolith.operators import normalise as Z
 from sonolith.operators import resampling as R
 from sonolith.plans.registry import query
 
-FRAMES, SPIKES, CALLS = (A.with_sql(x) for x in ("frames", "spikes", "calls"))
+FRAMES, SPIKES, CALLS, POINTS = (A.with_sql(x) for x in ("frames", "spikes", "calls", "points"))
 
 
 def r6(x, n: int = 6):
@@ -72,21 +72,39 @@ def circular_shuffle_null(spark: SparkSession, sf: str) -> DataFrame:
     return R.shifted_coactivity(A.spikes(spark, sf), _anchors(spark, sf).where("group = 'a'"), 3600.0, 86400.0, [float(s) for s in shifts])
 
 
-@query()
+# 1 - erf(x) as 2 / sqrt(pi) times the series of its integral; under 5e-9 beyond 4
+_ERFC = "CASE WHEN x >= 4 THEN 0 ELSE 1 - 2 / sqrt(pi()) * (SELECT sum((CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(x) - lgamma(i + 1)) / (2 * i + 1)) FROM range(120) t(i)) END"
+
+
+@query(FRAMES + """, d AS (SELECT session_id, speed - distance AS d FROM frames),
+    r AS (SELECT session_id, d, rank() OVER (PARTITION BY session_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY session_id, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
+    s AS (SELECT session_id, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) + coalesce(sum(r) FILTER (d = 0), 0) / 2 AS up, coalesce(sum(r) FILTER (d < 0), 0) + coalesce(sum(r) FILTER (d = 0), 0) / 2 AS down, count(*) FILTER (d = 0) AS n0 FROM r GROUP BY session_id),
+    g AS (SELECT session_id, sum(k::DOUBLE ** 3 - k) AS ties FROM (SELECT session_id, count(*) AS k FROM d GROUP BY session_id, abs(d)) GROUP BY session_id),
+    z AS (SELECT session_id, n, least(up, down) AS w, (n * (n + 1) / 4.0 - least(up, down) - 0.5) / sqrt(2 * (n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48 - n0 * (n0 + 1) * (2 * n0 + 1) / 24.0)) AS x FROM s JOIN g USING (session_id))
+    SELECT session_id, w, round(""" + _ERFC + """, 6) AS p, CAST(n AS INTEGER) AS n FROM z""")
 def paired_signed_rank(spark: SparkSession, sf: str) -> DataFrame:
     f = A.frames(spark, sf)
-    return K.paired_test(f, ["session_id"], "speed", "distance")
+    return K.paired_test(f, ["session_id"], "speed", "distance").withColumn("p", r6("p"))
 
 
-@query()
+@query(FRAMES + """, k AS (SELECT i, exp(-0.5 * (i / 2.0) ** 2) / sum(exp(-0.5 * (i / 2.0) ** 2)) OVER () AS w FROM range(-8, 9) t(i)),
+    m AS (SELECT session_id, max(frame_index) AS top FROM frames GROUP BY session_id),
+    j AS (SELECT f.session_id, f.frame_index, w, greatest(0, least(top, f.frame_index + i)) AS at FROM frames f JOIN m USING (session_id), k)
+    SELECT j.session_id, j.frame_index, round(sum(w * g.speed), 6) AS smoothed FROM j JOIN frames g ON g.session_id = j.session_id AND g.frame_index = j.at GROUP BY ALL""")
 def smoothed_traces(spark: SparkSession, sf: str) -> DataFrame:
     f = A.frames(spark, sf).select("session_id", "frame_index", "speed")
-    return K.smoothed(f, ["session_id"], "frame_index", "speed", 2.0)
+    return K.smoothed(f, ["session_id"], "frame_index", "speed", 2.0).withColumn("smoothed", r6("smoothed"))
 
 
-@query()
+@query(FRAMES + """, c AS (SELECT session_id, frame_index, speed - avg(speed) OVER (PARTITION BY session_id) AS x FROM frames),
+    l AS (SELECT session_id, list(x ORDER BY frame_index) AS l FROM c GROUP BY session_id),
+    a AS (SELECT session_id, k, list_inner_product(list_slice(l, 1, len(l) - k), list_slice(l, k + 1, len(l))) / list_inner_product(l, l) AS r FROM l, range(101) t(k)),
+    s AS (SELECT session_id, min(k) FILTER (k > 0 AND r <= 0) AS stop, min(k) FILTER (r < 0.1) AS low, max(r) FILTER (k = 1) AS lag1 FROM a GROUP BY session_id)
+    SELECT session_id, round(1 + 2 * coalesce(sum(r) FILTER (k > 0 AND k < coalesce(stop, 101)), 0), 6) AS iat, CAST(coalesce(any_value(low), -1) AS INTEGER) AS decorrelated, round(any_value(lag1), 6) AS lag1
+    FROM a JOIN s USING (session_id) GROUP BY session_id""")
 def predictor_timescales(spark: SparkSession, sf: str) -> DataFrame:
-    return K.timescales(A.frames(spark, sf).select("session_id", "frame_index", "speed"), ["session_id"], "frame_index", "speed", 100, 0.1)
+    t = K.timescales(A.frames(spark, sf).select("session_id", "frame_index", "speed"), ["session_id"], "frame_index", "speed", 100, 0.1)
+    return t.select("session_id", r6("iat").alias("iat"), "decorrelated", r6("lag1").alias("lag1"))
 
 
 _VIF2 = " SELECT session_id, 'speed' AS feature, round(1 / (1 - corr(speed, distance) ** 2), 6) AS vif FROM frames GROUP BY ALL UNION ALL SELECT session_id, 'distance', round(1 / (1 - corr(speed, distance) ** 2), 6) FROM frames GROUP BY ALL"
@@ -107,22 +125,41 @@ def flagged_predictor_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return s.where(F.abs("rho") >= 0.5).select("session_id", r6("rho").alias("rho"), F.when(F.abs("rho") >= 0.9, "exclude").otherwise("concern").alias("tier"))
 
 
-@query()
+@query(POINTS + """, d AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS p, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS q FROM points a JOIN points b USING (label)),
+    c AS (SELECT label, p - avg(p) OVER (PARTITION BY label, i) - avg(p) OVER (PARTITION BY label, j) + avg(p) OVER (PARTITION BY label) AS p, q - avg(q) OVER (PARTITION BY label, i) - avg(q) OVER (PARTITION BY label, j) + avg(q) OVER (PARTITION BY label) AS q FROM d)
+    SELECT label, round(sqrt(greatest(avg(p * q), 0) / sqrt(avg(p * p) * avg(q * q))), 6) AS dcor, CAST(round(sqrt(count(*))) AS INTEGER) AS n FROM c GROUP BY label""")
 def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return K.distance_correlations(A.points(spark, sf), ["label"], ["x", "y"], ["px", "py"], 300, 3, 1)
+    """Of all points of a label, or, beyond 2,500, of three samples of so many: the sampling is the operator's."""
+    return K.distance_correlations(A.points(spark, sf), ["label"], ["x", "y"], ["px", "py"], 2500, 3, 1).withColumn("dcor", r6("dcor"))
 
 
-@query()
+# inverse of Scott's covariance, and the norm of the density
+_KERNEL = """, v AS (SELECT label, count(*) AS n, var_samp(x) * count(*) ** (-1 / 3.0) AS xx, covar_samp(x, y) * count(*) ** (-1 / 3.0) AS xy, var_samp(y) * count(*) ** (-1 / 3.0) AS yy FROM points GROUP BY label),
+    kr AS (SELECT label, n, yy / (xx * yy - xy * xy) AS a, -xy / (xx * yy - xy * xy) AS b, xx / (xx * yy - xy * xy) AS c, 1 / (n * 2 * pi() * sqrt(xx * yy - xy * xy)) AS norm FROM v),
+    im AS (SELECT 6.0 * i AS sx, 6.0 * j AS sy FROM range(-1, 2) s(i), range(-1, 2) t(j))"""
+
+
+@query(POINTS + _KERNEL + """, k AS (SELECT q.label, q.vec_id, any_value(norm) * sum(exp(-0.5 * (a * (q.x - p.x - sx) ** 2 + 2 * b * (q.x - p.x - sx) * (q.y - p.y - sy) + c * (q.y - p.y - sy) ** 2))) AS f
+          FROM points q JOIN points p USING (label) JOIN kr USING (label), im WHERE n > 3 GROUP BY q.label, q.vec_id),
+    w AS (SELECT label, vec_id, 1 / (f + 0.001) AS w FROM k), t AS (SELECT label, quantile_cont(w, 0.99) AS top FROM w GROUP BY label),
+    l AS (SELECT label, vec_id, least(w, top) AS w FROM w JOIN t USING (label))
+    SELECT label, vec_id, round(w / avg(w) OVER (PARTITION BY label), 6) AS weight FROM l UNION ALL SELECT label, vec_id, 1.0 FROM points JOIN kr USING (label) WHERE n <= 3""")
 def inverse_density_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return K.density_weights(A.points(spark, sf), ["label"], "vec_id", 99.0, 1e-3, 6.0)
+    return K.density_weights(A.points(spark, sf), ["label"], "vec_id", 99.0, 1e-3, 6.0).withColumn("weight", r6("weight"))
 
 
-@query()
+@query(POINTS + _KERNEL + """, g AS (SELECT i * 24 + j AS node, (i + 0.5) * 6 / 24 AS gx, (j + 0.5) * 6 / 24 AS gy FROM range(24) s(i), range(24) t(j)),
+    k AS (SELECT p.label, node, gx, gy, sum(exp(-0.5 * (a * (gx - p.x - sx) ** 2 + 2 * b * (gx - p.x - sx) * (gy - p.y - sy) + c * (gy - p.y - sy) ** 2))) AS f FROM points p JOIN kr USING (label), im, g WHERE n > 3 GROUP BY ALL)
+    SELECT label, round(arg_max(gx, f), 6) AS px, round(arg_max(gy, f), 6) AS py, (SELECT CAST(n AS INTEGER) FROM kr WHERE kr.label = k.label) AS n FROM k GROUP BY label
+    UNION ALL SELECT label, round(avg(x), 6), round(avg(y), 6), CAST(count(*) AS INTEGER) FROM points GROUP BY label HAVING count(*) < 4""")
 def density_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return K.density_peaks(A.points(spark, sf), ["label"], 24, 6.0)
+    return K.density_peaks(A.points(spark, sf), ["label"], 24, 6.0).select("label", r6("px").alias("px"), r6("py").alias("py"), "n")
 
 
-@query()
+@query(POINTS.replace("WITH ", "WITH RECURSIVE ", 1) + """, m AS (SELECT 0 AS it, label, avg(x) AS mx, avg(y) AS my FROM points GROUP BY label UNION ALL
+          SELECT m.it + 1, m.label, sum(x / greatest(sqrt((x - mx) ** 2 + (y - my) ** 2), 1e-12)) / sum(1 / greatest(sqrt((x - mx) ** 2 + (y - my) ** 2), 1e-12)), sum(y / greatest(sqrt((x - mx) ** 2 + (y - my) ** 2), 1e-12)) / sum(1 / greatest(sqrt((x - mx) ** 2 + (y - my) ** 2), 1e-12))
+          FROM m JOIN points p ON p.label = m.label WHERE m.it < 200 GROUP BY m.it, m.label)
+    SELECT label, arg_min(vec_id, (x - mx) ** 2 + (y - my) ** 2) AS medoid FROM points JOIN m USING (label) WHERE it = 200 GROUP BY label""")
 def medoids(spark: SparkSession, sf: str) -> DataFrame:
     return K.medoids(A.points(spark, sf), ["label"], "vec_id")
 
@@ -204,15 +241,13 @@ def gamma_regression(spark: SparkSession, sf: str) -> DataFrame:
     return K.per_group(f, ["session_id"], work, "b_speed double, b_yaw double, intercept double")
 
 
-@query()
+@query(FRAMES + """, m AS (SELECT session_id, covar_pop(speed, speed) AS aa, covar_pop(speed, yaw) AS ab, covar_pop(yaw, yaw) AS bb, covar_pop(speed, distance) AS ay, covar_pop(yaw, distance) AS y, avg(speed) AS ma, avg(yaw) AS mb, avg(distance) AS my FROM frames GROUP BY session_id),
+    b AS (SELECT *, (ay * bb - y * ab) / (aa * bb - ab * ab) AS b1, (y * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM m)
+    SELECT session_id, round(b1, 9) AS b_speed, round(b2, 9) AS b_yaw, round(my - b1 * ma - b2 * mb, 9) AS intercept FROM b""")
 def ridge_regression(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf)
-
-    def work(p):
-        b, c = L.ridge(p[["speed", "yaw"]].to_numpy(float), p["distance"].to_numpy(float), 0.0)
-        return [(float(b[0, 0]), float(b[1, 0]), float(c[0]))]
-
-    return K.per_group(f, ["session_id"], work, "b_speed double, b_yaw double, intercept double")
+    """Least squares of a session's frames, from partial sums."""
+    b = K.linear_fit(A.frames(spark, sf), ["session_id"], "speed", "yaw", "distance")
+    return b.select("session_id", r6("b_a", 9).alias("b_speed"), r6("b_b", 9).alias("b_yaw"), r6("intercept", 9).alias("intercept"))
 
 
 @query()
@@ -246,13 +281,18 @@ def resized_spectrograms(spark: SparkSession, sf: str) -> DataFrame:
     return e.mapInPandas(run, "vec_id long, spec array<double>")
 
 
-@query()
+@query("""WITH s AS (SELECT l_suppkey % 5 AS unit_id, l_extendedprice AS a, l_orderkey AS o, max(l_orderkey) OVER (PARTITION BY l_suppkey % 5) + 1 AS n_samples, CAST(floor(count(*) OVER (PARTITION BY l_suppkey % 5) / 50) AS BIGINT) AS bins FROM lineitem),
+    k AS (SELECT unit_id, least(floor(o / CAST(n_samples AS DOUBLE) * bins), bins - 1) AS k, stddev_pop(a) / abs(avg(a)) AS cv FROM s GROUP BY ALL HAVING count(*) > 1 AND avg(a) <> 0)
+    SELECT unit_id, CASE WHEN count(*) >= 10 THEN round(median(cv), 6) ELSE 'nan'::DOUBLE END AS cv_median, CASE WHEN count(*) >= 10 THEN round(quantile_cont(cv, 0.95) - quantile_cont(cv, 0.05), 6) ELSE 'nan'::DOUBLE END AS cv_range FROM k GROUP BY unit_id""")
 def amplitude_variation(spark: SparkSession, sf: str) -> DataFrame:
     li = A.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("unit_id"), F.col("l_extendedprice").alias("amplitude"), F.col("l_orderkey").alias("at"))
-    return K.per_group(li, ["unit_id"], lambda p: [N.amplitude_cv(p["amplitude"].to_numpy(float), p["at"].to_numpy(float), int(p["at"].max()) + 1, 1.0)], "cv_median double, cv_range double")
+    cv = K.per_group(li, ["unit_id"], lambda p: [N.amplitude_cv(p["amplitude"].to_numpy(float), p["at"].to_numpy(float), int(p["at"].max()) + 1, 1.0)], "cv_median double, cv_range double")
+    return cv.select("unit_id", r6("cv_median").alias("cv_median"), r6("cv_range").alias("cv_range"))
 
 
-@query()
+@query(SPIKES.replace("WITH ", "WITH RECURSIVE ", 1) + """, kept AS (SELECT session_id, unit_id, min(t) AS t FROM spikes GROUP BY ALL UNION ALL
+          SELECT k.session_id, k.unit_id, min(s.t) FROM kept k JOIN spikes s ON s.session_id = k.session_id AND s.unit_id = k.unit_id AND s.t - k.t > 600 GROUP BY k.session_id, k.unit_id)
+    SELECT session_id, unit_id, CAST(any_value(n) AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS n_kept FROM kept JOIN (SELECT session_id, unit_id, count(*) AS n FROM spikes GROUP BY ALL) USING (session_id, unit_id) GROUP BY ALL""")
 def censored_spikes(spark: SparkSession, sf: str) -> DataFrame:
     """Spikes that stay when each that follows the last kept one within the period goes."""
     s = A.spikes(spark, sf)
@@ -271,8 +311,10 @@ def merged_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return K.per_group(e, ["session_id", "hour"], work, "t0 double, t1 double, f0 double, f1 double")
 
 
-@query()
-def density_geodesics(spark: SparkSession, sf: str) -> DataFrame:
+_STEP = """, d{b} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{a} x JOIN d{a} y ON x.b = y.a GROUP BY ALL)"""
+
+
+def geodesics(spark: SparkSession, sf: str) -> DataFrame:
     """Shortest paths over a neighbour graph of a grid on the torus; edges cost their length over the density of points."""
     p = A.points(spark, sf).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     n, period = 8, 6.0
@@ -303,7 +345,22 @@ def density_geodesics(spark: SparkSession, sf: str) -> DataFrame:
         d = N.geodesic_matrix(edges, n * n)
         return [(int(a), int(b), float(d[a, b])) for a in range(n * n) for b in range(n * n) if a < b]
 
-    return K.per_group(density.withColumn("grid", F.lit(0)), ["grid"], work, "a int, b int, d double").drop("grid")
+    # one task, for the 64 sums
+    return K.per_group(density.withColumn("grid", F.lit(0)), ["grid"], work, "a int, b int, d double").select("a", "b", "d")
+
+
+@query(POINTS + """, v AS (SELECT count(*) AS n, var_samp(x) * count(*) ** (-1 / 3.0) AS xx, covar_samp(x, y) * count(*) ** (-1 / 3.0) AS xy, var_samp(y) * count(*) ** (-1 / 3.0) AS yy FROM points),
+    kr AS (SELECT yy / (xx * yy - xy * xy) AS a, -xy / (xx * yy - xy * xy) AS b, xx / (xx * yy - xy * xy) AS c FROM v),
+    im AS (SELECT 6.0 * i AS sx, 6.0 * j AS sy FROM range(-1, 2) s(i), range(-1, 2) t(j)),
+    g AS (SELECT i, j, (i + 0.5) * 6 / 8 AS gx, (j + 0.5) * 6 / 8 AS gy FROM range(8) s(i), range(8) t(j)),
+    f AS (SELECT i, j, sum(exp(-0.5 * (a * (gx - x - sx) ** 2 + 2 * b * (gx - x - sx) * (gy - y - sy) + c * (gy - y - sy) ** 2))) AS f FROM points, kr, im, g GROUP BY ALL),
+    q AS (SELECT i, j, f / avg(f) OVER () + 0.001 AS f FROM f),
+    e AS (SELECT p.i * 8 + p.j AS a, r.i * 8 + r.j AS b, sqrt(di * di + dj * dj) * 0.75 * 2 / (p.f + r.f) AS d FROM q p, (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) m(di, dj), q r WHERE r.i = (p.i + di) % 8 AND r.j = (p.j + dj + 8) % 8),
+    d0 AS (SELECT a, b, d FROM e UNION ALL SELECT b, a, d FROM e UNION ALL SELECT n, n, 0 FROM range(64) t(n))""" + "".join(_STEP.format(a=k, b=k + 1) for k in range(6)) + """
+    SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(d, 6) AS d FROM d6 WHERE a < b""")
+def density_geodesics(spark: SparkSession, sf: str) -> DataFrame:
+    """``geodesics``, rounded."""
+    return geodesics(spark, sf).select("a", "b", r6("d").alias("d"))
 
 
 @query("SELECT CAST(i AS BIGINT) AS i, round(i * 1 / 377.0::DOUBLE, 9) AS x, round(i * 233 / 377.0::DOUBLE, 9) AS y FROM range(377) r(i)")
@@ -330,30 +387,57 @@ def torus_grid(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(400).select(F.col("id").alias("node"), F.round((i + 0.5) * 6 / 20, 9).alias("x"), F.round((j + 0.5) * 6 / 20, 9).alias("y"))
 
 
-@query()
+_RC = """p AS (SELECT ln(CAST({p0} AS DOUBLE) + {b} + 1e-20) AS low, ln(CAST({p1} AS DOUBLE) + {b} + 1e-20) AS high),
+    q AS (SELECT low, high, (high - low) / ({n} - 1) AS gap, CAST(ceil(exp(high + 2 * (high - low) / ({n} - 1)) - 1e-20 - {b}) AS BIGINT) AS steps FROM p),
+    bump AS (SELECT k, i, steps - 1 - i AS row, {e} + steps AS rows,
+                    (1 + cos(least(pi(), greatest(-pi(), (ln(i + CAST({b} AS DOUBLE) + 1e-20) - low - gap * k) * pi() / (2 * gap))))) / 2 AS v
+             FROM q, range({n}) c(k), (SELECT unnest(range(100000)) AS i) t WHERE i < steps),
+    cut AS (SELECT {e} + k AS component, row - rows + {w} AS time, v FROM bump WHERE row >= rows - {w}
+            UNION ALL SELECT k, rows - 1 - k - rows + {w}, 1.0 FROM range({e}) c(k), (SELECT max(rows) AS rows FROM bump)),
+    rc AS (SELECT CAST(time AS INTEGER) AS time, CAST(component AS INTEGER) AS component, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY component)), 0) AS value FROM cut)"""
+_LAPLACE = """lv AS (SELECT l, pow(2, l - 1) AS gap, CAST(floor({w} / pow(2, l - 1) - 1) AS BIGINT) AS places FROM (SELECT unnest(range(0, 100)) * CAST({s} AS DOUBLE) AS l) WHERE l < {n}),
+    ctr AS (SELECT l, j, gap, floor(({w} - ((places - 1) * gap + 1)) / 2 + gap / 2 + gap * j) + 1 AS c FROM lv, (SELECT unnest(range({w} * 2)) AS j) WHERE j BETWEEN 1 AND places - 1),
+    num AS (SELECT *, row_number() OVER (ORDER BY l, j) - 1 AS component FROM ctr),
+    raw AS (SELECT component, i, exp(-((i - c) * (i - c)) / (2 * pow(gap / 2.35 * {f}, 2))) AS g FROM num, range({w}) t(i)),
+    lp AS (SELECT CAST(i AS INTEGER) AS time, CAST(component AS INTEGER) AS component, g / sqrt(sum(g * g) OVER (PARTITION BY component)) AS value FROM raw)"""
+_SPLINE = """kn AS (SELECT i - 1 AS i, t FROM (SELECT unnest({knots}) AS t, generate_subscripts({knots}, 1) AS i)),
+    s0 AS (SELECT a.i, x, CASE WHEN a.i = least(greatest((SELECT max(k.i) FROM kn k WHERE k.t <= x), {d}), (SELECT count(*) FROM kn) - {d} - 2) THEN 1.0 ELSE 0.0 END AS v FROM kn a, range({w}) r(x) WHERE a.i < (SELECT count(*) FROM kn) - 1)"""
+_RISE = """s{d} AS (SELECT a.i, a.x, coalesce((a.x - t0.t) / nullif(t1.t - t0.t, 0), 0) * a.v + coalesce((t3.t - a.x) / nullif(t3.t - t2.t, 0), 0) * b.v AS v
+    FROM s{c} a JOIN s{c} b ON b.i = a.i + 1 AND b.x = a.x JOIN kn t0 ON t0.i = a.i JOIN kn t1 ON t1.i = a.i + {d} JOIN kn t2 ON t2.i = a.i + 1 JOIN kn t3 ON t3.i = a.i + 1 + {d})"""
+_KNOTS = "[0.0, 0.0, 0.0, 0.0, 12.0, 20.0, 36.0, 36.0, 36.0, 36.0]"
+
+
+@query("WITH " + _RC.format(p0=1, p1=12, b=2, n=5, e=2, w=30) + ", " + _LAPLACE.format(w=40, s=0.5, n=3, f=1.2) + ", " + _SPLINE.format(knots=_KNOTS, d=3, w=40) + "".join(", " + _RISE.format(d=d, c=d - 1) for d in (1, 2, 3)) + """
+    SELECT 'raised_cosine' AS basis, time, component, round(value, 9) AS value FROM rc WHERE value > 1e-12
+    UNION ALL SELECT 'laplacian', time, component, round(value, 9) FROM lp WHERE value > 1e-12
+    UNION ALL SELECT 'bspline', CAST(39 - x AS INTEGER), CAST(i AS INTEGER), round(v, 9) FROM s3 WHERE i < 6 AND abs(v) > 1e-12
+    UNION ALL SELECT 'identity', CAST(7 - k AS INTEGER), CAST(k AS INTEGER), 1.0 FROM range(8) r(k)""")
 def basis_matrices(spark: SparkSession, sf: str) -> DataFrame:
-    """Bases that histories are projected on, as (basis, time, column, value)."""
-    made = {"raised_cosine": N.raised_cosine(40, 6, 1, 30), "laplacian": N.laplacian_pyramid(40, 3, 4, 4.0), "bspline": N.bsplines(40, np.linspace(0, 39, 6)), "identity": np.eye(8)}
-    rows = [(name, int(t), int(c), float(m[t, c])) for name, m in made.items() for t in range(m.shape[0]) for c in range(m.shape[1])]
+    """Bases that histories are projected on, as (basis, time, component, value) where they aren't 0."""
+    made = {
+        "raised_cosine": N.raised_cosine(2, 5, (1, 12), 2, 30), "laplacian": N.laplacian_pyramid(40, 3, 0.5, 1.2),
+        "bspline": N.bsplines(40, np.array([0, 4, 12, 20, 30, 36])), "identity": N.identity_basis(8),
+    }
+    rows = [(name, int(t), int(c), round(float(m[t, c]), 9)) for name, m in made.items() for t, c in zip(*np.nonzero(np.abs(m) > 1e-12), strict=True)]
     return spark.createDataFrame(rows, "basis string, time int, component int, value double")
 
 
-@query()
+@query("WITH " + _RC.format(p0=1, p1=60, b=1, n=5, e=0, w=64) + """, e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS time FROM embeddings WHERE len(embedding) = 64)
+    SELECT vec_id, """ + ", ".join(f"round(sum(CASE WHEN component = {k} THEN x * value END), 6) AS b{k}" for k in range(5)) + " FROM e JOIN rc USING (time) GROUP BY vec_id")
 def projected_histories(spark: SparkSession, sf: str) -> DataFrame:
     """Histories of 64 steps on five bumps, as expressions over the arrays."""
-    b = N.raised_cosine(64, 5, 1, 60)
+    b = N.raised_cosine(0, 5, (1, 60), 1, 64)
     x = F.transform("embedding", lambda v: v.cast("double"))
-    dot = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in b[:, k]]), lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v).alias(f"b{k}") for k in range(5)]
+    dot = [r6(F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in b[:, k]]), lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)).alias(f"b{k}") for k in range(5)]
     return A.table(spark, sf, "embeddings").where("size(embedding) = 64").select("vec_id", *dot)
 
 
-@query()
+@query(A.with_sql("events_m") + """, s AS (SELECT session_id, count(*) AS n FROM events_m GROUP BY session_id)
+    SELECT session_id, n, row_number() OVER (ORDER BY md5('42:' || strftime(session_id, '%Y-%m-%d')), session_id) <= greatest(1, CAST(round_even(0.1 * (SELECT count(*) FROM s), 0) AS BIGINT)) AS held_out FROM s""")
 def held_out_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by whether their session is held out; the list of sessions is small and seeded."""
-    e = A.events(spark, sf)
-    ids = [r["session_id"] for r in e.select("session_id").distinct().collect()]
-    held = Z.holdout_sessions(ids, 0.1, 42)
-    return e.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).withColumn("held_out", F.col("session_id").isin(held))
+    """Events by whether their session is held out; a tenth of the sessions, those first by a seeded hash of their id."""
+    s = A.events(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return Z.held_out(s, "session_id", 0.1, 42)
 
 
 @query()
@@ -364,9 +448,9 @@ def stratified_splits(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, s) for i, part in enumerate(splits) for s in part], "split int, session_id date")
 
 
-@query()
+@query(CALLS + " SELECT event_id, category FROM calls QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('17:' || event_id), event_id) <= 50")
 def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Fifty events of each category without replacement; which ones depends on the seed."""
-    w = Window.partitionBy("category").orderBy("r")
-    e = A.calls(spark, sf).select("event_id", "category").withColumn("r", F.xxhash64(F.lit(17), "event_id"))
+    w = Window.partitionBy("category").orderBy("r", "event_id")
+    e = A.calls(spark, sf).select("event_id", "category").withColumn("r", Z.seeded_hash(17, F.col("event_id")))
     return e.withColumn("k", F.row_number().over(w)).where("k <= 50").select("event_id", "category")

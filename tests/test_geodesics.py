@@ -24,7 +24,7 @@ def test_geodesics_weigh_all_points(spark, monkeypatch):
     for order, parts in ((slice(None), 1), (slice(None, None, -1), 3)):
         points = spark.createDataFrame(xy[order].tolist(), "x double, y double").repartition(parts)
         monkeypatch.setattr(kernels.A, "points", lambda *_, p=points: p)
-        got = kernels.density_geodesics(spark, "").collect()
+        got = kernels.geodesics(spark, "").collect()
         assert len(got) == 64 * 63 // 2
         for r in got:
             assert r.d == pytest.approx(want[r.a, r.b], rel=1e-9)

@@ -114,11 +114,27 @@ def test_variance_inflation():
 
 
 def test_bases():
-    b = N.bsplines(50, np.linspace(0, 49, 7))
-    assert b.shape == (50, 9) and np.allclose(b.sum(axis=1), 1) and (b >= 0).all()
-    r = N.raised_cosine(60, 5, 2, 50)
-    assert np.allclose(r.sum(axis=0), 1) and (np.diff(r.argmax(axis=0)) > 0).all()
-    assert np.allclose(np.linalg.norm(N.laplacian_pyramid(40, 3, 4, 4.0), axis=0), 1)
+    b = N.bsplines(25, np.array([0, 5, 10, 15, 20]))
+    assert b.shape == (25, 5) and np.allclose(b[5:20].sum(axis=1), 1)
+    x = np.arange(25)[::-1]
+    assert np.allclose(N.spline_knots(np.array([0, 5, 10, 15, 20]), 3, False), [0] * 4 + [10] + [20] * 4)
+    assert np.allclose(b[x < 10, 0], (1 - x[x < 10] / 10) ** 3) and np.allclose(b[x > 20, 4], (x[x > 20] / 10 - 1) ** 3)
+    ring = N.bsplines(21, np.array([0, 5, 10, 15, 20]), 3, True)
+    assert ring.shape == (21, 5) and np.allclose(N.spline_knots(np.array([0, 5, 10, 15, 20]), 3, True), np.arange(-15, 36, 5))
+    assert np.allclose(ring[20, :3], [1 / 6, 2 / 3, 1 / 6])
+    assert np.allclose(N.bsplines(9, np.arange(0, 9, 2), 2).sum(axis=1), 1)
+    r = N.raised_cosine(2, 5, (0, 10), 2, 30, 8)
+    size = np.linalg.norm(r, axis=0)
+    assert r.shape == (30, 8) and np.allclose(size[:7], 1) and size[7] == 0
+    assert r[29, 0] == r[28, 1] == 1 and (np.diff(r[:, 2:7].argmax(axis=0)) < 0).all()
+    open_ = N.raised_cosine(1, 4, (0, 8), 1)
+    assert np.isfinite(open_).all() and open_.shape == (1 + math.ceil(math.exp(math.log(9) * 5 / 3) - 1), 5)
+    p = N.laplacian_pyramid(64, 4, 1.0, 1.0)
+    assert p.shape[0] == 64 and np.allclose(np.linalg.norm(p, axis=0), 1)
+    assert p.shape[1] == sum(int(64 / 2.0 ** (k - 1) - 1) - 1 for k in range(4))
+    with pytest.raises(ValueError):
+        N.laplacian_pyramid(1, 1, 1.0, 1.0)
+    assert (N.identity_basis(4) == np.eye(4)[::-1]).all()
 
 
 def test_lattices():

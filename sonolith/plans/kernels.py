@@ -22,18 +22,17 @@ def r6(x, n: int = 6):
     return F.round(F.col(x) if isinstance(x, str) else x, n)
 
 
-def _anchors(spark: SparkSession, sf: str, days: int = 31) -> DataFrame:
-    e = A.events(spark, sf).where(F.col("category").isin("signup", "purchase") & (F.dayofmonth("session_id") <= days))
+def _anchors(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.events(spark, sf).where(F.col("category").isin("signup", "purchase"))
     return e.select("session_id", F.col("event_id").alias("anchor_id"), "start", F.when(F.col("category") == "signup", "a").otherwise("b").alias("group"))
 
 
-def _matrices(spark: SparkSession, sf: str, days: int = 31) -> DataFrame:
-    """Counts of all sessions; queries with SQL take the first days of a month, as their SQL does."""
-    return R.count_matrices(A.spikes(spark, sf).where(F.dayofmonth("session_id") <= days), _anchors(spark, sf, days), 3600.0)
+def _matrices(spark: SparkSession, sf: str) -> DataFrame:
+    return R.count_matrices(A.spikes(spark, sf), _anchors(spark, sf), 3600.0)
 
 
-_COUNTS = SPIKES + """, a AS (SELECT session_id, event_id AS trial, start, CASE WHEN category = 'signup' THEN 'a' ELSE 'b' END AS grp FROM events_m WHERE category IN ('signup', 'purchase') AND day(session_id) <= 10),
-    u AS (SELECT DISTINCT session_id, unit_id FROM spikes WHERE day(session_id) <= 10),
+_COUNTS = SPIKES + """, a AS (SELECT session_id, event_id AS trial, start, CASE WHEN category = 'signup' THEN 'a' ELSE 'b' END AS grp FROM events_m WHERE category IN ('signup', 'purchase')),
+    u AS (SELECT DISTINCT session_id, unit_id FROM spikes),
     n AS (SELECT a.session_id, a.trial, a.grp, u.unit_id, count(s.t)::DOUBLE AS n FROM a JOIN u USING (session_id) LEFT JOIN spikes s ON s.session_id = a.session_id AND s.unit_id = u.unit_id AND s.t >= a.start AND s.t <= a.start + 3600 GROUP BY ALL)"""
 
 
@@ -41,18 +40,18 @@ _COUNTS = SPIKES + """, a AS (SELECT session_id, event_id AS trial, start, CASE
     t AS (SELECT session_id, grp, count(DISTINCT trial) AS k, count(DISTINCT CASE WHEN len > 0 THEN trial END) AS live FROM z GROUP BY ALL)
     SELECT session_id, grp AS "group", any_value(k) AS n_trials, round((sum(s * s) - any_value(live)) / (any_value(k) * (any_value(k) - 1)), 6) AS cosine FROM v JOIN t USING (session_id, grp) GROUP BY session_id, grp""")
 def coactivity_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return R.coactivity_by_group(_matrices(spark, sf, 10)).select("session_id", "group", "n_trials", r6("cosine").alias("cosine"))
+    return R.coactivity_by_group(_matrices(spark, sf)).select("session_id", "group", "n_trials", r6("cosine").alias("cosine"))
 
 
 @query(_COUNTS + """, c AS (SELECT a.session_id, a.grp, a.unit_id AS u1, b.unit_id AS u2, CASE WHEN stddev_pop(a.n) > 0 AND stddev_pop(b.n) > 0 THEN corr(a.n, b.n) END AS r FROM n a JOIN n b ON a.session_id = b.session_id AND a.trial = b.trial AND a.unit_id < b.unit_id GROUP BY ALL)
     SELECT session_id, grp AS "group", round(avg(r), 6) AS r_sc FROM c GROUP BY ALL""")
 def coactivity_noise_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return R.coactivity_by_group(_matrices(spark, sf, 10)).select("session_id", "group", r6("r_sc").alias("r_sc"))
+    return R.coactivity_by_group(_matrices(spark, sf)).select("session_id", "group", r6("r_sc").alias("r_sc"))
 
 
 @query(_COUNTS + " SELECT session_id, trial, grp AS \"group\", CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS top FROM n GROUP BY ALL")
 def snippet_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matrices(spark, sf, 10)
+    m = _matrices(spark, sf)
     return m.select("session_id", "trial", "group", F.aggregate("counts", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("counts").alias("top"))
 
 

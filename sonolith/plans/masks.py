@@ -31,7 +31,7 @@ def detected_boxes(spark: SparkSession, sf: str) -> DataFrame:
         for p in batches:
             rows = []
             for i, w in zip(p["vec_id"], p["embedding"], strict=True):
-                rows += [(i, *b) for b in M.boxes(N.spectrum(np.asarray(w, float)[:64], 16, 2), 0.7, 1.5, 3)]
+                rows += [(i, *b) for b in M.boxes(N.spectrum(np.asarray(w, float), 16, 2), 0.7, 1.5, 3)]
             yield pd.DataFrame(rows, columns=["vec_id", "t0", "t1", "f0", "f1"])
 
     return _waves(spark, sf).mapInPandas(run, "vec_id long, t0 int, t1 int, f0 int, f1 int")
@@ -46,7 +46,7 @@ def masked_features(spark: SparkSession, sf: str) -> DataFrame:
         for p in batches:
             rows = []
             for i, w in zip(p["vec_id"], p["embedding"], strict=True):
-                w = np.asarray(w, float)[:64]
+                w = np.asarray(w, float)
                 s = N.spectrum(w, 16, 2)
                 window = M.time_window(0.8, 1.0, *s.shape)
                 parts = [s > np.percentile(s, q) for q in (80, 90)]

@@ -231,16 +231,16 @@ def interpulse_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("nx") - F.col("frame_index")) * 1000 / F.lit(150.0))).alias("mean_ms"))
 
 
-@query(FRAMES + """, v AS (SELECT session_id, speed AS s, frame_index FROM frames WHERE session_id = 3), q AS (SELECT list(s ORDER BY frame_index) AS l FROM v WHERE frame_index BETWEEN 100 AND 104),
-    p AS (SELECT v.frame_index - i AS pos, i, abs(v.s - l[i + 1]) AS d FROM v, q, range(5) r(i))
-    SELECT pos, count(*) AS n, round(max(d), 6) AS worst FROM p GROUP BY pos HAVING count(*) = 5 AND max(d) <= 12""")
+@query(FRAMES + """, v AS (SELECT session_id, speed AS s, frame_index FROM frames), q AS (SELECT list(s ORDER BY frame_index) AS l FROM v WHERE session_id = 3 AND frame_index BETWEEN 100 AND 104),
+    p AS (SELECT session_id, v.frame_index - i AS pos, i, abs(v.s - l[i + 1]) AS d FROM v, q, range(5) r(i))
+    SELECT session_id, pos, count(*) AS n, round(max(d), 6) AS worst FROM p GROUP BY session_id, pos HAVING count(*) = 5 AND max(d) <= 12""")
 def subsequence_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Places where five values follow one another as in a query, within a tolerance; the query is a short sequence."""
-    v = A.frames(spark, sf).where("session_id = 3").select("frame_index", F.col("speed").alias("s"))
-    wanted = [r["s"] for r in v.where("frame_index between 100 and 104").orderBy("frame_index").collect()]
-    q = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(wanted)])
-    p = v.withColumn("q", F.explode(q)).select((F.col("frame_index") - F.col("q.i")).alias("at"), F.abs(F.col("s") - F.col("q.x")).alias("d"))
-    return p.groupBy("at").agg(F.count(F.lit(1)).alias("n"), r6(F.max("d")).alias("worst")).where((F.col("n") == len(wanted)) & (F.col("worst") <= 12)).withColumnRenamed("at", "pos")
+    """Places of any session where five values follow one another as in a query, within a tolerance; the query is five frames of session 3."""
+    v = A.frames(spark, sf).select("session_id", "frame_index", F.col("speed").alias("s"))
+    wanted = v.where("session_id = 3 and frame_index between 100 and 104").select((F.col("frame_index") - 100).alias("i"), F.col("s").alias("x"))
+    p = v.join(F.broadcast(wanted)).select("session_id", (F.col("frame_index") - F.col("i")).alias("pos"), F.abs(F.col("s") - F.col("x")).alias("d"))  # five rows
+    near = p.where("d <= 12").groupBy("session_id", "pos").agg(F.count(F.lit(1)).alias("n"), r6(F.max("d")).alias("worst"))
+    return near.where("n = 5")
 
 
 def _diff_sql(angle: bool) -> str:
@@ -341,17 +341,17 @@ def refractory_censoring(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_all")).join(kept, "unit_id")
 
 
-@query(FRAMES + """ SELECT session_id, frame_index, round(avg(speed) OVER (PARTITION BY session_id ORDER BY frame_index ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 6) AS mean_history FROM frames WHERE session_id < 3""")
+@query(FRAMES + """ SELECT session_id, frame_index, round(avg(speed) OVER (PARTITION BY session_id ORDER BY frame_index ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 6) AS mean_history FROM frames""")
 def history_means(spark: SparkSession, sf: str) -> DataFrame:
     from sonolith.operators.normalise import history_mean
 
-    f = A.frames(spark, sf).where("session_id < 3")
+    f = A.frames(spark, sf)
     return f.select("session_id", "frame_index", r6(history_mean(f, "speed", 30)).alias("mean_history"))
 
 
-@query(CALLS + """, f AS (SELECT session_id, CAST(round_even(start * 0.05, 0) AS BIGINT) AS frame FROM calls WHERE category = 'purchase' AND CAST(strftime(session_id, '%d') AS INTEGER) <= 10),
+@query(CALLS + """, f AS (SELECT session_id, CAST(round_even(start * 0.05, 0) AS BIGINT) AS frame FROM calls WHERE category = 'purchase'),
     """ + A.SQL["frames"] + """, h AS (SELECT session_id, frame_index, list(speed) OVER w AS x FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY frame_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-    j AS (SELECT f.session_id, f.frame, h.x FROM f JOIN h ON h.session_id = CAST(strftime(f.session_id, '%d') AS INTEGER) - 1 AND h.frame_index = f.frame WHERE len(h.x) = 20)
+    j AS (SELECT f.session_id, f.frame, h.x FROM f JOIN h ON h.session_id = (CAST(strftime(f.session_id, '%d') AS INTEGER) - 1) % 10 AND h.frame_index = f.frame WHERE len(h.x) = 20)
     SELECT session_id, frame, count(*) AS n, round(avg(list_sum(x)), 6) AS total FROM j GROUP BY ALL""")
 def event_history_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty values before each event's frame, of events whose window is whole."""
@@ -359,6 +359,6 @@ def event_history_windows(spark: SparkSession, sf: str) -> DataFrame:
 
     f = A.frames(spark, sf)
     h = f.select(F.col("session_id").alias("s"), F.col("frame_index").alias("frame"), history_window(f, "speed", 20).alias("x"))
-    e = A.calls(spark, sf).where("category = 'purchase' and day(session_id) <= 10").select("session_id", (F.dayofmonth("session_id") - 1).cast("long").alias("s"), F.rint(F.col("start") * 0.05).cast("long").alias("frame"))
+    e = A.calls(spark, sf).where("category = 'purchase'").select("session_id", ((F.dayofmonth("session_id") - 1) % 10).cast("long").alias("s"), F.rint(F.col("start") * 0.05).cast("long").alias("frame"))
     j = e.join(h, ["s", "frame"]).where("x is not null")
     return j.groupBy("session_id", "frame").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v))).alias("total"))

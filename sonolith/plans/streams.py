@@ -93,13 +93,13 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/v00000002")
 
 
-@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, count(*) AS n, CAST(max(rn) AS BIGINT) AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS rn FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-04') GROUP BY 1""")
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, count(*) AS n, CAST(max(rn) AS BIGINT) AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS rn FROM events) GROUP BY 1""")
 def csv_file_order(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as a CSV a session and read again with their places in the files."""
     from sonolith.sources import tables as Q
 
     base = _work_dir(spark)
-    e = A.events(spark, sf).where(F.col("session_id") < F.lit("2024-01-04").cast("date"))
+    e = A.events(spark, sf)
     rows = e.select(F.col("session_id").cast("string").alias("day"), F.col("event_id").cast("string").alias("usv_id"), "start", "stop", "duration", F.lit(None).cast("double").alias("peak_amp_ch"), F.lit(None).cast("double").alias("mean_amp_ch"), F.lit(1.0).alias("chs_count"), F.lit("[]").alias("chs_detected"), "sex", "row_idx")
     rows.repartition("day").sortWithinPartitions("day", "row_idx").drop("row_idx").write.partitionBy("day").option("header", True).csv(f"{base}/csv")
     back = Q.read_events_csv(spark, f"{base}/csv/*")

@@ -206,11 +206,11 @@ def cluster_template_counts(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("cluster"), F.col("l_linenumber").cast("long").alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH d AS (SELECT a.p_partkey AS unit, b.s_suppkey AS channel, abs(a.p_size * 4 - b.s_suppkey % 200) AS d FROM part a, supplier b WHERE a.p_partkey < 50)
+@query("""WITH d AS (SELECT a.p_partkey AS unit, b.s_suppkey AS channel, abs(a.p_size * 4 - b.s_suppkey % 200) AS d FROM part a, supplier b)
     SELECT unit, channel, CAST(row_number() OVER (PARTITION BY unit ORDER BY d, channel) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def nearest_channels(spark: SparkSession, sf: str) -> DataFrame:
     """The five channels of a probe that lie nearest to each unit; a probe's channels are a parameter table."""
-    u = A.table(spark, sf, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("unit"), (F.col("p_size") * 4).alias("u"))
+    u = A.table(spark, sf, "part").select(F.col("p_partkey").alias("unit"), (F.col("p_size") * 4).alias("u"))
     s = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("channel"), (F.col("s_suppkey") % 200).alias("c"))
     packed = s.agg(F.collect_list(F.struct("channel", "c")).alias("cs"))
     near = u.join(F.broadcast(packed)).select("unit", F.slice(F.array_sort(F.transform("cs", lambda x: F.struct(F.abs(F.col("u") - x["c"]).alias("d"), x["channel"].alias("channel")))), 1, 5).alias("n"))  # one row

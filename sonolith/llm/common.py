@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,18 +13,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one round of vectorised work takes at a time.
-CHUNK_CHARS = 1 << 20
+#: Characters of text that one round of vectorised work takes at a time; texts.
+CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 1 << 12
+#: A key with more than this part of all rows is looked up by broadcast, so at most so many keys are.
+HOT_PARTS = 512
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The folder of ``spark.checkpoint.dir``. Where none is named, a temporary one, but only if Spark runs on this machine alone."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            named = tempfile.mkdtemp(prefix="sonolith-checkpoint-")
-            atexit.register(shutil.rmtree, named, True)
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            named = f"file://{tempfile.mkdtemp(prefix='sonolith-checkpoint-')}"
+            atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
@@ -34,6 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, parts: int = HOT_PARTS) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each ``key`` and in ``weight`` its number of rows, ``total`` in all.
+
+    Keys with over ``total / parts`` rows, at most ``parts`` of them, are broadcast, so their rows
+    stay where they lie; no other key has many rows, so no task gets many. Rows without a match go.
+    """
+    most = total // parts
+    hot = F.broadcast(table.where(F.col(weight) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(weight) <= most), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def if_few(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """``table`` with a hint to broadcast it if it has ``most`` rows at most, by count, else without; and whether it has."""
+    few = table.limit(most + 1).count() <= most
+    return (F.broadcast(table) if few else table), few
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
@@ -44,17 +67,34 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def fresh(df: DataFrame, *names: str) -> dict[str, str]:
-    """Working column names that ``df`` does not have."""
-    have, out = {c.lower() for c in df.columns}, {}
-    for name in names:
-        x = f"__{name}"
-        while x.lower() in have:
-            x = f"_{x}"
-        out[name] = x
+def beside(columns: list[str], *new: str) -> list[str]:
+    """Names for input columns that stand beside ``new`` ones: those that clash, or repeat another, get ``_in`` behind, as often as needed."""
+    taken, out = {n.lower() for n in new}, []
+    for c in columns:
+        while c.lower() in taken:
+            c = f"{c}_in"
+        taken.add(c.lower())
+        out.append(c)
     return out
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as Parquet in a folder that all executors share; unlike a checkpoint, columns that aren't needed aren't read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Take away what ``stored`` or a writer has left; nothing that reads it may still be wanted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def named(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by position, so that names that differ in case alone don't clash."""
     seen = {}
@@ -67,12 +107,12 @@ def named(df: DataFrame, *wanted: str) -> DataFrame:
     return exact.select(*[F.col(f"__c{seen[w]}").alias(w) for w in wanted])
 
 
-def text_chunks(column: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Whole texts (null: empty) in runs of about ``chars`` characters; a longer text is a run of its own."""
+def text_chunks(column: pa.Array, chars: int = CHUNK_CHARS, texts: int = CHUNK_TEXTS) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts (null: empty) in runs of about ``chars`` characters and ``texts`` texts at most; a longer text is a run of its own."""
     start, size, run = 0, 0, []
     for i, value in enumerate(column.to_pylist()):
         text = value or ""
-        if run and size + len(text) > chars:
+        if run and (size + len(text) > chars or len(run) >= texts):
             yield start, run
             start, size, run = i, 0, []
         run.append(text)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import bpe, exact_dedup, language_id, packing, revisits, sharding, simhash, token_files, topk, toxicity
-from sonolith.llm.common import checkpoint_dir
+from sonolith.llm import bpe, exact_dedup, language_id, packing, pieces, revisits, sharding, simhash, token_files, topk, toxicity
+from sonolith.llm.common import cut, remove_folder, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    folder = shared_folder(spark, "shards")
+    rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), folder=folder)
+    digest = cut(rows.select("doc_id", "size", sharding.text_crc32(F.col("text")).alias("text_crc32"), "law", "shard", "slot", "grown_shard"))
+    remove_folder(spark, folder)
+    return digest
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +77,11 @@ def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "tokens")
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    return token_files.read_token_digest(manifest, folder)
+    digest = cut(token_files.read_token_digest(manifest, folder))
+    remove_folder(spark, folder)
+    return digest
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +89,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if public_tokenizers.PATTERN != pieces.PATTERN:
+        raise ValueError("pieces are found for another pattern")
     return bpe.encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -2,15 +2,15 @@
 
 The distinct pieces of a batch lie in matrices of similar length, one row a piece, one column a
 token. Each round looks up the rank of every adjacent pair in a hash table, merges in each row the
-leftmost pair of least rank, closes the gap, and takes out the rows that have no pair left.
+leftmost pair of least rank, closes the gap, and takes out the rows that have no pair left. A piece
+over LONG_BYTES is a matrix of one row, whose rounds merge every place of the least pair.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sonolith.llm.common import arrow_map, named, starts_of, text_chunks
-from sonolith.llm.pieces import split
+from sonolith.llm.piece_ids import PIECE_CHARS, PieceIds, gathered
 
-#: Bytes of a piece up to which it goes in a matrix; longer ones are merged one by one with a heap.
-MATRIX_BYTES = 256
-#: Pieces that a worker remembers at most.
-REMEMBERED = 300_000
+#: Bytes from which a piece has a matrix of its own, in which a round merges every place of the least pair.
+LONG_BYTES = 256
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -104,8 +102,8 @@ class Ranks:
         for i, p in enumerate(pieces):
             if (r := self.rank.get(p)) is not None:
                 out[i] = np.array([r], dtype=np.uint32)
-            elif len(p) > MATRIX_BYTES:
-                out[i] = self._one_by_one(p)
+            elif len(p) > LONG_BYTES:
+                out[i] = self._merge_long(p)
             elif p:
                 matrix.append(i)
             else:
@@ -166,80 +164,47 @@ class Ranks:
         a, b = tokens[:, :-1], tokens[:, 1:]
         return np.where(b == _NONE, _NONE, self.pairs.find(a, b))
 
-    def _one_by_one(self, piece: bytes) -> np.ndarray:
-        """The same merges for a long piece: a heap of pairs over a linked list."""
-        n = len(piece)
-        token = [int(x) for x in self.byte_rank[np.frombuffer(piece, dtype=np.uint8)]]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.find(np.array(token[:-1], dtype=np.uint32), np.array(token[1:], dtype=np.uint32))
-        heap = [(int(r), i, i + 1) for i, r in enumerate(first) if r != _NONE]
-        heapq.heapify(heap)
-        stamp = [0] * n  # changes whenever the token at a place does
-        live = {i: (0, 0) for _, i, _ in heap}
-        alive = [True] * n
-        while heap:
-            r, i, j = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and after[i] == j and live.get(i) == (stamp[i], stamp[j])):
-                continue
-            if self._pair(token[i], token[j]) != r:
-                continue
-            token[i], alive[j] = r, False
-            stamp[i] += 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (q := self._pair(token[a], token[after[a]])) is not None:
-                    live[a] = (stamp[a], stamp[after[a]])
-                    heapq.heappush(heap, (q, a, after[a]))
-        return np.array([token[i] for i in range(n) if alive[i]], dtype=np.uint32)
-
-    def _pair(self, a: int, b: int) -> int | None:
-        joined = self.spelled[self.at[a] : self.at[a + 1]].tobytes() + self.spelled[self.at[b] : self.at[b + 1]].tobytes()
-        return self.rank.get(joined)
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """The same merges for a long piece, a matrix of one row: a round merges all places of the least pair.
+
+        From left to right and without overlap, that is what as many rounds of one merge would do, as
+        long as no new pair has a lesser rank; places from the first that would give one wait.
+        """
+        row = self.byte_rank[np.frombuffer(piece, dtype=np.uint8)]
+        rank = self.pairs.find(row[:-1], row[1:])
+        while len(rank) and (least := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == least)
+            # of places that touch, every second one
+            turn = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+            at = at[(np.arange(len(at)) - np.repeat(turn, np.diff(turn, append=len(at)))) % 2 == 0]
+            while True:
+                gone = np.ones(len(row), dtype=bool)
+                gone[at + 1] = False
+                new = row.copy()
+                new[at] = least
+                new = new[gone]
+                place = at - np.arange(len(at))  # of the merged tokens
+                left, right = place[place > 0] - 1, place[place < len(new) - 1]
+                before, after = np.full(len(at), _NONE), np.full(len(at), _NONE)
+                before[place > 0] = self.pairs.find(new[left], new[left + 1])
+                after[place < len(new) - 1] = self.pairs.find(new[right], new[right + 1])
+                low = np.flatnonzero(np.minimum(before, after) <= least)
+                if not len(low) or len(at) == 1:
+                    break
+                at = at[: max(1, int(low[0]))]
+            held = np.delete(rank, at)
+            held[left] = before[place > 0]
+            held[right] = after[place < len(new) - 1]
+            row, rank = new, held
+        return row
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids."""
-        size = self.size[ids]
-        first = starts_of(size)
-        return self.spelled[np.arange(first[-1]) + np.repeat(self.at[ids] - first[:-1], size)].tobytes()
-
-
-class PieceCache:
-    """piece -> its ids as bytes (uint32, lowest byte first), for the pieces met lately.
+        return gathered(self.spelled, self.at[ids], self.size[ids]).tobytes()
 
-    Two generations: when the young one is full the old one goes, and what is used of the old one
-    becomes young again, so frequent pieces stay. Holds 2 * REMEMBERED pieces, beside one batch.
-    """
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __len__(self) -> int:
-        return len(self.young) + len(self.old)
-
-    def ids(self, pieces: list[str], encode) -> list[bytes]:
-        """``encode`` gives the ids of the pieces that are not remembered."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        own: dict[str, bytes] = dict.fromkeys(pieces)  # small, so that looking up each piece stays near
-        new = []
-        for p in own:
-            ids = young.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    new.append(p)
-                    continue
-                young[p] = ids
-            own[p] = ids
-        if new:
-            fresh = dict(zip(new, encode(new), strict=True))
-            own.update(fresh)
-            young.update(fresh)
-        return list(map(own.__getitem__, pieces))
+    def decode_spans(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of all ids, and where those of the spans at ``at`` begin, and the end."""
+        return self.decode(ids), starts_of(self.size[ids])[at]
 
 
 @cache
@@ -249,20 +214,19 @@ def ranks(path: str) -> Ranks:
 
 
 @cache
-def _cache_of(path: str) -> PieceCache:
-    return PieceCache()
+def _pieces_of(path: str) -> PieceIds:
+    table = ranks(path)
 
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = table.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])
+        return np.concatenate(ids), starts_of(np.array([len(x) for x in ids], dtype=np.int64))
 
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text."""
-    table = ranks(path)
+    return PieceIds(encode)
 
-    def encode(new: list[str]) -> list[bytes]:
-        return [x.astype("<u4").tobytes() for x in table.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])]
 
-    pieces, first = split(texts)
-    ids = _cache_of(path).ids(pieces, encode)
-    return [np.frombuffer(b"".join(ids[a:b]), dtype="<u4") for a, b in zip(first[:-1], first[1:], strict=True)]
+def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one behind the other (uint32), and where each text's start, and the end."""
+    return _pieces_of(path).ids(texts)
 
 
 def encode_rows(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,34 +235,38 @@ def encode_rows(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null texts count as empty and have no ids; the text of a special token is ordinary text.
     Repeated rows give repeated rows, an empty table an empty one; other columns are not looked at.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at, texts in text_chunks(batch.column(1)):
-            ids = encode_texts(path, texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([ranks(path).decode(x) for x in ids], pa.binary())],
-                names=["id", "ids", "decoded"],
-            )
+    def columns(ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        spelled, byte_at = ranks(path).decode_spans(ids, at)
+        return [
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32))),
+            pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(byte_at.astype(np.int32)), pa.py_buffer(spelled)]),
+        ]
 
-    return arrow_map(named(df, id_col, text_col), work, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return _encoded(df, path, id_col, text_col, columns, {"ids": "array<int>", "decoded": "binary"})
 
 
 def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of what ``encode_rows`` gives, hashed where it is made."""
-    id_type = df.schema[id_col].dataType.simpleString()
+
+    def hashes(data: bytes, at: np.ndarray) -> pa.Array:
+        whole = memoryview(data)
+        return pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
+    def columns(ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.diff(at)), hashes(ids.astype("<u4").tobytes(), 4 * at), hashes(*ranks(path).decode_spans(ids, at))]
+
+    return _encoded(df, path, id_col, text_col, columns, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
+
+
+def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]], kinds: dict[str, str]) -> DataFrame:
+    """The id and ``columns`` of each row's ids, a chunk of texts at a time."""
+    source = named(df, id_col, text_col)
+    id_type = source.schema[0].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at, texts in text_chunks(batch.column(1)):
-            ids = encode_texts(path, texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(at, len(texts)),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(ranks(path).decode(x)).hexdigest() for x in ids]),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return arrow_map(named(df, id_col, text_col), work, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+        for start, texts in text_chunks(batch.column(1), PIECE_CHARS):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *columns(*encode_texts(path, texts))], names=["id", *kinds])
+
+    out = arrow_map(source, work, ", ".join(["id " + id_type, *(f"{c} {kind}" for c, kind in kinds.items())]))
+    return out.toDF(id_col, *kinds)

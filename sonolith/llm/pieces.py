@@ -1,8 +1,6 @@
 """Pieces of text before byte-level BPE, found for many texts at once in numpy.
 
-Gives the matches of
-``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
-which both public byte-level vocabularies use.
+Gives the matches of PATTERN, which both public byte-level vocabularies use.
 """
 
 from __future__ import annotations
@@ -20,6 +18,10 @@ _PLANES = 0x40000
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The contractions of the pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+# Fixed value: the pattern whose matches are found here.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A surrogate, which no text has, goes between pieces; base of the polynomial hash.
+_MARK, _BASE = 0xDC00, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _matching(pattern: str, text: str) -> list[int]:
@@ -81,16 +83,41 @@ def boundaries(cp: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, where each piece starts in them, and the end, and the first piece of each text, and the end."""
+    cp = code_points("".join(texts))
+    doc_at = np.concatenate(([0], np.cumsum(np.array([len(t) for t in texts], dtype=np.int64))))
+    at = boundaries(cp, doc_at)
+    return cp, np.append(at, len(cp)), np.searchsorted(at, doc_at)
+
+
+def strings(cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
+    """The spans as strings."""
+    if not len(start):
+        return []
+    end = np.cumsum(size + 1)
+    flat = np.full(int(end[-1]) - 1, _MARK, dtype=np.uint32)
+    into = np.repeat(end - size - 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    flat[into] = cp[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(chr(_MARK))
+
+
+@cache
+def _hashed() -> np.ndarray:
+    """A random number for each code point."""
+    return np.random.default_rng(64).integers(1, 1 << 64, sys.maxunicode + 1, dtype=np.uint64)
+
+
+def hashes(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A polynomial hash of each piece, and each code point's place in its piece."""
+    size = np.diff(at)
+    place = np.arange(len(cp)) - np.repeat(at[:-1], size)
+    power = np.full(int(size.max()) + 1, _BASE, dtype=np.uint64)
+    power[0] = 1
+    return np.add.reduceat(_hashed()[cp] * np.cumprod(power)[place], at[:-1]), place
+
+
 def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """All pieces in order, and where each text's pieces start, and the end."""
-    whole = "".join(texts)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    doc_at = np.concatenate(([0], np.cumsum(sizes)))
-    cp = code_points(whole)
-    at = boundaries(cp, doc_at)
-    first = np.searchsorted(at, doc_at)
-    if not len(at):
-        return [], first
-    mark = next(chr(c) for c in (0x1F, *range(0xE000, 0xF8FF), *range(0xF0000, 0xFFFFE)) if chr(c) not in whole)
-    marked = np.insert(cp, at[1:], ord(mark))
-    return marked.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(mark), first
+    cp, at, first = spans(texts)
+    return strings(cp, at[:-1], np.diff(at)), first

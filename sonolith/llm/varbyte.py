@@ -1,23 +1,24 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length code with separate control bytes.
 
-A file holds the documents of one range of ids, in order of id:
+The vocabulary is one array of uint32 for all files: the id of each rank; rank 0 is the most frequent
+id of the whole corpus. A file is blocks, each behind its size as int64. A block holds documents in
+order of id:
 
-    magic, int64 documents, int64 ids, int64 vocabulary
-    vocabulary x uint32   id of each rank; rank 0 is the file's most frequent id
+    magic, int64 documents, int64 ids
     documents x int64     document id        documents x uint8   1 where the document id is null
     documents x int64     number of ids
     control bytes         four ids a byte, two bits each: data bytes of the rank, less one
     data bytes            ranks, lowest byte first
 
-A control byte looked up in a table gives the four lengths and their sum, so a block is decoded by
-table lookup, cumulative sums and one gather for each byte place.
+A control byte looked up in a table gives the four lengths, so a block is decoded by table lookup,
+one cumulative sum and one gather for each byte place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MAGIC = b"SNLTOK01"
+MAGIC = b"SNLTOK02"
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
 
@@ -51,26 +52,26 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pack(doc_ids: list[int | None], per_doc: list[np.ndarray]) -> bytes:
-    """A whole file."""
-    ids = np.concatenate([np.zeros(0, np.uint32), *per_doc]).astype(np.uint32)
-    vocabulary = ranked(np.bincount(ids, minlength=1))
-    rank_of = np.zeros(int(vocabulary.max()) + 1 if len(vocabulary) else 1, dtype=np.uint32)
-    rank_of[vocabulary] = np.arange(len(vocabulary), dtype=np.uint32)
-    control, data = encode(rank_of[ids]) if len(ids) else (b"", b"")
-    head = np.array([len(doc_ids), len(ids), len(vocabulary)], dtype="<i8")
-    docs = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    none = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    sizes = np.array([len(x) for x in per_doc], dtype="<i8")
-    return b"".join((MAGIC, head.tobytes(), vocabulary.astype("<u4").tobytes(), docs.tobytes(), none.tobytes(), sizes.tobytes(), control, data))
+def rank_table(vocabulary: np.ndarray) -> np.ndarray:
+    """Rank of each id, for ids that are in the vocabulary."""
+    out = np.zeros(int(vocabulary.max()) + 1 if len(vocabulary) else 1, dtype=np.uint32)
+    out[vocabulary] = np.arange(len(vocabulary), dtype=np.uint32)
+    return out
+
+
+def pack(docs: np.ndarray, none: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
+    """A whole block of documents' ranks, one behind the other."""
+    control, data = encode(ranks)
+    head = np.array([len(docs), len(ranks)], dtype="<i8")
+    return b"".join((MAGIC, head.tobytes(), docs.astype("<i8").tobytes(), none.astype(np.uint8).tobytes(), sizes.astype("<i8").tobytes(), control, data))
 
 
-def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, ids of each document, and all ids."""
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, which of them are null, ranks of each document, and all ranks."""
     if blob[:8] != MAGIC:
-        raise ValueError("not a token file")
-    docs, n, words = (int(x) for x in np.frombuffer(blob, dtype="<i8", count=3, offset=8))
-    at = 32
+        raise ValueError("not a block of a token file")
+    docs, n = (int(x) for x in np.frombuffer(blob, dtype="<i8", count=2, offset=8))
+    at = 24
 
     def take(dtype: str, count: int) -> np.ndarray:
         nonlocal at
@@ -78,10 +79,9 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    vocabulary, ids, none, sizes = take("<u4", words), take("<i8", docs), take("u1", docs), take("<i8", docs)
+    ids, none, sizes = take("<i8", docs), take("u1", docs), take("<i8", docs)
     control = take("u1", -(-n // 4))
     data = take("u1", len(blob) - at)
-    if n and int(_LENGTHS[control].ravel()[:n].sum(dtype=np.int64)) != len(data):
-        raise ValueError("token file is cut short")
-    tokens = vocabulary[decode(control, data, n)] if n else np.zeros(0, np.uint32)
-    return [None if x else int(d) for d, x in zip(ids, none, strict=True)], sizes, tokens
+    if int(_LENGTHS[control].ravel()[:n].sum(dtype=np.int64)) != len(data):
+        raise ValueError("block is cut short")
+    return ids, none.astype(bool), sizes, decode(control, data, n)

@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult, threat, target, negator, report, or other. Three transducers run over
-the symbols of a clause, composed into one machine: the first marks what stands after a negator,
-the second what stands after a reporting word, the third what stands after a person addressed. Each
-marked insult or threat has a weight; a clause scores the sum, a text its clauses together. Insult
-stems and their weights are learned from labels, and so is the curve from evidence to score.
+A lexicon turns the words of a clause into symbols: insult, threat, target, negator, report, intent
+or other. Five weighted transducers, for negation, reported speech, targets, threats and insults, are
+composed into one machine that reads the symbols and gives a factor for each; marks that come from
+words further on are set by a machine that reads the clause from its end. A clause scores the sum of
+its words' weights times their factors, so a threat without anybody addressed scores nothing, and a
+negated or reported one little. Insult stems and their weights are learned from labels, and so is
+the curve from evidence to score.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import product
+from collections.abc import Callable, Hashable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,94 +24,147 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolith.llm.common import arrow_map, cut, id_bucket, named, text_chunks
+from sonolith.llm.common import arrow_map, beside, cut, id_bucket, named, text_chunks
 
-OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT = range(6)
-# Marks that transducers add to an insult or a threat.
-NEGATED, REPORTED, TARGETED = 8, 16, 32
-#: Words behind a negator, and behind a target, that it reaches.
-NEGATION_REACH, TARGET_REACH = 3, 5
+OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, INTENT = range(7)
+# Marks of an insult or a threat.
+NEGATED, REPORTED, AIMED = 8, 16, 32
+#: Words that a negator, somebody addressed, and an intent reach.
+NEGATION_REACH, TARGET_REACH, INTENT_REACH = 3, 5, 4
 #: Labelled documents to learn from, about; more are thinned by a hash of the id.
 SAMPLE_DOCS = 12_000
 #: Letters of a stem; a stem's least log-likelihood ratio and least log odds.
-STEM_LETTERS, LEAST_RATIO, LEAST_ODDS = range(3, 8), 24.0, 2.5
-#: Weight of a mark, as a factor.
-NEGATED_FACTOR, REPORTED_FACTOR, TARGETED_FACTOR, THREAT_WEIGHT = 0.2, 0.3, 1.5, 4.0
+STEM_LETTERS, LEAST_RATIO, LEAST_ODDS = range(3, 8), 24.0, 1.6
+#: Weight of a threat; factors of transitions.
+THREAT_WEIGHT, NEGATED_FACTOR, REPORTED_FACTOR, AIMED_FACTOR, VAGUE_FACTOR, PILED_FACTOR = 4.0, 0.2, 0.3, 1.5, 0.8, 1.2
+#: Characters that accidental evidence is told by; evidence that counts as accidental in any text.
+PER_CHARS, FLOOR = 1000, 0.1
 THRESHOLD = 0.7
 
 # Closed word classes in English, German, French and Spanish.
 WORDS = {
-    THREAT: "kill hurt destroy murder töten umbringen vernichten tuer tuerai détruire matar mataré destruir",
-    TARGET: "you your yours they them he she him du dich dir ihr euch sie tu toi te vous ils elles tú ti vosotros usted ustedes ellos ellas",
-    NEGATOR: "not never isn't aren't don't nicht kein keine niemals pas jamais aucun nunca jamás tampoco",
-    REPORT: "said says called wrote quoted claimed sagte nannte schrieb disait écrivait dijo llamó escribió",
+    THREAT: (
+        "kill kills killing murder hurt beat stab shoot strangle destroy töten tötet töte umbringen bringe schlagen erschlagen erschießen vernichten "
+        "tuer tue tuerai tuerons détruire frapper frapperai étrangler matar mato mataré mataremos matarte destruir golpear pegar"
+    ),
+    TARGET: "you your yours they them he she him her du dich dir dein deine ihr euch sie ihn tu toi te vous ils elles lui leur tú ti usted ustedes os ellos ellas lo la",
+    NEGATOR: "not never no isn't aren't don't won't wouldn't cannot can't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco",
+    REPORT: "said says say told called wrote writes quoted claimed sagte sagt nannte schrieb behauptete dit disait écrivait prétend dijo dice llamó escribió",
+    INTENT: "will shall gonna going must i'll we'll werde werden will wollen muss vais allons veux voy vamos quiero",
 }
 _CLOSED = {w: kind for kind, words in WORDS.items() for w in words.split()}
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
+Step = Callable[[Hashable, int], tuple[Hashable, int, float]]
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """A machine that reads a symbol and gives one: (state, symbol) -> (state, symbol)."""
+    """A weighted machine that reads a symbol and gives one: (state, symbol) -> (state, symbol, factor)."""
 
-    states: int
-    step: dict[tuple[int, int], tuple[int, int]] = field(hash=False)
+    start: Hashable
+    step: Step
 
     def then(self, other: Transducer) -> Transducer:
-        """Both in one: what this gives, the other reads."""
-        step = {}
-        for (s, x), (s2, y) in self.step.items():
-            for t in range(other.states):
-                t2, z = other.step[t, y]
-                step[s * other.states + t, x] = (s2 * other.states + t2, z)
-        return Transducer(self.states * other.states, step)
-
-    def run(self, symbols: list[int]) -> list[int]:
-        state, out = 0, []
+        """Both in one: what this gives, the other reads; factors are multiplied."""
+
+        def step(state: Hashable, x: int) -> tuple[Hashable, int, float]:
+            s, y, f = self.step(state[0], x)
+            t, z, g = other.step(state[1], y)
+            return (s, t), z, f * g
+
+        return Transducer((self.start, other.start), step)
+
+    def compiled(self, alphabet: list[int]) -> Machine:
+        """All states that the alphabet reaches, as numbers."""
+        number, todo, table = {self.start: 0}, [self.start], []
+        while todo:
+            state = todo.pop(0)
+            row = {}
+            for x in alphabet:
+                to, y, factor = self.step(state, x)
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                row[x] = (number[to], y, factor)
+            table.append(row)
+        return Machine(table)
+
+
+@dataclass(frozen=True)
+class Machine:
+    table: list[dict[int, tuple[int, int, float]]]
+
+    def run(self, symbols: list[int]) -> tuple[list[int], list[float]]:
+        """What is given for each symbol, and its factor."""
+        state, out, factors = 0, [], []
         for x in symbols:
-            state, y = self.step[state, x]
+            state, y, f = self.table[state][x]
             out.append(y)
-        return out
+            factors.append(f)
+        return out, factors
+
+
+def _hit(x: int) -> bool:
+    return x & 7 in (INSULT, THREAT)
+
+
+def _near(opener: int, mark: int, reach: int, factor: float = 1.0, kinds: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
+    """Marks hits up to ``reach`` symbols behind an opener (0: all behind it); hits with the mark have ``factor``, if of ``kinds``."""
+
+    def step(left: int, x: int) -> tuple[int, int, float]:
+        y = x | mark if left and _hit(x) else x
+        to = (reach or 1) if x & 7 == opener else left if not reach else max(0, left - 1)
+        return to, y, factor if y & mark and y & 7 in kinds else 1.0
 
+    return Transducer(0, step)
 
-def _marker(opener: int, mark: int, reach: int, alphabet: list[int]) -> Transducer:
-    """Marks insults and threats up to ``reach`` symbols behind an opener (0: to the end of the clause)."""
-    states = reach + 1 if reach else 2
-    step = {}
-    for s, x in product(range(states), alphabet):
-        kind = x & 7
-        y = x | mark if s and kind in (INSULT, THREAT) else x
-        left = (states - 1) if kind == opener else (s if not reach else max(0, s - 1))
-        step[s, x] = (left, y)
-    return Transducer(states, step)
 
+def _threats() -> Transducer:
+    """A threat counts if it is aimed at somebody, less without an intent before it."""
 
-def _marked(alphabet: list[int], mark: int) -> list[int]:
-    return sorted({*alphabet, *(x | mark for x in alphabet if x & 7 in (INSULT, THREAT))})
+    def step(left: int, x: int) -> tuple[int, int, float]:
+        to = INTENT_REACH if x & 7 == INTENT else max(0, left - 1)
+        if x & 7 != THREAT:
+            return to, x, 1.0
+        return to, x, (1.0 if left else VAGUE_FACTOR) if x & AIMED else 0.0
 
+    return Transducer(0, step)
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then target."""
-    plain = list(range(6))
-    after_negation = _marked(plain, NEGATED)
-    after_report = _marked(after_negation, REPORTED)
-    negation = _marker(NEGATOR, NEGATED, NEGATION_REACH, plain)
-    report = _marker(REPORT, REPORTED, 0, after_negation)
-    target = _marker(TARGET, TARGETED, TARGET_REACH, after_report)
-    return negation.then(report).then(target)
 
+def _insults() -> Transducer:
+    """Insults after the first of a clause weigh more."""
 
-_GRAMMAR = grammar()
+    def step(seen: int, x: int) -> tuple[int, int, float]:
+        insult = x & 7 == INSULT
+        return int(seen or insult), x, PILED_FACTOR if insult and seen else 1.0
 
+    return Transducer(0, step)
 
-def _factor(symbol: int) -> float:
-    out = 1.0
-    for mark, factor in ((NEGATED, NEGATED_FACTOR), (REPORTED, REPORTED_FACTOR), (TARGETED, TARGETED_FACTOR)):
-        if symbol & mark:
-            out *= factor
-    return out
+
+_PLAIN = list(range(7))
+_MARKED = sorted({*_PLAIN, *(k | m for k in (INSULT, THREAT) for m in (NEGATED, AIMED, NEGATED | AIMED))})
+
+
+def grammar() -> tuple[Machine, Machine]:
+    """What is read from a clause's end (negators and targets that follow), and then from its beginning."""
+    backward = _near(NEGATOR, NEGATED, NEGATION_REACH).then(_near(TARGET, AIMED, TARGET_REACH))
+    negation = _near(NEGATOR, NEGATED, NEGATION_REACH, NEGATED_FACTOR)
+    report = _near(REPORT, REPORTED, 0, REPORTED_FACTOR)
+    target = _near(TARGET, AIMED, TARGET_REACH, AIMED_FACTOR, (INSULT,))
+    forward = negation.then(report).then(target).then(_threats()).then(_insults())
+    return backward.compiled(_PLAIN), forward.compiled(_MARKED)
+
+
+_BACKWARD, _FORWARD = grammar()
+
+
+def clause_score(symbols: list[int], weights: list[float]) -> float:
+    """Sum of weights times factors; symbols other than insults and threats have weight 0."""
+    marked = _BACKWARD.run(symbols[::-1])[0][::-1]
+    return sum(w * f for w, f in zip(weights, _FORWARD.run(marked)[1], strict=True) if w)
 
 
 def stems(text: str) -> set[str]:
@@ -146,25 +201,26 @@ class Lexicon:
         return out
 
     def evidence(self, text: str) -> float:
-        """Sum of the clauses' scores."""
+        """Sum of the scores of the clauses that have a hit, in one pass over the text."""
         low = text.lower()
         hits = self.hits(low)
-        if not hits:
-            return 0.0
-        starts = sorted(hits)
-        total, i = 0.0, 0
-        while i < len(starts):
-            before = max(low.rfind(c, 0, starts[i]) for c in ".!?;\n") + 1
-            found = _CLAUSE.search(low, starts[i])
-            after = found.start() if found else len(low)
-            total += self._clause(low, before, after, hits)
-            while i < len(starts) and starts[i] < after:
-                i += 1
+        starts = iter(sorted(hits))
+        at = next(starts, None)
+        total, begin = 0.0, 0
+        for m in chain(_CLAUSE.finditer(low), (None,)):
+            if at is None:
+                break
+            end = m.start() if m else len(low)
+            if at < end:
+                total += self._clause(low, begin, end, hits)
+                while at is not None and at < end:
+                    at = next(starts, None)
+            begin = m.end() if m else end
         return total
 
-    def _clause(self, low: str, before: int, after: int, hits: dict[int, float]) -> float:
+    def _clause(self, low: str, begin: int, end: int, hits: dict[int, float]) -> float:
         symbols, weights = [], []
-        for m in _WORD.finditer(low, before, after):
+        for m in _WORD.finditer(low, begin, end):
             # behind an elision (l', d', qu') the word begins anew
             tail = m.start() + m.group().find("'") + 1
             kind = _CLOSED.get(m.group()) or _CLOSED.get(low[tail : m.end()], OTHER)
@@ -172,34 +228,32 @@ class Lexicon:
             if w:
                 kind = INSULT
             symbols.append(kind)
-            weights.append(w)
-        score = 0.0
-        for x, w in zip(_GRAMMAR.run(symbols), weights, strict=True):
-            if x & 7 == INSULT:
-                score += w * _factor(x)
-            elif x & 7 == THREAT and x & TARGETED:
-                score += THREAT_WEIGHT * _factor(x)
-        # a threat may stand before its target
-        kinds = [x & 7 for x in symbols]
-        for k, kind in enumerate(kinds):
-            if kind == THREAT and TARGET in kinds[k + 1 : k + 1 + TARGET_REACH] and TARGET not in kinds[max(0, k - TARGET_REACH) : k]:
-                score += THREAT_WEIGHT
-        return score
+            weights.append(THREAT_WEIGHT if kind == THREAT else w)
+        return clause_score(symbols, weights)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Stem weights, and the logistic curve over log(1 + evidence)."""
+    """Stem weights; evidence that clean texts have by PER_CHARS characters; bias and slope of the logistic curve.
+
+    The curve is over log(1 + evidence / (FLOOR + what a clean text of this length would have)).
+    """
 
     weights: dict[str, float]
+    noise: float
     bias: float
     slope: float
 
     def scores(self, texts: list[str], lexicon: Lexicon) -> np.ndarray:
-        x = np.log1p(np.array([lexicon.evidence(t) for t in texts]))
+        evidence = np.array([lexicon.evidence(t) for t in texts], dtype=np.float64)
+        x = excess(evidence, np.array([len(t) for t in texts]), self.noise)
         return 1 / (1 + np.exp(-(self.bias + self.slope * x)))
 
 
+def excess(evidence: np.ndarray, chars: np.ndarray, noise: float) -> np.ndarray:
+    return np.log1p(evidence / (FLOOR + noise * chars / PER_CHARS))
+
+
 def _ratio(a: int, b: int, n_a: int, n_b: int) -> float:
     """Log-likelihood ratio of a in n_a against b in n_b."""
 
@@ -233,15 +287,14 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     return kept
 
 
-def fit_curve(evidence: np.ndarray, label: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Bias and slope of the logistic curve, by Newton's method with a little ridge."""
-    x = np.column_stack([np.ones(len(evidence)), np.log1p(evidence)])
+def fit_curve(x: np.ndarray, label: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
+    """Bias and slope of the logistic curve over x, by Newton's method with a little ridge; the slope is 0 at least."""
+    z = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (p - label) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-z @ w))
+        hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(hess, z.T @ (p - label) + ridge * w)
         w = w - np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -255,14 +308,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     id; they alone are joined to the texts, so the broadcast side is bounded. Rows without a label
     are not looked at; an id labelled twice counts as toxic if one of the labels says so.
     """
-    told = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    told = named(labels, id_col, label_col).where(usable).toDF("id", "label").where("id is not null and label is not null").select("id", (F.col("label") > 0).cast("int").alias("label"))
     share = int(min(1.0, sample_docs / max(told.count(), 1)) * (1 << 30))
     picked = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).groupBy("id").agg(F.max("label").alias("label"))
     sample = cut(named(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(picked), "id").select("text", "label"))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        return ToxicityModel({}, -20.0, 0.0)
+        return ToxicityModel({}, 0.0, -20.0, 0.0)
 
     def counts(wanted: frozenset[str] | None):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,12 +339,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     weights = choose_stems(toxic, clean, n_toxic, n_clean)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(weights)
-        yield pa.RecordBatch.from_arrays([pa.array([lexicon.evidence(t or "") for t in batch.column(0).to_pylist()]), batch.column(1)], names=["evidence", "label"])
+        lexicon, texts = Lexicon(weights), [t or "" for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([lexicon.evidence(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), batch.column(1)], names=["evidence", "chars", "label"])
 
-    seen = arrow_map(sample, work, "evidence double, label int").collect()  # two numbers for each sampled row
-    bias, slope = fit_curve(np.array([r["evidence"] for r in seen]), np.array([r["label"] for r in seen], dtype=np.float64))
-    return ToxicityModel(weights, bias, slope)
+    seen = arrow_map(sample, work, "evidence double, chars long, label int").toArrow()  # three numbers for each sampled row
+    evidence, chars, label = (seen.column(i).to_numpy() for i in range(3))
+    noise = float(evidence[label == 0].sum() * PER_CHARS / max(chars[label == 0].sum(), 1))
+    return ToxicityModel(weights, noise, *fit_curve(excess(evidence, chars, noise), label.astype(np.float64)))
 
 
 def kept(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -312,12 +366,9 @@ def scored(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataF
     """All rows and columns, with score (0 to 1) and predicted (1 from THRESHOLD on) behind them.
 
     Whole texts are scored, from their words alone. Null and empty texts, and all texts without
-    insults or threats, have the least score that the model gives. Columns named score or predicted
-    raise ValueError; others may have any names.
+    insults or threats, have the least score that the model gives. Input columns named score or
+    predicted, or like another, get ``_in`` behind their names.
     """
-    clash = [c for c in df.columns if c.lower() in ("score", "predicted")]
-    if clash:
-        raise ValueError(f"columns {clash} would be overwritten")
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     at = df.columns.index(text_col)
 
@@ -330,7 +381,7 @@ def scored(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     schema = T.StructType([*inner.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return inner.mapInArrow(run, schema).toDF(*df.columns, "score", "predicted")
+    return inner.mapInArrow(run, schema).toDF(*beside(df.columns, "score", "predicted"), "score", "predicted")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

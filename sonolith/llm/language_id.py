@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolith.llm.common import arrow_map, id_bucket, named, starts_of, text_chunks
+from sonolith.llm.common import arrow_map, beside, id_bucket, named, starts_of, text_chunks
 from sonolith.llm.pieces import LETTER, classes, code_points
 
 #: Length of the vectors, letters that have their own (others share by hash), seed of the vectors.
 DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240229
 #: Labelled documents that profiles are learned from, about; more than these are thinned by a hash of the id.
 SAMPLE_DOCS = 20_000
+#: Texts whose counts of trigrams are held at a time, 4,096 trigrams each (32 MB).
+CHUNK = 1024
 UNDETERMINED = "und"
 
 
@@ -94,19 +96,19 @@ class Profiles:
 
 
 def learn(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Profiles:
-    """Profiles from the rows that are ``usable`` and have a language.
+    """Profiles from the rows that are ``usable`` (a condition on the three columns) and have a language.
 
     Of more than ``sample_docs`` such rows about that many are taken, chosen by a hash of the id.
     The texts' vectors are summed on the executors; the driver gets one vector a language.
     """
-    labelled = df.where(usable & F.col(lang_col).isNotNull())
+    labelled = named(df, id_col, lang_col, text_col).where(usable).toDF("id", "lang", "text").where("lang is not null")
     n = labelled.count()
     share = int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))
-    sample = named(labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share), lang_col, text_col)
+    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("lang", "text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for at, texts in text_chunks(batch.column(1)):
+        for at, texts in text_chunks(batch.column(1), texts=CHUNK):
             own, _ = bundles(texts)
             size = np.linalg.norm(own, axis=1)
             own = own / np.where(size > 0, size, 1)[:, None]  # texts count alike, whatever their length
@@ -131,14 +133,15 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
     Score is the cosine, from 0 to 1. A null text, or one without a letter, is ``und`` with 0, as is
     every text if there are no profiles. Ties go to the language first by name.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    source = named(df, id_col, text_col)
+    id_type = source.schema[0].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at, texts in text_chunks(batch.column(1)):
+        for at, texts in text_chunks(batch.column(1), texts=CHUNK):
             langs, score = profiles.compare(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(langs), pa.array(score)], names=["id", "lang_pred", "score"])
 
-    return arrow_map(named(df, id_col, text_col), work, f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return arrow_map(source, work, f"id {id_type}, lang_pred string, score double").toDF(id_col, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -152,7 +155,7 @@ def kept(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text"
     at = df.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start, texts in text_chunks(batch.column(at)):
+        for start, texts in text_chunks(batch.column(at), texts=CHUNK):
             langs, score = profiles.compare(texts)
             yield batch.slice(start, len(texts)).filter(pa.array((np.array(langs) != UNDETERMINED) & (score >= least)))
 
@@ -160,17 +163,15 @@ def kept(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text"
 
 
 def identified(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with lang_pred and score behind them."""
-    clash = [c for c in df.columns if c.lower() in ("lang_pred", "score")]
-    if clash:
-        raise ValueError(f"columns {clash} would be overwritten")
+    """All rows and columns, with lang_pred and score behind them; input columns of these names, or like another, get ``_in`` behind theirs."""
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     at = df.columns.index(text_col)
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start, texts in text_chunks(batch.column(at)):
+        for start, texts in text_chunks(batch.column(at), texts=CHUNK):
             langs, score = profiles.compare(texts)
             part = batch.slice(start, len(texts))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*inner.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return arrow_map(inner, work, schema).toDF(*df.columns, "lang_pred", "score")
+    return arrow_map(inner, work, schema).toDF(*beside(df.columns, "lang_pred", "score"), "lang_pred", "score")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,8 +45,11 @@ def test_language_rows_and_clashes(corpus):
     p = language_id.learn(corpus, F.lit(True), sample_docs=50)
     out = language_id.identified(corpus, p)
     assert out.columns == [*corpus.columns, "lang_pred", "score"] and out.count() == corpus.count()
-    with pytest.raises(ValueError):
-        language_id.identified(corpus.withColumnRenamed("lang", "Score"), p)
+    other = language_id.identified(corpus.toDF("doc_id", "text", "Score", "LANG", "TEXT"), p)
+    assert other.columns == ["doc_id", "text", "Score_in", "LANG", "TEXT_in", "lang_pred", "score"]
+    assert sorted(map(str, other.drop("TEXT_in", "LANG").collect())) == sorted(map(str, out.withColumnRenamed("lang", "Score_in").drop("source", "n_chars").collect()))
+    twice = language_id.learn(corpus.toDF("doc_id", "text", "lang", "LANG", "DOC_ID"), F.col("doc_id") >= 0)
+    assert twice.langs == sorted(LANGS)
     empty = corpus.limit(0)
     none = language_id.learn(empty, F.lit(True))
     assert none.langs == [] and language_id.identify(empty, none).collect() == []
@@ -108,8 +112,9 @@ def test_toxicity_without_labels_or_rows(labelled):
     model = toxicity.learn(docs, labels.limit(0), F.lit(True))
     assert model.weights == {} and {r.predicted for r in toxicity.scored(docs, model).collect()} == {0}
     assert toxicity.scored(docs.limit(0), model).collect() == []
-    with pytest.raises(ValueError):
-        toxicity.scored(docs.withColumnRenamed("source", "Score"), model)
+    assert toxicity.scored(docs.withColumnRenamed("source", "Score"), model).columns == ["doc_id", "text", "lang", "Score_in", "n_chars", "score", "predicted"]
+    twice = toxicity.learn(docs.withColumnRenamed("lang", "DOC_ID"), labels.withColumnRenamed("quality", "TOXIC"), ~toxicity.held_out())
+    assert twice.weights == toxicity.learn(docs, labels, ~toxicity.held_out()).weights
 
 
 def test_grammar_marks_scope():
@@ -125,19 +130,65 @@ def test_grammar_marks_scope():
     assert lex.evidence("") == 0 and lex.evidence("nothing here") == 0
 
 
+def test_threats_are_negated_and_reported_in_either_order():
+    lex = toxicity.Lexicon({"dolt": 4.0})
+    plain = lex.evidence("I will kill you")
+    for weaker in ("I will never kill you", "I do not kill you", "Anna said kill you", "Anna said I will kill you", "je ne te tuerai pas", "ich töte dich nicht"):
+        assert 0 < lex.evidence(weaker) < plain / 2
+    assert 0 < lex.evidence("kill you") < plain
+    assert lex.evidence("you, I will kill") == plain and lex.evidence("te voy a matar") == plain
+    assert lex.evidence("I will kill time") == 0 and lex.evidence("kill. You") == 0
+    assert lex.evidence("a dolt, dolt") > 2 * lex.evidence("a dolt")
+
+
+def test_long_texts_take_one_pass():
+    lex = toxicity.Lexicon({"dolt": 4.0})
+    for sep in (". ", " "):
+        short, long = ("I will kill you and a dolt" + sep) * 2_000, ("I will kill you and a dolt" + sep) * 40_000
+        took = []
+        for text in (short, long):
+            began = time.process_time()
+            assert lex.evidence(text) > 0
+            took.append(time.process_time() - began)
+        assert took[1] < 100 * max(took[0], 0.01)
+
+
 def test_composition_is_running_one_after_the_other():
     rng = random.Random(1)
-    plain = list(range(6))
-    a = toxicity._marker(toxicity.NEGATOR, toxicity.NEGATED, 3, plain)
-    b = toxicity._marker(toxicity.REPORT, toxicity.REPORTED, 0, toxicity._marked(plain, toxicity.NEGATED))
-    both = a.then(b)
+    plain = list(range(7))
+    marked = toxicity._MARKED
+    a = toxicity._near(toxicity.NEGATOR, toxicity.NEGATED, 3, 0.5)
+    b = toxicity._near(toxicity.REPORT, toxicity.REPORTED, 0, 0.25)
+    both, first, second = a.then(b).compiled(plain), a.compiled(plain), b.compiled(marked)
     for _ in range(200):
-        s = [rng.randrange(6) for _ in range(rng.randrange(12))]
-        assert both.run(s) == b.run(a.run(s))
+        s = [rng.randrange(7) for _ in range(rng.randrange(12))]
+        mid, f = first.run(s)
+        out, g = second.run(mid)
+        assert both.run(s) == (out, [x * y for x, y in zip(f, g, strict=True)])
+    assert len(toxicity._FORWARD.table) > 100  # five machines in one
 
 
 def test_curve_separates():
-    e = np.array([0.0] * 50 + [8.0] * 20)
+    e = np.log1p(np.array([0.0] * 50 + [8.0] * 20))
     bias, slope = toxicity.fit_curve(e, (e > 0).astype(float))
-    p = 1 / (1 + np.exp(-(bias + slope * np.log1p(e))))
-    assert p[:50].max() < 0.1 and p[50:].min() > 0.9
+    p = 1 / (1 + np.exp(-(bias + slope * e)))
+    assert p[:50].max() < 0.1 and p[50:].min() > 0.9 and toxicity.fit_curve(-e, (e > 0).astype(float))[1] == 0
+
+
+def test_held_out_labels_are_met(spark):
+    """On the largest table: of held-out documents nine tenths of the toxic ones are found, one in two hundred of the others."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.learn(docs, labels, ~toxicity.held_out())
+    got = toxicity.scored(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(toxicity.held_out() & F.col("toxic").isNotNull())
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.005 * (n.get((0, 1), 0) + n[0, 0])
+
+
+def test_held_out_languages_are_met(spark):
+    """On the largest table: 99 of 100 held-out documents get their label's language."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = language_id.held_out()
+    got = language_id.identify(docs, language_id.learn(docs, ~held)).join(docs.select("doc_id", "lang"), "doc_id").where(held & F.col("lang").isNotNull())
+    right, all_ = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert all_ > 1500 and right >= 0.99 * all_

@@ -1,9 +1,9 @@
 """Exact top-k by inner product: a ball tree per shard, branch and bound, shared kth scores.
 
-Vectors become integers, floor(1024 * x). Each shard holds a ball tree of its rows. Queries go in
-blocks. A first wave searches one shard for each block; the kth scores it finds go with the block
-to all other shards, where a node is only entered if its inner-product bound reaches the kth score
-that the query has by then.
+Vectors become integers, floor(1024 * x). Each shard is one ball tree, built once, past which the
+queries go in blocks. Shards are searched in waves, few at first: after each wave the kth scores of
+all queries are shared, and in the next wave a node is only entered if its inner-product bound
+reaches the kth score that the query has by then.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from sonolith.llm.common import cut, named
 
 SCALE, K = 1024, 10
-#: Rows of a leaf, queries of a block.
-LEAF, BLOCK = 64, 512
+#: Rows of a leaf, queries of a block, rows of a shard.
+LEAF, BLOCK, SHARD_ROWS = 64, 512, 8192
+#: Share of the shards that have been searched after each wave.
+WAVES = (1 / 16, 1 / 4, 1.0)
 _LEAST = np.iinfo(np.int64).min
 _EXACT = float(1 << 52)
 
@@ -84,23 +86,27 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(tree: BallTree, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, vec_id, score): the best k of a shard for each query, none below the query's floor."""
-    tree = BallTree(vectors)
     kth = floor.copy()
     leaves, bound = tree.leaves_by_bound(queries.astype(np.float64), kth.astype(np.float64))
     order = np.argsort(-bound, axis=1, kind="stable")
     best_q, best_id, best_s = (np.zeros(0, np.int64) for _ in range(3))
-    for rank in range(len(leaves)):
-        at = order[:, rank]
-        value = bound[np.arange(len(queries)), at]
-        on = np.flatnonzero(value >= np.where(kth == _LEAST, -np.finfo(np.float64).max, kth.astype(np.float64)))
-        if not len(on):
+    line = np.arange(len(queries))[:, None]
+    rank, step = 0, 1
+    while rank < len(leaves):  # best leaves first, twice as many each time
+        at = order[:, rank : rank + step]
+        rank, step = rank + step, 2 * step
+        on_q, on_r = np.nonzero(bound[line, at] >= np.where(kth == _LEAST, -np.finfo(np.float64).max, kth.astype(np.float64))[:, None])
+        if not len(on_q):
             break
         new = []
-        for leaf in np.unique(at[on]):
-            mine = on[at[on] == leaf]
-            a, b, _, _ = tree.nodes[leaves[leaf]]
+        by_leaf = np.argsort(at[on_q, on_r], kind="stable")
+        on_q, on_leaf = on_q[by_leaf], at[on_q, on_r][by_leaf]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(on_leaf)) + 1, [len(on_leaf)]))
+        for first, last in zip(edge[:-1], edge[1:], strict=True):
+            mine = on_q[first:last]
+            a, b, _, _ = tree.nodes[leaves[on_leaf[first]]]
             rows = tree.order[a:b]
             s = _scores(queries[mine], vectors[rows])
             ok = (s >= kth[mine][:, None]) & (ids[rows][None, :] != query_ids[mine][:, None])
@@ -108,8 +114,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             new.append((mine[q], ids[rows][r], s[q, r]))
         q, i, s = (np.concatenate(x) for x in zip(*new, strict=True))
         q, i, s = np.concatenate([best_q, q]), np.concatenate([best_id, i]), np.concatenate([best_s, s])
-        line = np.lexsort((i, -s, q))
-        q, i, s = q[line], i[line], s[line]
+        sort = np.lexsort((i, -s, q))
+        q, i, s = q[sort], i[sort], s[sort]
         first = np.searchsorted(q, q)
         place = np.arange(len(q)) - first
         held = place < k
@@ -119,46 +125,45 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     return best_q, best_id, best_s
 
 
-def _packed(rows: DataFrame, name: str, rows_each: int) -> DataFrame:
-    """Rows (id, v) as blocks: name, dim, ids, v as binary int64. Blocks hold ``rows_each`` rows at most."""
+def _packed(rows: DataFrame, rows_each: int) -> DataFrame:
+    """Rows (id, v, floor) as blocks of ``rows_each`` at most: dim, ids, v, floors as binary int64."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+        waiting: dict[int, list[tuple[int, np.ndarray, int]]] = {}
 
         def block(dim: int) -> pa.RecordBatch:
-            rows_ = waiting.pop(dim)
-            ids = np.array([r[0] for r in rows_], dtype="<i8")
-            v = np.stack([r[1] for r in rows_]).astype("<i8")
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["dim", "n", "ids", "v"])
+            ids, v, floors = zip(*waiting.pop(dim), strict=True)
+            parts = [np.array(ids, dtype="<i8"), np.stack(v).astype("<i8"), np.array(floors, dtype="<i8")]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["dim", "ids", "v", "floors"])
 
         for b in batches:
             values, offsets = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            for i, (low, high) in zip(b.column(0).to_pylist(), zip(offsets[:-1], offsets[1:], strict=True), strict=True):
+            for i, low, high, floor in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column(2).to_pylist(), strict=True):
                 have = waiting.setdefault(high - low, [])
-                have.append((i, values[low:high]))
+                have.append((i, values[low:high], floor))
                 if len(have) >= rows_each:
                     yield block(high - low)
         for dim in list(waiting):
             yield block(dim)
 
-    blocks = rows.mapInArrow(work, "dim int, n int, ids binary, v binary")
-    return cut(blocks).withColumn(name, F.monotonically_increasing_id())
+    return rows.mapInArrow(work, "dim int, ids binary, v binary, floors binary")
 
 
-def _search_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Over (shard ids, v; query ids, v, floors) rows: query_id, vec_id, score."""
+def _search_shards(rows: DataFrame, k: int) -> DataFrame:
+    """Over rows (dim, s, block, ids, v, floors), a shard (not block) before the blocks that it is asked: query_id, vec_id, score."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], "<i8")
-                qids = np.frombuffer(r["q_ids"], "<i8")
-                v, q = np.frombuffer(r["v"], "<i8").reshape(len(ids), -1), np.frombuffer(r["q_v"], "<i8").reshape(len(qids), -1)
-                floor = np.full(len(qids), _LEAST) if r["floor"] is None else np.array(r["floor"], dtype=np.int64)
-                at, vec, s = search(ids, v, qids, q, floor, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(vec), pa.array(s)], names=["query_id", "vec_id", "score"])
+                v = np.frombuffer(r["v"], "<i8").reshape(len(ids), -1)
+                if not r["block"]:
+                    shard = (BallTree(v), ids, v)
+                    continue
+                at, vec, s = search(*shard, ids, v, np.frombuffer(r["floors"], "<i8"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(work, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(work, "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -166,42 +171,35 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard_rows: int = 8192) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS, waves: tuple[float, ...] = WAVES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest inner products over all other rows, all if fewer.
 
-    Ties go to the lesser vec_id. Vectors that are null, empty, or hold a null or non-finite
-    component take no part, nor do rows without an id; rows that share the query's id are its own
-    and not found. Vectors meet those of their own length only. Repeated rows are found repeatedly.
+    ``is_query`` is a condition on the id column. Ties go to the lesser vec_id. Vectors that are
+    null, empty, or hold a null or non-finite component take no part, nor do rows without an id;
+    rows that share the query's id are its own and not found; of several vectors with its id the
+    least one asks. Vectors meet those of their own length only. Repeated rows are found repeatedly.
+    Other columns, whatever their names, are not looked at. An empty table gives no rows.
     """
-    rows = named(df.withColumn("__q", is_query), id_col, vector_col, "__q").toDF("id", "vec", "q")
+    rows = named(df, id_col, vector_col).withColumn("q", is_query).toDF("id", "vec", "q")
     rows = rows.select(F.col("id").cast("long").alias("id"), quantised(F.col("vec")).alias("v"), "q").where("v is not null and id is not null")
-    shards = _packed(rows.select("id", "v"), "shard", shard_rows)
-    asked = rows.where("q").select("id", "v").dropDuplicates(["id"])
-    # blocks of queries: as few partitions as keep a block full
-    blocks = _packed(asked.repartition(max(1, -(-asked.count() // BLOCK)), "id"), "block", BLOCK)
-    # both as numbers from 0 in each length
-    number = lambda name: F.row_number().over(Window.partitionBy("dim").orderBy(name)) - 1
-    shard_no = shards.select("shard", "dim").withColumn("s", number("shard"))
-    block_no = blocks.select("block", "dim").withColumn("b", number("block"))
-    per_dim = shard_no.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
-    shards = shards.join(shard_no.select("shard", "s"), "shard").select("dim", "s", "ids", "v")
-    blocks = blocks.join(block_no.select("block", "b"), "block").join(per_dim, "dim").select("dim", "b", "shards", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    pilot = blocks.withColumn("s", F.pmod("b", "shards"))
-    first = cut(_search_pairs(pilot.join(shards, ["dim", "s"]).withColumn("floor", F.lit(None).cast("array<bigint>")).select("ids", "v", "q_ids", "q_v", "floor"), k))
-    # a query has a floor only once it has k scores
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                for place, q in enumerate(np.frombuffer(r["q_ids"], "<i8").tolist()):
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array([r["dim"]], pa.int32()), "b": pa.array([r["b"]], pa.int32()), "place": [place], "query_id": [q]})
-
-    places = blocks.select("dim", "b", "q_ids").mapInArrow(floors, "dim int, b int, place long, query_id long")
-    filled = places.join(kth, "query_id", "left").groupBy("dim", "b").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("low", F.lit(int(_LEAST)).cast("long")).alias("low")))), lambda x: x["low"]).alias("floor")
-    )
-    rest = blocks.join(filled, ["dim", "b"]).withColumn("s", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
-    rest = rest.where(F.col("s") != F.pmod("b", "shards"))
-    second = _search_pairs(rest.join(shards, ["dim", "s"]).select("ids", "v", "q_ids", "q_v", "floor"), k)
-    return _best(first.unionByName(second), k).select("query_id", "rank", "vec_id", "score")
+    least = F.lit(int(_LEAST)).cast("long")
+    shards = cut(_packed(rows.select("id", "v", least.alias("floor")), shard_rows)).withColumn("n", F.monotonically_increasing_id())
+    numbers = shards.select("n", "dim").withColumn("s", F.row_number().over(Window.partitionBy("dim").orderBy("n")) - 1)
+    shards = shards.join(numbers.select("n", "s"), "n").select("dim", "s", "ids", "v", "floors")
+    per_dim = cut(numbers.groupBy("dim").agg(F.count(F.lit(1)).alias("shards")))
+    asked = cut(rows.where("q").groupBy("id").agg(F.min("v").alias("v")))
+    n_blocks = max(1, -(-asked.count() // BLOCK))
+    most = per_dim.agg(F.sum("shards")).first()[0] or 1
+    best = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    for low, high in zip((0.0, *waves[:-1]), waves, strict=True):
+        # a query has a kth score only once it has k
+        kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        queries = asked.join(kth, "id", "left").select("id", "v", F.coalesce("floor", least).alias("floor"))
+        blocks = _packed(queries.repartition(n_blocks, "id"), BLOCK).join(F.broadcast(per_dim), "dim")  # one row for each length of vector
+        first, last = (F.ceil(F.col("shards") * F.lit(x)).cast("int") for x in (low, high))
+        blocks = blocks.select("dim", F.explode(F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))).alias("s"), F.lit(True).alias("block"), "ids", "v", "floors")
+        wave = shards.join(F.broadcast(per_dim), "dim").where((F.col("s") >= first) & (F.col("s") < last))
+        both = wave.select("dim", "s", F.lit(False).alias("block"), "ids", "v", "floors").unionByName(blocks)
+        each = both.repartition(max(1, round(most * (high - low))), "dim", "s").sortWithinPartitions("dim", "s", "block")
+        best = cut(_best(best.drop("rank").unionByName(_search_shards(each, k)), k))
+    return best.select("query_id", "rank", "vec_id", "score")

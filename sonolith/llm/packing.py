@@ -11,12 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import cut, named
+from sonolith.llm.common import cut, named, starts_of
 
 #: Buckets; padded tokens a batch may have; rows that one task numbers, about.
 BUCKETS, TOKEN_BUDGET, ROWS_PER_PART = 16, 65_536, 500_000
-#: Bounds nothing any more: the search is over all lengths. A test still sets it.
-CELLS = 1 << 16
+#: Slices of a part, at least; a part of one repeated id has as many as its rows need.
+SLICES = 8
 
 
 def word_length(text: Column) -> Column:
@@ -28,7 +28,8 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     """Upper bounds of at most ``buckets`` buckets, and the padding that they need; the least possible.
 
     ``lengths`` ascend. Cost of a bucket from i to j: rows times length j, less their lengths. As
-    best left ends move right with the right end, each level is solved by halving.
+    best left ends move right with the right end, each level is solved by halving, all halves of one
+    depth in one step.
     """
     n = len(lengths)
     if not n:
@@ -37,28 +38,33 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     mass = np.concatenate(([0], np.cumsum(counts * lengths)))
     wide = lengths.astype(rows.dtype)
 
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return wide[j] * (rows[j + 1] - rows[i]) - (mass[j + 1] - mass[i])
 
     best = cost(np.zeros(n, dtype=np.int64), np.arange(n))
     left = [np.zeros(n, dtype=np.int64)]
     for _ in range(1, min(buckets, n)):
         now, arg = best.copy(), np.zeros(n, dtype=np.int64)
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            a, b, low, high = todo.pop()
-            if a > b:
-                continue
+        a, b, low, high = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(a):  # the middles of all halves of one depth at once
             mid = (a + b) // 2
-            i = np.arange(max(low, 1), min(high, mid) + 1)
-            at = low
-            if len(i):
-                total = best[i - 1] + cost(i, mid)
-                k = int(total.argmin())
-                at = int(i[k])
-                if total[k] < now[mid]:
-                    now[mid], arg[mid] = total[k], at
-            todo += [(a, mid - 1, low, at), (mid + 1, b, at, high)]
+            first = np.maximum(low, 1)
+            count = np.maximum(np.minimum(high, mid) - first + 1, 0)
+            some = np.flatnonzero(count)
+            at = low.copy()
+            if len(some):
+                begin = starts_of(count[some])
+                i = np.arange(begin[-1]) - np.repeat(begin[:-1] - first[some], count[some])
+                total = best[i - 1] + cost(i, np.repeat(mid[some], count[some]))
+                least = np.minimum.reduceat(total, begin[:-1])
+                equal = np.flatnonzero(total == np.repeat(least, count[some]))
+                leftmost = equal[np.searchsorted(equal, begin[:-1])]
+                at[some] = i[leftmost]
+                better = least < now[mid[some]]
+                now[mid[some[better]]], arg[mid[some[better]]] = least[better], i[leftmost[better]]
+            a, b, low, high = (np.concatenate(x) for x in ((a, mid + 1), (mid - 1, b), (low, at), (at, high)))
+            on = a <= b
+            a, b, low, high = a[on], b[on], low[on], high[on]
         left.append(arg)
         best = now
     ends, j = [], n - 1
@@ -100,8 +106,9 @@ def pack_batches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = rows.withColumns({"bucket": bucket, "mix": F.xxhash64("id")}).withColumn("part", F.pmod("mix", F.lit(parts)).cast("int") if parts > 1 else F.lit(0))
     # equal ids can be many, so a part of a bucket is cut further by a number given where the row lies
     placed = cut(placed.withColumn("line", F.monotonically_increasing_id()))
-    slice_ = F.pmod(F.xxhash64("line"), F.lit(8)).cast("int")
-    placed = placed.withColumn("slice", slice_)
+    most = placed.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    slices = max(SLICES, -(-most // ROWS_PER_PART))
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("line"), F.lit(slices)).cast("int"))
     sizes = placed.groupBy("bucket", "part", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part", "slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")

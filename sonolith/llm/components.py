@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import cut
+from sonolith.llm.common import cut, keyed_lookup
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,3 +44,10 @@ def component_roots(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def component_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id) for each of ``nodes`` (key, low, n): the least ``low`` among all nodes with its root."""
+    rooted = cut(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)))
+    groups = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    return cut(keyed_lookup(rooted, cut(groups), "root", "nodes", rooted.count()).select(key, "n", "component_id"))

@@ -3,45 +3,54 @@
 Shingles have one order for all texts. Two sets of similarity 4/5 or more share at least four fifths
 of each, so they share a shingle among the first n - ceil(4n/5) + 1 of each set. Texts that do are
 compared by their whole sets. Shingles that are frequent in a sample come late in the order, which
-keeps postings short; the sample decides on speed alone, not on what is found. Inside a posting a
-leader is compared first, and pairs only where components are still apart, so a large group of
-copies costs no pairs.
+keeps lists short; the sample decides on speed alone, not on what is found.
+
+Links are verified in rounds, and only between texts that are still in different components, so a
+large group of copies costs no pairs: first those that SimHash links, then two rounds in which every
+list is compared with one leader, then what is left. Before, each set has counts of its shingles in
+SKETCH classes; as counts differ by no more than sets do, a pair whose counts differ by over a ninth
+of both sizes can't have the similarity, and its sets aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import arrow_map, cut, named, runs, starts_of, text_chunks
-from sonolith.llm.components import component_roots
-from sonolith.llm.simhash import shingle_hashes
+from sonolith.llm.common import arrow_map, cut, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.components import component_ids, component_roots
+from sonolith.llm.shingles import shingle_hashes
 
 #: Words of a shingle; linked texts have a Jaccard similarity of 4/5 or more.
 WORDS = 5
 #: Texts, about, whose shingles are counted for the order; count from which one is frequent; frequent ones at most.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1_000_000
-#: Rounds in which members of a posting are compared with one leader only.
-STAR_ROUNDS = 2
-#: Texts that are compared meet their pairs by broadcast up to so many.
-BROADCAST_ROWS = 500_000
+#: Rounds in which members of a list are compared with one leader only; classes that shingles are counted in.
+STAR_ROUNDS, SKETCH = 2, 128
+#: Texts that are compared are found by broadcast up to so many; texts made into sets at a time.
+BROADCAST_ROWS, BATCH_TEXTS = 500_000, 4096
 
 Frequent = tuple[np.ndarray, np.ndarray]
+Columns = list[np.ndarray]
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Different shingles of each text, ascending, one text behind the other, and where each text starts."""
-    h, at = shingle_hashes(texts, WORDS)
-    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of each text, ascending, and where each text starts."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], starts_of(np.bincount(doc[new], minlength=len(texts)))
+    return h[new], starts_of(np.bincount(doc[new], minlength=len(at) - 1))
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of each text, ascending, one text behind the other, and where each text starts."""
+    return _distinct(*shingle_hashes(texts, WORDS))
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -51,6 +60,13 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).view(np.int64)
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set its shingles' counts by class, 255 at most (which lessens differences, never adds to them)."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    counts = np.bincount(doc * SKETCH + (h >> np.uint64(57)).astype(np.int64) % SKETCH, minlength=(len(at) - 1) * SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH)
+
+
 def prefixes(h: np.ndarray, at: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """The first n - ceil(4n/5) + 1 shingles of each set, frequent ones last."""
     n = np.diff(at)
@@ -85,6 +101,17 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _blobs(matrix: np.ndarray) -> pa.Array:
+    at = (np.arange(len(matrix) + 1) * matrix.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows that ``_blobs`` made."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), SKETCH)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, texts in text_chunks(batch.column(0)):
@@ -94,110 +121,159 @@ def _sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), work, "sig long, tokens array<long>")
 
 
-def _digests(docs: DataFrame, frequent: Frequent) -> DataFrame:
+def _digests(docs: DataFrame, frequent: Frequent, majority: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """For each row: id, a hash of the text, fingerprint, signature, size, prefix and sketch of the shingles."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start, texts in text_chunks(batch.column(1)):
-            h, at = shingle_sets(texts)
-            ids = batch.column(0).slice(start, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(signatures(h, at)), pa.array(np.diff(at)), _lists(*prefixes(h, at, frequent))], names=["id", "sig", "n", "prefix"])
+            every, every_at = shingle_hashes(texts, WORDS)
+            h, at = _distinct(every, every_at)
+            mine = [batch.column(i).slice(start, len(texts)) for i in (0, 2)]
+            made = [pa.array(majority(every, every_at).view(np.int64)), pa.array(signatures(h, at)), pa.array(np.diff(at)), _lists(*prefixes(h, at, frequent)), _blobs(sketches(h, at))]
+            yield pa.RecordBatch.from_arrays([*mine, *made], names=["id", "text_hash", "fp", "sig", "n", "prefix", "sketch"])
 
-    return arrow_map(docs, work, f"id {id_type}, sig long, n long, prefix array<long>")
+    source = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return arrow_map(source, work, f"id {id_type}, text_hash long, fp long, sig long, n long, prefix array<long>, sketch binary")
 
 
-def _by_run(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on the columns of rows that share a token, as arrays; holds one posting at a time besides a batch."""
+def _by_list(rows: DataFrame, work: Callable[[Columns, np.ndarray], Iterator[Columns]], schema: str) -> DataFrame:
+    """``work`` on the columns of many rows and where each list (rows of one token, in order of sig) starts; holds one list besides a batch."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def out(cols: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = []
-        for g in np.flatnonzero(np.diff(at) > 1):
-            for part in work(*(c[at[g] : at[g + 1]] for c in cols)):
-                found.append(part)
-                if sum(len(f[0]) for f in found[-64:]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
-                    found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+    def out(cols: Columns, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at) > 1:
+            for found in work([c[: at[-1]] for c in cols], at):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not b.num_rows:
+                continue
+            cols = [_matrix(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             at = runs(cols[:1])
             yield from out(cols, at[:-1])
-            rest = [c[at[-2] :] for c in cols] if len(at) > 1 else cols
-        if rest is not None and len(rest[0]):
+            rest = [c[at[-2] :] for c in cols]
+        if rest is not None:
             yield from out(rest, runs(rest[:1]))
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
+    return rows.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(run, schema)
+
+
+def _shared(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
+    """Lists of two different sets or more, each set once."""
+    token, sig = cols
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+    kinds = np.add.reduceat(new.astype(np.int64), at[:-1])
+    yield [c[new & np.repeat(kinds > 1, np.diff(at))] for c in cols]
 
 
-def _shared(token: np.ndarray, sig: np.ndarray, n: np.ndarray):
-    """Postings of two different sets or more."""
-    kinds, at = np.unique(sig, return_index=True)
-    if len(kinds) > 1:
-        yield token[at], kinds, n[at]
+def _plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches allow the similarity."""
 
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, m = (batch.column(i).to_numpy() for i in (2, 3))
+        differ = np.abs(_matrix(batch.column(4)).astype(np.int16) - _matrix(batch.column(5))).sum(axis=1, dtype=np.int64)
+        ok = pa.array(9 * differ <= n + m)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return arrow_map(both, work, "a long, b long")
 
-def _fits(n: np.ndarray, m: np.ndarray | int) -> np.ndarray:
-    """Whether sizes allow a similarity of 4/5."""
-    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
+def _to_leader(salt: int) -> Callable[[Columns, np.ndarray], Iterator[Columns]]:
+    """Each member with the leader of its list, a set that is drawn by a hash, where they are apart."""
 
-def _to_leader(salt: int):
-    def work(token: np.ndarray, sig: np.ndarray, n: np.ndarray, comp: np.ndarray):
-        lead = int(np.argmin(sig.view(np.uint64) * np.uint64(2 * salt + 1)))
-        ok = (comp != comp[lead]) & _fits(n, n[lead])
-        if ok.any():
-            other = np.full(int(ok.sum()), sig[lead])
-            yield np.maximum(sig[ok], other), np.minimum(sig[ok], other)
+    def work(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
+        _, sig, comp = cols
+        size = np.diff(at)
+        drawn = (sig.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        lead = np.repeat(np.flatnonzero(drawn == np.repeat(np.minimum.reduceat(drawn, at[:-1]), size)), size)
+        ok = comp != comp[lead]
+        a, b = sig[ok], sig[lead[ok]]
+        yield [np.maximum(a, b), np.minimum(a, b)]
 
     return work
 
 
-def _all_pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, comp: np.ndarray):
-    for i in range(len(sig) - 1):
-        ok = (comp[i + 1 :] != comp[i]) & _fits(n[i + 1 :], n[i])
-        if ok.any():
-            other = np.full(int(ok.sum()), sig[i])
-            yield np.maximum(sig[i + 1 :][ok], other), np.minimum(sig[i + 1 :][ok], other)
+def _all_pairs(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
+    """Members of a list that are apart and whose sizes and sketches allow the similarity."""
+    _, sig, comp, n, sketch = cols
+    several = np.minimum.reduceat(comp, at[:-1]) != np.maximum.reduceat(comp, at[:-1])
+    found: list[Columns] = []
+    for g in np.flatnonzero(several):
+        low, high = at[g], at[g + 1]
+        order = low + np.argsort(n[low:high], kind="stable")
+        size, parts, classes = n[order], comp[order], sketch[order].astype(np.int16)
+        last = np.searchsorted(4 * size, 5 * size, side="right")  # of sizes that fit
+        for i in range(len(order) - 1):
+            j = np.arange(i + 1, last[i])
+            j = j[parts[j] != parts[i]]
+            if len(j):
+                j = j[9 * np.abs(classes[j] - classes[i]).sum(axis=1, dtype=np.int64) <= size[j] + size[i]]
+                a, b = sig[order[j]], np.full(len(j), sig[order[i]])
+                found.append([np.maximum(a, b), np.minimum(a, b)])
+                if sum(len(f[0]) for f in found[-64:]) > 100_000:
+                    yield [np.concatenate(x) for x in zip(*found, strict=True)]
+                    found = []
+    if found:
+        yield [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets have a similarity of 4/5 or more."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    sets = _sets(docs).join(F.broadcast(wanted) if few else wanted, "sig", "left_semi")
+def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sets have a similarity of 4/5 or more; ``texts`` has the hash of one text for each sig."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(texts, "sig"))
+    # only texts that are compared go to Python
+    hashes = if_few(wanted.select("text_hash"), BROADCAST_ROWS)[0]
+    compared = docs.withColumn("text_hash", F.xxhash64("text")).join(hashes, "text_hash", "left_semi")
+    sets = _sets(compared).join(if_few(wanted.select("sig"), BROADCAST_ROWS)[0], "sig", "left_semi")
     sets = cut(sets.groupBy("sig").agg(F.first("tokens").alias("tokens")))
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     return both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_fingerprint(rows: DataFrame, link_edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b), a > b, of sets with equal or linked fingerprints: to one set for each fingerprint, and between these."""
+    sets = cut(rows.groupBy("fp", "sig").agg(F.count(F.lit(1)).alias("n")))
+    ones = cut(sets.groupBy("fp").agg(F.min("sig").alias("one"), F.count(F.lit(1)).alias("sets")))
+    same = keyed_lookup(sets.drop("n"), ones, "fp", "sets", sets.count()).select(F.col("sig").alias("a"), F.col("one").alias("b"))
+    edges = link_edges(ones.select("fp")).distinct()
+    linked = edges.join(ones.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(ones.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    return same.unionByName(linked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).where("a > b").distinct()
+
+
+def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callable[[np.ndarray, np.ndarray], np.ndarray], link_edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component_id) for each row: the least id reachable over pairs of similarity 4/5 or more.
 
     Sets are of 64-bit hashes of shingles; a text of fewer words is one shingle, texts without words
     are one class. Null ids take part but are never the least, unless a component has no other.
+    ``majority`` makes fingerprints of shingles, ``link_edges`` finds the links among them.
     """
     docs = named(df, id_col, text_col).toDF("id", "text")
-    rows = cut(_digests(docs, _frequent(docs)))
-    posts = cut(_by_run(rows.select(F.explode("prefix").alias("token"), "sig", "n"), _shared, "token long, sig long, n long"))
-    edges = posts.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
-    tried = edges
-    roots = component_roots(edges)
+    rows = cut(_digests(docs, _frequent(docs), majority))
+    texts = rows.groupBy("sig").agg(F.min("text_hash").alias("text_hash"))
+    drawn = cut(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    pairs = tried = cut(_plausible(_by_fingerprint(rows, link_edges), drawn))
+    edges = cut(_verified(docs, texts, pairs))
+    roots = cut(component_roots(edges))
+    posts = cut(_by_list(rows.select(F.explode("prefix").alias("token"), "sig"), _shared, "token long, sig long"))
     for salt in range(STAR_ROUNDS + 1):
-        apart = posts.join(roots.toDF("sig", "comp"), "sig", "left").select("token", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
-        work = _to_leader(salt) if salt < STAR_ROUNDS else _all_pairs
-        pairs = cut(_by_run(apart, work, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        known = if_few(roots.toDF("sig", "comp"), BROADCAST_ROWS)[0]
+        apart = posts.join(known, "sig", "left").select("token", "sig", F.coalesce("comp", "sig").alias("comp"))
+        work = _to_leader(salt)
+        if salt == STAR_ROUNDS:
+            mixed = apart.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+            apart, work = apart.join(mixed, "token", "left_semi").join(drawn, "sig").select("token", "sig", "comp", "n", "sketch"), _all_pairs
+        pairs = _by_list(apart, work, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = cut(_plausible(pairs, drawn))
         tried = tried.unionByName(pairs)
-        edges = cut(edges.unionByName(_verified(docs, pairs)))
+        edges = cut(edges.unionByName(_verified(docs, texts, pairs)))
         roots = cut(component_roots(edges))
-    nodes = rows.groupBy("sig").agg(F.min("id").alias("low"))
-    rooted = cut(nodes.join(roots.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(least, "root").select("sig", "component_id")
-    return rows.select("id", "sig").join(classes, "sig").select(F.col("id").alias(id_col), "component_id")
+    nodes = cut(rows.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+    classes = component_ids(nodes, roots, "sig")
+    return keyed_lookup(rows.select("id", "sig"), classes, "sig", "n", rows.count()).select(F.col("id").alias(id_col), "component_id")

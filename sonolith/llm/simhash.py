@@ -1,11 +1,16 @@
 """Near duplicates by SimHash: byte-position inverted index with count filtering.
 
-A fingerprint has eight bytes. Two fingerprints that differ in two bits at most share at least six
-of their eight positional bytes, so with the positions in four pairs at least two pairs are shared
-whole. The index is keyed by the bytes of two such pairs (six keys a fingerprint). Inside a posting
-the shared positional bytes of each pair of fingerprints are tallied, pairs with six or more go on
-and are verified by their differing bits. A posting over POSTING is refined by two more positions:
-what then shares a key differs in two bytes only, so it holds 65,536 fingerprints at most.
+A fingerprint has eight bytes, so eight positional bytes: (position, byte). Two fingerprints that
+differ in two bits at most share at least six of them. A list for each single positional byte would
+hold a 256th of all fingerprints, so lists are split by more positions, such that every pair with
+six shared bytes still meets: the positions in four pairs, a list for each two of them (six lists a
+fingerprint, of four positional bytes each). In a list the other four positions are tallied for each
+pair of members; pairs that reach six with the four of the list go on and are verified by their
+differing bits. A list over POSTING is split by two more of the other positions, six ways: there
+the list itself makes up six shared bytes, and what is left, the verification, is done by looking up
+each member's values at one and two bits, as such a list can hold 65,536 members.
+
+For a similarity of shingle sets the fingerprints' links are only the beginning: see ``similar_components``.
 """
 
 from __future__ import annotations
@@ -18,61 +23,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import arrow_map, cut, named, runs, starts_of, text_chunks
-from sonolith.llm.components import component_roots
-from sonolith.llm.xxh64 import PAD, xxh64
+from sonolith.llm import shingle_join
+from sonolith.llm.common import arrow_map, cut, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.components import component_ids, component_roots
+from sonolith.llm.shingles import shingle_hashes
 
 #: Words of a shingle; bits that linked fingerprints may differ in.
 WORDS, DISTANCE = 3, 2
-#: Fingerprints of a posting that are compared with each other directly.
-POSTING = 2048
+#: Fingerprints of a list whose pairs are tallied. Ids that are broadcast at most.
+POSTING, BROADCAST_IDS = 2048, 1_000_000
 #: Positional bytes that two fingerprints share at least if they differ in DISTANCE bits.
 SHARED = 8 - DISTANCE
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: For a byte, its bits as eight bytes of a word.
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).astype(np.uint8).view("<u8").ravel()
 
 
 def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
     """SimHash of each text. A bit is set if it is set in over half of the shingles' hashes, repeats included; a text without words has fingerprint 0."""
-    return _majority(*shingle_hashes(texts, words))
+    return majority(*shingle_hashes(texts, words))
 
 
-def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of all texts and where each text starts: A-Z in lower case, words between white space (space, tab to CR), hashed by XXH64 with seed 42.
-
-    Fewer words than a shingle has make one shingle; a text without words has none.
-    """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buffer = np.frombuffer(b" ".join(raw) + b" " * (PAD + 1), dtype=np.uint8)
-    doc_at = starts_of(np.array([len(r) + 1 for r in raw], dtype=np.int64))
-    space = _SPACE[buffer]
-    # of each run of white space only the first byte stays, as a space
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1]
-    keep[doc_at[1:-1] - 1] = True  # the byte between two texts always stays
-    new_at = np.zeros(len(buffer) + 1, dtype=np.int64)
-    np.cumsum(keep, out=new_at[1:])
-    flat = np.where(space, np.uint8(32), _LOWER[buffer])[keep]
-    flat = np.concatenate([flat, np.full(PAD, 32, np.uint8)])
-    word = flat != 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    doc_of = np.searchsorted(new_at[doc_at[1:]], begin, side="right")
-    n = np.bincount(doc_of, minlength=len(texts))
-    first = starts_of(n)
-    shingles = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
-    at = starts_of(shingles)
-    which = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], shingles)
-    last = which + np.repeat(np.minimum(n, words), shingles) - 1
-    return xxh64(flat, begin[which], end[last] - begin[which]), at
-
-
-def _majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprint of each text from its shingles' hashes."""
     n = np.diff(at)
     out = np.zeros(len(n), dtype=np.uint64)
     some = np.flatnonzero(n)
@@ -126,22 +99,25 @@ def _finer(fp: Column, k: int) -> list[Column]:
 
 
 def _posting_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one posting: tally the shared positional bytes, keep pairs with SHARED or more, verify."""
+    """Links of one list: tally the shared positional bytes of each pair, keep pairs with SHARED or more, verify."""
     if len(fp) > POSTING:
         return _dense_links(fp)
+    by_position = fp.view(np.uint8).reshape(-1, 8)
+    same = (by_position == by_position[0]).all(axis=0)
     found = []
     for i in range(0, len(fp), 256):
-        differ = fp[i : i + 256, None] ^ fp[None, :]
-        shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
-        a, b = np.nonzero(shared >= SHARED)
+        tally = np.full((len(fp[i : i + 256]), len(fp)), same.sum(), dtype=np.uint8)
+        for p in np.flatnonzero(~same):
+            tally += by_position[i : i + 256, p, None] == by_position[None, :, p]
+        a, b = np.nonzero(tally >= SHARED)
         a, b = a[a + i < b], b[a + i < b]
-        near = np.bitwise_count(differ[a, b]) <= DISTANCE
+        near = np.bitwise_count(fp[a + i] ^ fp[b]) <= DISTANCE
         found.append((fp[a[near] + i], fp[b[near]]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _dense_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a refined posting, whose members differ in two bytes only: probe each member's near values."""
+    """The same for a list that was split further, whose members share six bytes: verify by looking up each member's near values."""
     every = np.bitwise_or.reduce(fp ^ fp[0])
     bits = [np.uint64(1) << np.uint64(i) for i in range(64) if int(every) >> i & 1]
     masks = [*bits, *(x | y for x, y in combinations(bits, 2))]
@@ -221,35 +197,46 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty one. Ids, links and classes stay distributed; no task holds a class.
     """
     rows = cut(fingerprint_rows(df, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = component_roots(link_edges(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+    classes = component_ids(nodes, component_roots(link_edges(nodes)), "fp")
+    return keyed_lookup(rows, classes, "fp", "n", rows.count()).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[[DataFrame, str, str], DataFrame] = near_components) -> DataFrame:
-    """Of each component (of linked fingerprints, unless ``components`` tells others) the row with the least id stays, with all its columns.
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row: the least id reachable over texts with a similarity of 4/5 or more over five-word shingles.
 
-    Of rows that repeat both id and text one stays, that with the least hash of its columns. Rows
-    without an id can't be told apart and all stay. An id should have one text; where it has
-    several, each goes if any of them is in a component with a lesser id.
+    The links of fingerprints (of five-word shingles, two bits) are found as above, verified by the
+    texts' whole shingle sets, and make the first components. A similarity of 4/5 lets about ten of
+    64 bits differ, for which no number of shared bytes is sure; what is still apart is therefore
+    compared by ``shingle_join``, which misses nothing. Rules for rows as in ``near_components``.
+    """
+    return shingle_join.near_components(df, id_col, text_col, majority, link_edges)
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[[DataFrame, str, str], DataFrame] = similar_components) -> DataFrame:
+    """Of each component the row with the least id stays, with all its columns.
+
+    ``components`` is ``similar_components``, or ``near_components`` for linked fingerprints. Of rows
+    that repeat both id and text one stays, that with the least hash of its columns. Rows without an
+    id can't be told apart and all stay. An id should have one text; where it has several, each goes
+    if any of them is in a component with a lesser id. Rows meet the ids that go by broadcast while
+    these are few, and then stay where they lie.
     """
     columns = [f"c{i}" for i in range(len(df.columns))]
     inner = df.toDF(*columns)
     id_at, text_at = columns[df.columns.index(id_col)], columns[df.columns.index(text_col)]
-    marked = cut(components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id"))
-    gone = marked.where(F.col("id") != F.col("component_id")).select("id").distinct()
-    twice = marked.groupBy("id").count().where("count > 1 and id is not null").select("id")
-    left = inner.join(gone, F.col(id_at) == F.col("id"), "left_anti")
-    once = left.join(twice, F.col(id_at) == F.col("id"), "left_anti")
-    again = (
-        left.join(twice, F.col(id_at) == F.col("id"), "left_semi")
-        .groupBy(id_at, F.xxhash64(text_at).alias("h"))
-        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
-        .select("row.*")
-    )
-    return once.unionByName(again).toDF(*df.columns)
+    marked = components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id").where("id is not null")
+    decided = marked.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("twice"))
+    decided = cut(decided.where("gone or twice"))
+    table, few = if_few(decided, BROADCAST_IDS)
+    found = inner if few else inner.where(F.col(id_at).isNotNull())
+    found = found.join(table, F.col(id_at) == F.col("id"), "left")
+    out = found.where("gone is null").select(*columns)
+    if not few:
+        out = out.unionByName(inner.where(F.col(id_at).isNull()))
+    if not decided.where("twice and not gone").isEmpty():
+        again = found.where("twice and not gone").groupBy(id_at, F.xxhash64(text_at).alias("h"))
+        out = out.unionByName(again.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*"))
+    return out.toDF(*df.columns)

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sonolith.llm import exact_dedup, sharding, simhash
+from sonolith.llm.common import keyed_lookup
 from sonolith.llm.components import component_roots
 from sonolith.llm.xxh64 import xxh64
 
@@ -71,35 +73,50 @@ def shards_ok(got, rows, n):
         assert abs(size[k] - total / n) <= most + 2 * sharding.TOLERANCE * total / n + 2
 
 
+def placed(df):
+    """What the query derives from the exchanged rows."""
+    return sharding.shard_rows(df).withColumn("text_crc32", sharding.text_crc32(F.col("text"))).collect()
+
+
 def test_shards_balance_bytes(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), "x" * int(rng.integers(0, 300))) for i in rng.permutation(2000)]
-    shards_ok(sharding.shard_digest(docs(spark, rows)).collect(), rows, 8)
+    shards_ok(placed(docs(spark, rows)), rows, 8)
 
 
 def test_shards_cut_a_key_that_holds_a_third(spark):
     rows = [(i, "y" * 50) for i in range(400)] + [(77, "y" * 50)] * 300 + [(None, None)] * 40
-    shards_ok(sharding.shard_digest(docs(spark, rows)).collect(), rows, 8)
+    shards_ok(placed(docs(spark, rows)), rows, 8)
 
 
 def test_shards_of_few_and_no_rows(spark):
-    assert sharding.shard_digest(docs(spark, [])).collect() == []
-    got = sharding.shard_digest(docs(spark, [(1, "é"), (2, None)])).collect()
+    assert placed(docs(spark, [])) == []
+    got = placed(docs(spark, [(1, "é"), (2, None)]))
     assert {(r.doc_id, r.size) for r in got} == {(1, 3), (2, 1)}
 
 
-def test_shard_rows_keeps_columns_and_refuses_clashes(spark):
+def test_shard_rows_keeps_columns_of_any_name(spark):
     df = docs(spark, [(i, "t" * i) for i in range(50)])
     out = sharding.shard_rows(df, 4)
-    assert set(df.columns) <= set(out.columns) and out.count() == 50
-    with pytest.raises(ValueError):
-        sharding.shard_rows(df.withColumnRenamed("lang", "Shard"))
+    assert out.columns == [*df.columns, "size", "law", "shard", "slot", "grown_shard"] and out.count() == 50
+    names = ["doc_id", "text", "Shard", "key", "tie"]
+    more = sharding.shard_rows(df.toDF(*names), 4)
+    assert more.columns[:5] == ["doc_id", "text", "Shard_in", "key", "tie"]
+    assert sorted((r.doc_id, r.text, r.Shard_in, r.key, r.tie, r.slot) for r in more.collect()) == sorted((r.doc_id, r.text, "en", "s", 0, r.slot) for r in out.collect())
+    twice = sharding.shard_rows(df.toDF("doc_id", "text", "DOC_ID", "range", "nth"), 4)
+    assert twice.columns[:3] == ["doc_id", "text", "DOC_ID_in"] and twice.count() == 50
+
+
+def test_shards_of_text_keys(spark):
+    df = spark.createDataFrame([(f"k{i}", "t" * (i % 9)) for i in range(200)], "doc_id string, text string")
+    got = sharding.shard_rows(df, 4).collect()
+    assert len({r.doc_id for r in got}) == 200 and {r.shard for r in got} == {0, 1, 2, 3}
 
 
 def test_many_ranges_still_number_without_gaps(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 50)
     rows = [(i % 900, "z" * (i % 17)) for i in range(1500)]
-    shards_ok(sharding.shard_digest(docs(spark, rows)).collect(), rows, 8)
+    shards_ok(placed(docs(spark, rows)), rows, 8)
 
 
 @settings(max_examples=60, deadline=None)
@@ -147,6 +164,20 @@ def brute_components(fps):
     return [find(i) for i in range(len(fps))]
 
 
+def test_hot_keys_are_looked_up_like_others(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(30) for i in range(300 if k == 3 else k)], "k long, i long")
+    table = rows.groupBy("k").count()
+    got = keyed_lookup(rows, table.where("k <> 7"), "k", "count", rows.count(), 4).collect()
+    assert Counter((r.k, r["count"]) for r in got) == {(k, 300 if k == 3 else k): 300 if k == 3 else k for k in range(1, 30) if k != 7}
+
+
+def test_exact_rows_beyond_the_broadcast(spark, monkeypatch):
+    want = Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact(docs(spark, ROWS)).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact(docs(spark, ROWS)).collect()) == want
+    assert want[(None, "lonely")] == 1 and want[(5, "other")] == 1
+
+
 @pytest.mark.parametrize("posting", [2048, 3])
 def test_links_lose_nothing(spark, monkeypatch, posting):
     """Also where every posting is large and is refined."""
@@ -187,7 +218,7 @@ def test_components_of_documents(spark):
 def test_near_copies_leave_one(spark):
     body = " ".join(f"w{i}" for i in range(300))
     df = docs(spark, [(5, body), (6, body), (7, "nothing like it at all"), (4, body.upper()), (4, body.upper()), (None, body), (7, "nothing like it at all")])
-    out = simhash.drop_near(df.withColumnRenamed("source", "ID"))
+    out = simhash.drop_near(df.withColumnRenamed("source", "ID"), components=simhash.near_components)
     assert out.columns == [c.replace("source", "ID") for c in df.columns]
     assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 4, 7]
     assert simhash.drop_near(df.limit(0)).collect() == []

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from sonolith.llm import exact_dedup, queries, simhash
 from tests.compare import check
+from tests.llm.test_shingle_join import brute_survivors
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -32,7 +33,8 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
             marked = exact_dedup.mark_exact(before)
             assert sorted(r.doc_id for r in marked.where("kept").collect()) == sorted(r.doc_id for r in seen.select("doc_id").collect())
         if name == "near_copies":
-            comp = simhash.near_components(before)
+            comp = simhash.similar_components(before)
+            assert brute_survivors([(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]) == sorted(r.doc_id for r in seen.select("doc_id").collect())
             assert sorted(r.component_id for r in comp.select("component_id").distinct().collect()) == sorted(r.doc_id for r in seen.select("doc_id").collect())
     assert sizes[-1] == sizes[-2] and sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[3]
     assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import exact_dedup, language_id, packing, shingle_join, simhash, toxicity
-from sonolith.llm.common import checkpoint_dir
+from sonolith.llm import exact_dedup, language_id, packing, simhash, toxicity
+from sonolith.llm.common import cut, remove_folder, shared_folder
 
 #: Cosine with the nearest language below which a text counts as no language at all.
 LEAST_COSINE = 0.03
@@ -33,7 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles (similarity 4/5 or more) one stays, that with the least doc_id."""
-    return simhash.drop_near(docs, components=shingle_join.near_components)
+    return simhash.drop_near(docs, components=simhash.similar_components)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again, and goes when the next has read it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        folder = shared_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if last:
+            remove_folder(spark, last)
+        last = folder
+    packed = cut(STAGES[-1][1](spark, docs, sf_dir))  # numbers only
+    if last:
+        remove_folder(spark, last)
+    return packed

@@ -12,6 +12,8 @@ from sonolith.functions.scalars import sex_of
 
 NOISE = ("error",)
 FPS = 150.0
+#: Events and orders of a recording: more of them make more recordings, so that none outgrows a task.
+EVENTS_EACH, ORDERS_EACH = 10_000, 15_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +25,10 @@ def seconds_of_day(ts: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an event: session (the day), row_idx, start, stop, emitter, sex, category, value."""
+    """One row an event: session (the day, of a later month for each further EVENTS_EACH events), row_idx, start, stop, emitter, sex, category, value."""
     raw = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     out = raw.select(
-        F.to_date("ts").alias("session_id"), "event_id", seconds_of_day(F.col("ts")).alias("start"), F.col("value").alias("duration"),
+        F.date_add(F.to_date("ts"), (F.floor(F.col("event_id") / EVENTS_EACH) * 31).cast("int")).alias("session_id"), "event_id", seconds_of_day(F.col("ts")).alias("start"), F.col("value").alias("duration"),
         "user_id", sex_of(F.col("user_id")).alias("sex"), F.col("event_type").alias("category"), "ts",
     ).withColumn("stop", F.col("start") + F.col("duration"))
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
@@ -39,9 +41,9 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame-sampled features: lines of a supplier's decade, in order of order, as the frames of a session."""
+    """Frame-sampled features: lines of ORDERS_EACH orders and a tenth of the suppliers, in order of order, as the frames of a session."""
     raw = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 10).alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        (F.col("l_suppkey") % 10 + F.floor(F.col("l_orderkey") / ORDERS_EACH) * 10).cast("long").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").alias("speed"), (F.col("l_discount") * 3600 - 180).alias("yaw"), (F.col("l_extendedprice") / 1000).alias("distance"),
         ((F.col("l_partkey") % 65) - 32).cast("double").alias("space_x"), ((F.col("l_orderkey") % 65) - 32).cast("double").alias("space_y"),
     )
@@ -50,9 +52,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A point process: views and clicks of users 0 to 19 of each session, as spikes of units."""
+    """A point process: views and clicks of users 0 to 19 of each session, as spikes of units; block numbers the recordings."""
     ev = events(spark, sf_dir).where(F.col("category").isin("view", "click"))
-    return ev.select("session_id", (F.col("user_id") % 20).alias("unit_id"), F.col("start").alias("t"), F.floor(F.col("start")).cast("long").alias("frame"))
+    return ev.select("session_id", (F.col("user_id") % 20).alias("unit_id"), F.col("start").alias("t"), F.floor(F.col("start")).cast("long").alias("frame"), F.floor(F.col("event_id") / EVENTS_EACH).cast("long").alias("block"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +99,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEX = "CASE CAST(user_id % 3 AS INTEGER) WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unassigned' END"
 _EVENTS = f"""
 events_m AS (
-    SELECT CAST(ts AS DATE) AS session_id, event_id, epoch(ts - date_trunc('day', ts)) AS start, value AS duration, user_id, {_SEX} AS sex,
+    SELECT CAST(ts AS DATE) + CAST(31 * (event_id // 10000) AS INTEGER) AS session_id, event_id, epoch(ts - date_trunc('day', ts)) AS start, value AS duration, user_id, {_SEX} AS sex,
            event_type AS category, epoch(ts - date_trunc('day', ts)) + value AS stop,
-           CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS BIGINT) AS row_idx
+           CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) + CAST(31 * (event_id // 10000) AS INTEGER) ORDER BY ts, event_id) - 1 AS BIGINT) AS row_idx
     FROM events
 )"""
 SQL = {
@@ -109,11 +111,11 @@ SQL = {
 frames AS (
     SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, speed, distance) - 1 AS BIGINT) AS frame_index,
            speed, yaw, distance, space_x, space_y
-    FROM (SELECT l_suppkey % 10 AS session_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS speed, l_discount * 3600 - 180 AS yaw,
+    FROM (SELECT l_suppkey % 10 + 10 * (l_orderkey // 15000) AS session_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS speed, l_discount * 3600 - 180 AS yaw,
                  l_extendedprice / 1000 AS distance, CAST((l_partkey % 65) - 32 AS DOUBLE) AS space_x, CAST((l_orderkey % 65) - 32 AS DOUBLE) AS space_y FROM lineitem)
 )""",
     "spikes": _EVENTS + """, spikes AS (
-    SELECT session_id, user_id % 20 AS unit_id, start AS t, CAST(floor(start) AS BIGINT) AS frame FROM events_m WHERE category IN ('view', 'click')
+    SELECT session_id, user_id % 20 AS unit_id, start AS t, CAST(floor(start) AS BIGINT) AS frame, event_id // 10000 AS block FROM events_m WHERE category IN ('view', 'click')
 )""",
     "points": """
 points AS (

@@ -24,19 +24,26 @@ def occupancy_2d(frames: DataFrame, x: str, y: str, low: float, high: float, n_s
 def rate_map(frames: DataFrame, spikes: DataFrame, feature: str, low: float, high: float, n: int, fps: float, keys: tuple[str, ...], unit: str = "unit_id", shuffles: DataFrame | None = None, n_frames: int | None = None) -> DataFrame:
     """Spikes and seconds of each (unit, bin), and of each shuffle if there are any.
 
-    Spikes are counted by frame before they meet the frames, so the join and the shuffles work on
-    counts. A shuffle adds its whole number of frames, modulo ``n_frames``.
+    Spikes are counted by frame before they meet the frames, so the join works on counts. A shuffle
+    (shuffle, shift) adds its whole number of frames, modulo ``n_frames``; then each unit's counts
+    meet its session's bins as one array (frames from 0 without gaps), and shuffles are made and
+    summed where they lie, so what is exchanged doesn't grow with them.
     """
     edges = linear_edges(low, high, n)
     binned = frames.withColumn("bin", open_closed_bin(nan_to_null(F.col(feature)), edges)).where("bin is not null").select(*keys, "frame_index", "bin")
     seconds = binned.groupBy(*keys, "bin").agg((F.count(F.lit(1)) / F.lit(fps)).alias("seconds"))
     per_frame = spikes.groupBy(*keys, unit, "frame").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("frame", "frame_index")
     by = [*keys, unit, "bin"]
-    if shuffles is not None:
-        moved = F.array(*[F.struct(F.lit(r["shuffle"]).alias("shuffle"), F.lit(int(r["shift"])).alias("shift")) for r in shuffles.collect()])  # a parameter table
-        per_frame = per_frame.withColumn("s", F.explode(moved)).withColumns({"shuffle": F.col("s.shuffle"), "frame_index": F.pmod(F.col("frame_index") + F.col("s.shift"), F.lit(n_frames))}).drop("s")
+    if shuffles is None:
+        counts = per_frame.join(binned, [*keys, "frame_index"]).groupBy(*by).agg(F.sum("n").alias("spikes"))
+    else:
+        at = open_closed_bin(nan_to_null(F.col(feature)), edges)
+        bins = frames.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_index", at.alias("bin")))), lambda x: x["bin"]).alias("bins"))
+        fired = per_frame.groupBy(*keys, unit).agg(F.collect_list(F.struct("frame_index", "n")).alias("fired"))
+        moved = fired.join(bins, list(keys)).join(F.broadcast(shuffles))  # a parameter table
+        one = F.transform("fired", lambda x: F.struct(F.get("bins", F.pmod(x["frame_index"] + F.col("shift"), F.lit(n_frames)).cast("int")).alias("bin"), x["n"].alias("n")))
         by.append("shuffle")
-    counts = per_frame.join(binned, [*keys, "frame_index"]).groupBy(*by).agg(F.sum("n").alias("spikes"))
+        counts = moved.select(*keys, unit, "shuffle", F.inline(one)).where("bin is not null").groupBy(*by).agg(F.sum("n").alias("spikes"))
     return counts.join(seconds, [*keys, "bin"]).withColumn("rate", F.col("spikes") / F.col("seconds"))
 
 
@@ -65,12 +72,14 @@ def information(curve: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
     ``curve``: rate and seconds of each bin. Rates of 0 count in the mean and add nothing to the information.
     """
-    on = curve.where("seconds > 0")
-    total = on.groupBy(*keys).agg(F.sum("seconds").alias("t"), ratio(F.sum(F.col("rate") * F.col("seconds")), F.sum("seconds")).alias("mean"))
-    part = on.join(total, list(keys)).withColumn("p", F.col("seconds") / F.col("t"))
-    gain = F.when((F.col("rate") > 0) & (F.col("mean") > 0), F.col("p") * F.col("rate") * F.log2(F.col("rate") / F.col("mean"))).otherwise(F.lit(0.0))
-    pr, pr2 = F.sum(F.col("p") * F.col("rate")), F.sum(F.col("p") * F.col("rate") * F.col("rate"))
-    return part.groupBy(*keys).agg(F.sum(gain).alias("info_rate"), ratio(pr * pr, pr2).alias("sparsity"))
+    t, r = F.col("seconds"), F.col("rate")
+    sums = curve.where("seconds > 0").groupBy(*keys).agg(
+        F.sum(t).alias("t"), F.sum(t * r).alias("tr"), F.sum(t * r * r).alias("trr"), F.sum(F.when(r > 0, t * r * F.log2(r)).otherwise(0.0)).alias("trl"),
+    )
+    mean = F.col("tr") / F.col("t")
+    # sum of p r log2(r / mean), as the sum of p r is the mean
+    info = F.when(mean > 0, F.col("trl") / F.col("t") - mean * F.log2(mean)).otherwise(0.0)
+    return sums.select(*keys, info.alias("info_rate"), ratio(mean * mean, F.col("trr") / F.col("t")).alias("sparsity"))
 
 
 def coherence(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -54,10 +54,10 @@ def property_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 def _spk(spark: SparkSession, sf: str) -> DataFrame:
     s = A.spikes(spark, sf)
-    return s.select((F.dayofmonth("session_id") % 10).cast("long").alias("session_id"), "unit_id", F.floor(F.col("t") / 20).cast("long").alias("frame"))
+    return s.select((F.dayofmonth(F.date_sub("session_id", (F.col("block") * 31).cast("int"))) % 10 + F.col("block") * 10).cast("long").alias("session_id"), "unit_id", F.floor(F.col("t") / 20).cast("long").alias("frame"))
 
 
-_RATE = _SPF + f""", s AS (SELECT CAST(day(session_id) % 10 AS BIGINT) AS session_id, unit_id, CAST(floor(t / 20) AS BIGINT) AS frame FROM spikes),
+_RATE = _SPF + f""", s AS (SELECT CAST(day(session_id - CAST(31 * block AS INTEGER)) % 10 + 10 * block AS BIGINT) AS session_id, unit_id, CAST(floor(t / 20) AS BIGINT) AS frame FROM spikes),
     b AS (SELECT session_id, frame_index, {_bin('speed', 0, 50, 10)} AS bin FROM frames), o AS (SELECT session_id, bin, count(*) / 150.0::DOUBLE AS seconds FROM b WHERE bin IS NOT NULL GROUP BY ALL),
     c AS (SELECT s.session_id, unit_id, bin, count(*) AS spikes FROM s JOIN b ON s.session_id = b.session_id AND s.frame = b.frame_index WHERE bin IS NOT NULL GROUP BY ALL),
     r AS (SELECT session_id, bin, unit_id, spikes, seconds, spikes / seconds AS rate FROM c JOIN o USING (session_id, bin))"""
@@ -69,7 +69,7 @@ def rate_map(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumns({"spikes": F.col("spikes").cast("long"), "seconds": r6("seconds"), "rate": r6("rate")})
 
 
-_NULL = _SPF + f""", s AS (SELECT CAST(day(session_id) % 10 AS BIGINT) AS session_id, unit_id, CAST(floor(t / 20) AS BIGINT) AS frame FROM spikes),
+_NULL = _SPF + f""", s AS (SELECT CAST(day(session_id - CAST(31 * block AS INTEGER)) % 10 + 10 * block AS BIGINT) AS session_id, unit_id, CAST(floor(t / 20) AS BIGINT) AS frame FROM spikes),
     b AS (SELECT session_id, frame_index, {_bin('speed', 0, 50, 10)} AS bin FROM frames), o AS (SELECT session_id, bin, count(*) / 150.0::DOUBLE AS seconds FROM b WHERE bin IS NOT NULL GROUP BY ALL),
     m AS (SELECT s.session_id, unit_id, k AS shuffle, (frame + 300 + 97 * k) % 4320 AS frame FROM s, range(20) t(k)),
     c AS (SELECT m.session_id, unit_id, bin, shuffle, count(*) AS spikes FROM m JOIN b ON m.session_id = b.session_id AND m.frame = b.frame_index WHERE bin IS NOT NULL GROUP BY ALL),
@@ -81,10 +81,10 @@ def _null_rates(spark: SparkSession, sf: str) -> DataFrame:
     return U.rate_map(A.frames(spark, sf), _spk(spark, sf), "speed", 0, 50, 10, 150.0, ("session_id",), shuffles=shifts, n_frames=4320)
 
 
-@query(_NULL + """ SELECT session_id, unit_id, bin, round(avg(rate), 6) AS null_mean, round(stddev_pop(rate), 6) AS null_std, round(quantile_cont(rate, 0.005), 6) AS p_low, round(quantile_cont(rate, 0.995), 6) AS p_high FROM r GROUP BY ALL""")
+@query(_NULL + """ SELECT session_id, unit_id, bin, round(avg(rate), 9) AS null_mean, round(stddev_pop(rate), 9) AS null_std, round(quantile_cont(rate, 0.005), 9) AS p_low, round(quantile_cont(rate, 0.995), 9) AS p_high FROM r GROUP BY ALL""")
 def shuffled_null(spark: SparkSession, sf: str) -> DataFrame:
     b = U.null_block(_null_rates(spark, sf), ("session_id", "unit_id", "bin"))
-    return b.select("session_id", "unit_id", "bin", *[r6(c).alias(c) for c in ("null_mean", "null_std", "p_low", "p_high")])
+    return b.select("session_id", "unit_id", "bin", *[r6(c, 9).alias(c) for c in ("null_mean", "null_std", "p_low", "p_high")])
 
 
 def _against_null(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,9 +7,9 @@ keeps lists short; the sample decides on speed alone, not on what is found.
 
 Links are verified in rounds, and only between texts that are still in different components, so a
 large group of copies costs no pairs: first those that SimHash links, then two rounds in which every
-list is compared with one leader, then what is left. Before, each set has counts of its shingles in
-SKETCH classes; as counts differ by no more than sets do, a pair whose counts differ by over a ninth
-of both sizes can't have the similarity, and its sets aren't read.
+list is compared with one leader, then what is left. Before, each set has counts of its shingles by
+class, about PER_CLASS in each; as counts differ by no more than sets do, a pair whose counts differ
+by over a ninth of both sizes can't have the similarity, and its sets aren't read.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from sonolith.llm.shingles import shingle_hashes
 WORDS = 5
 #: Texts, about, whose shingles are counted for the order; count from which one is frequent; frequent ones at most.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1_000_000
-#: Rounds in which members of a list are compared with one leader only; classes that shingles are counted in.
-STAR_ROUNDS, SKETCH = 2, 128
+#: Rounds in which members of a list are compared with one leader only.
+STAR_ROUNDS = 2
+#: Shingles for each class that they are counted in, about; least and most classes, as powers of two.
+PER_CLASS, CLASS_BITS = 4, (6, 14)
 #: Texts that are compared are found by broadcast up to so many; texts made into sets at a time.
 BROADCAST_ROWS, BATCH_TEXTS = 500_000, 4096
 
@@ -60,11 +62,29 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).view(np.int64)
 
 
-def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set its shingles' counts by class, 255 at most (which lessens differences, never adds to them)."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    counts = np.bincount(doc * SKETCH + (h >> np.uint64(57)).astype(np.int64) % SKETCH, minlength=(len(at) - 1) * SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH)
+def class_bits(n: np.ndarray) -> np.ndarray:
+    """How many leading bits of a shingle tell its class, for sets of n; sets that can be similar differ by one bit at most."""
+    return np.ceil(np.log2(np.maximum(n / PER_CLASS, 1))).astype(np.int64).clip(*CLASS_BITS)
+
+
+def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its shingles' counts by class as bytes, 255 at most (which lessens differences, never adds to them), and where each set's start."""
+    bits = class_bits(np.diff(at))
+    start = starts_of(1 << bits)
+    own = np.repeat(start[:-1], np.diff(at)) + (h >> np.repeat(64 - bits, np.diff(at)).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(own, minlength=int(start[-1])), 255).astype(np.uint8), start
+
+
+def _folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Rows of counts in half as many classes, until there are ``width``."""
+    while counts.shape[1] > width:
+        counts = counts[:, ::2] + counts[:, 1::2]
+    return counts
+
+
+def _counts(blobs: np.ndarray) -> np.ndarray:
+    """Sketches of one width as rows of numbers."""
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1).astype(np.int32)
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +121,8 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _blobs(matrix: np.ndarray) -> pa.Array:
-    at = (np.arange(len(matrix) + 1) * matrix.shape[1]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(matrix))])
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """The rows that ``_blobs`` made."""
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), SKETCH)
+def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -130,7 +143,7 @@ def _digests(docs: DataFrame, frequent: Frequent, majority: Callable[[np.ndarray
             every, every_at = shingle_hashes(texts, WORDS)
             h, at = _distinct(every, every_at)
             mine = [batch.column(i).slice(start, len(texts)) for i in (0, 2)]
-            made = [pa.array(majority(every, every_at).view(np.int64)), pa.array(signatures(h, at)), pa.array(np.diff(at)), _lists(*prefixes(h, at, frequent)), _blobs(sketches(h, at))]
+            made = [pa.array(majority(every, every_at).view(np.int64)), pa.array(signatures(h, at)), pa.array(np.diff(at)), _lists(*prefixes(h, at, frequent)), _blobs(*sketches(h, at))]
             yield pa.RecordBatch.from_arrays([*mine, *made], names=["id", "text_hash", "fp", "sig", "n", "prefix", "sketch"])
 
     source = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
@@ -152,7 +165,7 @@ def _by_list(rows: DataFrame, work: Callable[[Columns, np.ndarray], Iterator[Col
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [_matrix(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             at = runs(cols[:1])
@@ -177,10 +190,15 @@ def _plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches allow the similarity."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, m = (batch.column(i).to_numpy() for i in (2, 3))
-        differ = np.abs(_matrix(batch.column(4)).astype(np.int16) - _matrix(batch.column(5))).sum(axis=1, dtype=np.int64)
-        ok = pa.array(9 * differ <= n + m)
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
+        n, m, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
+        ok = np.zeros(len(n), dtype=bool)
+        widths = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+        for p, q in np.unique(widths, axis=0).tolist():
+            if max(p, q) <= 2 * min(p, q):
+                mine = np.flatnonzero((widths == (p, q)).all(axis=1))
+                differ = np.abs(_folded(_counts(x[mine]), min(p, q)) - _folded(_counts(y[mine]), min(p, q))).sum(axis=1)
+                ok[mine] = 9 * differ <= n[mine] + m[mine]
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     return arrow_map(both, work, "a long, b long")
@@ -207,20 +225,28 @@ def _all_pairs(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
     several = np.minimum.reduceat(comp, at[:-1]) != np.maximum.reduceat(comp, at[:-1])
     found: list[Columns] = []
     for g in np.flatnonzero(several):
-        low, high = at[g], at[g + 1]
-        order = low + np.argsort(n[low:high], kind="stable")
-        size, parts, classes = n[order], comp[order], sketch[order].astype(np.int16)
+        order = at[g] + np.argsort(n[at[g] : at[g + 1]], kind="stable")
+        size, parts = n[order], comp[order]
         last = np.searchsorted(4 * size, 5 * size, side="right")  # of sizes that fit
+        width = np.array([len(x) for x in sketch[order]])
+        first = {w: int(np.searchsorted(width, w)) for w in np.unique(width).tolist()}  # widths go up with sizes
+        counts = {w: _counts(sketch[order[width == w]]) for w in first}
+        half = {w: _folded(c, w // 2) for w, c in counts.items()}
         for i in range(len(order) - 1):
-            j = np.arange(i + 1, last[i])
-            j = j[parts[j] != parts[i]]
-            if len(j):
-                j = j[9 * np.abs(classes[j] - classes[i]).sum(axis=1, dtype=np.int64) <= size[j] + size[i]]
-                a, b = sig[order[j]], np.full(len(j), sig[order[i]])
-                found.append([np.maximum(a, b), np.minimum(a, b)])
-                if sum(len(f[0]) for f in found[-64:]) > 100_000:
-                    yield [np.concatenate(x) for x in zip(*found, strict=True)]
-                    found = []
+            w = int(width[i])
+            for table, begin in ((counts, first.get(w)), (half, first.get(2 * w))):
+                if begin is None:
+                    continue
+                rows = table[w if table is counts else 2 * w]
+                j = np.arange(max(i + 1, begin), min(int(last[i]), begin + len(rows)))
+                j = j[parts[j] != parts[i]]
+                if len(j):
+                    j = j[9 * np.abs(rows[j - begin] - counts[w][i - first[w]]).sum(axis=1) <= size[j] + size[i]]
+                    a, b = sig[order[j]], np.full(len(j), sig[order[i]])
+                    found.append([np.maximum(a, b), np.minimum(a, b)])
+            if sum(len(f[0]) for f in found[-64:]) > 100_000:
+                yield [np.concatenate(x) for x in zip(*found, strict=True)]
+                found = []
     if found:
         yield [np.concatenate(x) for x in zip(*found, strict=True)]
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -56,5 +57,23 @@ def test_near_copies_match_brute_force(spark, monkeypatch, frequent):
     assert 12 < len(got) < len(rows)
 
 
+def test_sketches_differ_less_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 700, 30_000):
+        for share in (0.0, 0.1, 0.3, 1.0):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 2**64, int(n * share) // 2, dtype=np.uint64)]))
+            sets = [x for x in (a, b) if len(x)]
+            data, at = shingle_join.sketches(np.concatenate(sets), shingle_join.starts_of(np.array([len(x) for x in sets])))
+            parts = [data[i:j].astype(int)[None, :] for i, j in zip(at[:-1], at[1:], strict=True)]
+            assert [p.sum() for p in parts] == [len(x) for x in sets] or n > 20_000
+            if len(parts) == 2:
+                width = min(p.shape[1] for p in parts)
+                apart = np.abs(shingle_join._folded(parts[0], width) - shingle_join._folded(parts[1], width)).sum()
+                assert apart <= len(np.setxor1d(a, b))
+    n = np.arange(1, 60_000)
+    assert (shingle_join.class_bits(n * 5 // 4) - shingle_join.class_bits(n) <= 1).all()
+
+
 def test_near_copies_of_no_rows(spark):
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], DOCS), "").collect() == []

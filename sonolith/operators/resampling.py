@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,20 +61,28 @@ def coactivity_by_group(matrices: DataFrame, key: str = "session_id") -> DataFra
     return matrices.groupBy(key, "group").applyInPandas(work, f"{key} {kind}, group string, n_trials long, r_sc double, cosine double, pop_corr double")
 
 
+def hashed(*parts: object) -> int:
+    """A number below 2^32 that depends on the parts alone, so that any engine draws alike."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
 def bootstrap_coactivity(matrices: DataFrame, n_target: int, n_iterations: int, seed: int, key: str = "session_id") -> DataFrame:
-    """Metrics of trials drawn with replacement, by iteration."""
+    """Metrics of trials drawn with replacement, by iteration; draws are places among the trials in order, told by a seeded hash."""
     kind = matrices.schema[key].dataType.simpleString()
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
-        m, rng = _matrix(p), np.random.default_rng(seed)
-        rows = [(p[key].iloc[0], i, *coactivity(m[:, rng.integers(0, m.shape[1], n_target)])) for i in range(n_iterations)]
+        m, name = _matrix(p), p[key].iloc[0]
+        rows = [(name, i, *coactivity(m[:, [hashed(seed, name, i, k) % m.shape[1] for k in range(n_target)]])) for i in range(n_iterations)]
         return pd.DataFrame(rows, columns=[key, "iteration", "r_sc", "cosine", "pop_corr"])
 
     return matrices.groupBy(key).applyInPandas(work, f"{key} {kind}, iteration int, r_sc double, cosine double, pop_corr double")
 
 
 def permute_labels(matrices: DataFrame, a: str, b: str, n: int, seed: int, key: str = "session_id") -> DataFrame:
-    """Difference of the groups' metrics, its z, and one- and two-sided p with + 1, over permuted labels."""
+    """Difference of the groups' metrics, its z, and one- and two-sided p with + 1, over permuted labels.
+
+    A permutation gives the first group's label to the trials first by a seeded hash.
+    """
     kind = matrices.schema[key].dataType.simpleString()
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
@@ -80,14 +90,21 @@ def permute_labels(matrices: DataFrame, a: str, b: str, n: int, seed: int, key:
         m, is_a = _matrix(own), (own["group"] == a).to_numpy()
         if is_a.sum() < 2 or (~is_a).sum() < 2:
             return pd.DataFrame({key: [p[key].iloc[0]], "delta": [np.nan], "z": [np.nan], "p_one": [np.nan], "p_two": [np.nan]})
-        rng = np.random.default_rng(seed)
+        trials = own["trial"].tolist()
+
+        def permuted(i: int) -> np.ndarray:
+            order = sorted(range(len(trials)), key=lambda k: (hashlib.md5(f"{seed}:{i}:{trials[k]}".encode()).hexdigest(), trials[k]))
+            mask = np.zeros(len(trials), dtype=bool)
+            mask[order[: int(is_a.sum())]] = True
+            return mask
 
         def delta(mask: np.ndarray) -> float:
             return coactivity(m[:, mask])[1] - coactivity(m[:, ~mask])[1]
 
         d = delta(is_a)
-        null = np.array([delta(rng.permutation(is_a)) for _ in range(n)])
+        null = np.array([delta(permuted(i)) for i in range(n)])
         sd = null.std()
+        null, d = np.round(null, 9), round(d, 9)  # equal splits are equal
         return pd.DataFrame({key: [p[key].iloc[0]], "delta": [d], "z": [(d - null.mean()) / sd if sd > 0 else np.nan], "p_one": [((null >= d).sum() + 1) / (n + 1)], "p_two": [((np.abs(null) >= abs(d)).sum() + 1) / (n + 1)]})
 
     return matrices.groupBy(key).applyInPandas(work, f"{key} {kind}, delta double, z double, p_one double, p_two double")

@@ -55,20 +55,53 @@ def snippet_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("session_id", "trial", "group", F.aggregate("counts", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("counts").alias("top"))
 
 
-@query()
-def bootstrap_coactivity(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bootstrap_coactivity(_matrices(spark, sf).where("group = 'a'"), 40, 50, 7)
+def _metrics_sql(rel: str, keys: str) -> str:
+    """The three metrics of counts ``rel`` (keys, trial, unit_id, n)."""
+    return f""", ma AS (SELECT *, avg(n) OVER (PARTITION BY {keys}, unit_id) AS mu, avg(n) OVER (PARTITION BY {keys}, trial) AS mt, sqrt(sum(n * n) OVER (PARTITION BY {keys}, trial)) AS lt FROM {rel}),
+    mb AS (SELECT *, sqrt(sum((n - mu) * (n - mu)) OVER (PARTITION BY {keys}, unit_id)) AS su, sqrt(sum((n - mt) * (n - mt)) OVER (PARTITION BY {keys}, trial)) AS st FROM ma),
+    mt AS (SELECT {keys}, trial, sum(CASE WHEN su > 0 THEN (n - mu) / su ELSE 0 END) AS s, any_value(lt) > 0 AS seen, any_value(st) > 0 AS live FROM mb GROUP BY {keys}, trial),
+    mu AS (SELECT {keys}, unit_id, any_value(su) > 0 AS moving, sum(CASE WHEN lt > 0 THEN n / lt ELSE 0 END) AS c, sum(CASE WHEN st > 0 THEN (n - mt) / st ELSE 0 END) AS p FROM mb GROUP BY {keys}, unit_id),
+    mx AS (SELECT {keys}, sum(s * s) AS ss, count(*) AS k, count(*) FILTER (seen) AS seen, count(*) FILTER (live) AS live FROM mt GROUP BY {keys}),
+    my AS (SELECT {keys}, sum(c * c) AS cc, sum(p * p) AS pp, count(*) FILTER (moving) AS u FROM mu GROUP BY {keys})
+    SELECT {keys}, CASE WHEN u > 1 THEN round((ss - u) / (u * (u - 1)), 6) END AS r_sc, CASE WHEN k > 1 THEN round((cc - seen) / (k * (k - 1)), 6) END AS cosine, CASE WHEN live > 1 THEN round((pp - live) / (live * (live - 1)), 6) END AS pop_corr
+    FROM mx JOIN my USING ({keys})"""
 
 
-@query()
+def _rounded(metrics: DataFrame, *keys: str) -> DataFrame:
+    return metrics.select(*keys, *[r6(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("r_sc", "cosine", "pop_corr")])
+
+
+@query(_COUNTS + """, o AS (SELECT session_id, trial, row_number() OVER (PARTITION BY session_id ORDER BY trial) - 1 AS nth, count(*) OVER (PARTITION BY session_id) AS k FROM (SELECT DISTINCT session_id, trial FROM n WHERE grp = 'a')),
+    d AS (SELECT DISTINCT session_id, k, CAST(i AS INTEGER) AS iteration, j AS draw, ('0x' || substr(md5('7:' || strftime(session_id, '%Y-%m-%d') || ':' || i || ':' || j), 1, 8))::BIGINT % k AS nth FROM o, range(50) r(i), range(40) t(j)),
+    bs AS (SELECT d.session_id, d.iteration, d.draw AS trial, n.unit_id, n.n FROM d JOIN o USING (session_id, nth) JOIN n ON n.session_id = o.session_id AND n.trial = o.trial)""" + _metrics_sql("bs", "session_id, iteration"))
+def bootstrap_coactivity(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.bootstrap_coactivity(_matrices(spark, sf).where("group = 'a'"), 40, 50, 7), "session_id", "iteration")
+
+
+@query(_COUNTS + """, tr AS (SELECT session_id, trial, any_value(grp) = 'a' AS a FROM n GROUP BY ALL), na AS (SELECT session_id, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM tr GROUP BY session_id),
+    pm AS (SELECT session_id, trial, -1 AS i, a FROM tr UNION ALL SELECT tr.session_id, trial, i, row_number() OVER (PARTITION BY tr.session_id, i ORDER BY md5('11:' || i || ':' || trial), trial) <= na FROM tr JOIN na USING (session_id), range(100) r(i)),
+    z AS (SELECT session_id, trial, unit_id, n, sqrt(sum(n * n) OVER (PARTITION BY session_id, trial)) AS l FROM n),
+    v AS (SELECT z.session_id, i, a, unit_id, sum(CASE WHEN l > 0 THEN n / l ELSE 0 END) AS s, count(*) AS k, count(*) FILTER (l > 0) AS live FROM z JOIN pm USING (session_id, trial) GROUP BY ALL),
+    c AS (SELECT session_id, i, a, (sum(s * s) - any_value(live)) / (any_value(k) * (any_value(k) - 1)) AS c FROM v GROUP BY session_id, i, a),
+    d AS (SELECT session_id, i, max(c) FILTER (a) - max(c) FILTER (NOT a) AS d FROM c GROUP BY session_id, i),
+    m AS (SELECT session_id, max(d) FILTER (i < 0) AS d, avg(d) FILTER (i >= 0) AS mean, stddev_pop(d) FILTER (i >= 0) AS sd FROM d GROUP BY session_id)
+    SELECT d.session_id, round(any_value(m.d), 6) AS delta, round((any_value(m.d) - any_value(mean)) / any_value(sd), 5) AS z, round((count(*) FILTER (i >= 0 AND round(d.d, 9) >= round(m.d, 9)) + 1) / 101.0::DOUBLE, 6) AS p_one,
+           round((count(*) FILTER (i >= 0 AND abs(round(d.d, 9)) >= abs(round(m.d, 9))) + 1) / 101.0::DOUBLE, 6) AS p_two FROM d JOIN m USING (session_id) JOIN na USING (session_id) WHERE na >= 2 AND nb >= 2 GROUP BY d.session_id""")
 def label_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    return R.permute_labels(_matrices(spark, sf), "a", "b", 100, 11)
+    """Of sessions that have two trials of each group at least."""
+    p = R.permute_labels(_matrices(spark, sf), "a", "b", 100, 11).where("not isnan(delta)")
+    return p.select("session_id", r6("delta").alias("delta"), r6("z", 5).alias("z"), r6("p_one").alias("p_one"), r6("p_two").alias("p_two"))
 
 
-@query()
+_SHIFTS = [float(s) for s in np.random.default_rng(5).uniform(20, 60, 20) * 60]
+
+
+@query(SPIKES + f""", a AS (SELECT session_id, event_id AS trial, start FROM events_m WHERE category = 'signup'), u AS (SELECT DISTINCT session_id, unit_id FROM spikes),
+    sh AS (SELECT unnest(range(20)) AS shuffle, unnest({_SHIFTS}::DOUBLE[]) AS s), ms AS (SELECT session_id, unit_id, shuffle, (t + s) % 86400 AS t FROM spikes, sh),
+    hit AS (SELECT a.session_id, shuffle, trial, unit_id, count(*) AS n FROM a JOIN ms ON ms.session_id = a.session_id AND t >= start AND t <= start + 3600 GROUP BY ALL),
+    cs AS (SELECT a.session_id, CAST(shuffle AS INTEGER) AS shuffle, a.trial, u.unit_id, coalesce(hit.n, 0)::DOUBLE AS n FROM a JOIN u USING (session_id) CROSS JOIN (SELECT shuffle FROM sh) LEFT JOIN hit USING (session_id, shuffle, trial, unit_id))""" + _metrics_sql("cs", "session_id, shuffle"))
 def circular_shuffle_null(spark: SparkSession, sf: str) -> DataFrame:
-    shifts = np.random.default_rng(5).uniform(20, 60, 20) * 60
-    return R.shifted_coactivity(A.spikes(spark, sf), _anchors(spark, sf).where("group = 'a'"), 3600.0, 86400.0, [float(s) for s in shifts])
+    return _rounded(R.shifted_coactivity(A.spikes(spark, sf), _anchors(spark, sf).where("group = 'a'"), 3600.0, 86400.0, _SHIFTS), "session_id", "shuffle")
 
 
 # 1 - erf(x) as 2 / sqrt(pi) times the series of its integral; under 5e-9 beyond 4
@@ -261,14 +294,31 @@ def merged_channel_detections(spark: SparkSession, sf: str) -> DataFrame:
     return K.merged_detections(e, "session_id", 1.0, 1, 0.5)
 
 
-@query()
-def waveform_features(spark: SparkSession, sf: str) -> DataFrame:
-    return K.waveform_features(A.table(spark, sf, "embeddings"), "vec_id", "embedding", 250000.0, 32, 8)
+_DFT = """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+    w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 31) AS w FROM range(32) r(i)),
+    d AS (SELECT vec_id, f, k, sum(x[8 * f + i + 1] * w * cos(2 * pi() * k * i / 32)) AS re, sum(x[8 * f + i + 1] * w * sin(2 * pi() * k * i / 32)) AS im FROM x, w, range(1000) a(f), range(17) b(k) WHERE 8 * f + 32 <= len(x) GROUP BY vec_id, f, k),
+    e AS (SELECT vec_id, k, k * 250000 / 32.0::DOUBLE AS hz, sum(re * re + im * im) AS e FROM d GROUP BY vec_id, k),
+    p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, sum(e) OVER (PARTITION BY vec_id ORDER BY k) / sum(e) OVER (PARTITION BY vec_id) AS c FROM e)"""
 
 
-@query()
+@query(_DFT + """ SELECT x.vec_id, CASE WHEN any_value(len(x)) > 0 THEN round(sqrt(any_value(list_inner_product(x, x)) / any_value(len(x))), 6) END AS rms, round(sum(hz * p), 3) AS mean_freq, round(arg_max(hz, e), 3) AS peak_freq,
+    round(coalesce(min(hz) FILTER (c >= 0.95), CASE WHEN count(hz) > 0 THEN 125000 END) - min(hz) FILTER (c >= 0.05), 3) AS bandwidth, round(-sum(CASE WHEN p > 0 THEN p * log2(p) WHEN p = 0 THEN 0 END) / log2(17), 6) AS entropy FROM x LEFT JOIN p ON p.vec_id = x.vec_id GROUP BY x.vec_id""")
+def waveform_features(spark: SparkSession, sf: str) -> DataFrame:
+    w = K.waveform_features(A.table(spark, sf, "embeddings").where("embedding is not null"), "vec_id", "embedding", 250000.0, 32, 8)
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return w.select("vec_id", *[r6(known(c), n).alias(c) for c, n in (("rms", 6), ("mean_freq", 3), ("peak_freq", 3), ("bandwidth", 3), ("entropy", 6))])
+
+
+@query("""WITH x AS (SELECT vec_id, c, list_transform(embedding[32 * c + 1:32 * c + 32], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings, range(2) r(c) WHERE len(embedding) = 64),
+    v AS (SELECT vec_id, c, x, list_inner_product(x, x) / 32 - pow(list_sum(x) / 32, 2) AS v FROM x), n AS (SELECT *, v / sum(v) OVER (PARTITION BY vec_id) AS share FROM v),
+    w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 15) AS w FROM range(16) r(i)),
+    d AS (SELECT vec_id, c, f, k, any_value(share) AS share, sum(x[4 * f + i + 1] * w * cos(2 * pi() * k * i / 16)) AS re, sum(x[4 * f + i + 1] * w * sin(2 * pi() * k * i / 16)) AS im FROM n, w, range(5) a(f), range(9) b(k) GROUP BY vec_id, c, f, k),
+    b AS (SELECT vec_id, k, f, 10 * log10(sum(share * (re * re + im * im)) + 1e-12) AS db FROM d GROUP BY vec_id, k, f),
+    g AS (SELECT j, j * 4 / 11.0::DOUBLE AS q FROM range(12) r(j)),
+    i AS (SELECT lo.vec_id, lo.k, j, lo.db * (1 - (q - floor(q))) + hi.db * (q - floor(q)) AS v FROM g JOIN b lo ON lo.f = floor(q) JOIN b hi ON hi.vec_id = lo.vec_id AND hi.k = lo.k AND hi.f = least(floor(q) + 1, 4))
+    SELECT vec_id, CAST(k AS INTEGER) AS freq, CAST(j AS INTEGER) AS time, round((v - min(v) OVER (PARTITION BY vec_id)) / (max(v) OVER (PARTITION BY vec_id) - min(v) OVER (PARTITION BY vec_id)), 6) AS value FROM i""")
 def resized_spectrograms(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.table(spark, sf, "embeddings").where("size(embedding) >= 64").select("vec_id", "embedding")
+    e = A.table(spark, sf, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
 
     def run(batches):
         import pandas as pd
@@ -277,7 +327,8 @@ def resized_spectrograms(spark: SparkSession, sf: str) -> DataFrame:
             out = [N.spectrogram(np.asarray(w, float).reshape(2, -1), 16, 4, (9, 12)) for w in p["embedding"]]
             yield pd.DataFrame({"vec_id": p["vec_id"], "spec": [s.ravel().tolist() for s in out]})
 
-    return e.mapInPandas(run, "vec_id long, spec array<double>")
+    cells = e.mapInPandas(run, "vec_id long, spec array<double>").select("vec_id", F.posexplode("spec").alias("at", "v"))
+    return cells.select("vec_id", F.floor(F.col("at") / 12).cast("int").alias("freq"), (F.col("at") % 12).alias("time"), r6("v").alias("value"))
 
 
 @query("""WITH s AS (SELECT l_suppkey % 5 AS unit_id, l_extendedprice AS a, l_orderkey AS o, max(l_orderkey) OVER (PARTITION BY l_suppkey % 5) + 1 AS n_samples, CAST(floor(count(*) OVER (PARTITION BY l_suppkey % 5) / 50) AS BIGINT) AS bins FROM lineitem),

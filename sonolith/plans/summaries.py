@@ -9,7 +9,7 @@ from sonolith import adapters as A
 from sonolith.functions import scalars as S
 from sonolith.operators import intervals as I
 from sonolith.operators import relational as R
-from sonolith.plans.registry import query
+from sonolith.plans.registry import ORACLES, query
 
 EV, CALLS, FRAMES, POINTS, TRIAGE = (A.with_sql(x) for x in ("events_m", "calls", "frames", "points", "triage"))
 
@@ -61,13 +61,16 @@ def hourly_regressions(spark: SparkSession, sf: str) -> DataFrame:
     return h.groupBy("sex").agg(r6(F.corr("hour", "n")).alias("r"), r6(F.regr_slope("n", "hour")).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# two-sided p of Student's t with n - 2 degrees by Simpson's rule over its angle
+@query("WITH h AS (" + ORACLES["hourly_regressions"] + """), t AS (SELECT sex, r, n - 2 AS nu, atan(abs(r) * sqrt(1 / (1 - r * r))) AS top FROM h),
+    s AS (SELECT sex, any_value(r) AS r, any_value(nu) AS nu, any_value(top) / 6000 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(top * i / 2000), nu - 1)) AS area FROM t, range(2001) k(i) GROUP BY sex)
+    SELECT sex, r, round(1 - 2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(pi()) * area, 6) AS p FROM s""")
 def hourly_regression_p(spark: SparkSession, sf: str) -> DataFrame:
     """The same correlations with their p values, by Student's distribution on the few rows of the result."""
     from sonolith.functions.numeric import correlation_p
     from sonolith.operators.kernels import per_group
 
-    return per_group(hourly_regressions(spark, sf), ["sex"], lambda p: [(float(p["r"].iloc[0]), correlation_p(float(p["r"].iloc[0]), int(p["n"].iloc[0])))], "r double, p double")
+    return per_group(hourly_regressions(spark, sf), ["sex"], lambda p: [(float(p["r"].iloc[0]), correlation_p(float(p["r"].iloc[0]), int(p["n"].iloc[0])))], "r double, p double").withColumn("p", r6("p"))
 
 
 @query(CALLS + """, m AS (SELECT session_id, median(duration) AS mid, count(*) FILTER (sex = 'unassigned') / count(*)::DOUBLE AS share FROM calls GROUP BY session_id HAVING count(*) >= 2)

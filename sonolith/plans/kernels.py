@@ -208,7 +208,7 @@ def gaussian_mixture_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def student_mixture_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return K.mixture_sweep(_logs(spark, sf).where("abs(log_interval) < 9"), "sex", range(1, 3), 1, 3, True)
+    return K.mixture_sweep(_logs(spark, sf), "sex", range(1, 3), 1, 3, True)
 
 
 @query()
@@ -218,12 +218,12 @@ def best_number_of_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_likelihood_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return K.lrt_sweep(_logs(spark, sf), "sex", range(1, 3), 10, 400, 3, False)
+    return K.lrt_sweep(_logs(spark, sf), "sex", range(1, 3), 10, 15_000, 3, False)
 
 
 @query()
 def components_by_likelihood_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return K.selected_k(K.lrt_sweep(_logs(spark, sf), "sex", range(1, 3), 10, 400, 3, False), "sex", 0.05, True)
+    return K.selected_k(K.lrt_sweep(_logs(spark, sf), "sex", range(1, 3), 10, 15_000, 3, False), "sex", 0.05, True)
 
 
 @query()

@@ -175,13 +175,13 @@ def mixture_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     from sonolith.plans.kernels import _logs
 
     def work(p):
-        x = np.sort(p["log_interval"].to_numpy(float))
-        m = min((X.fit(x, k, 1, False, 2) for k in (1, 2, 3)), key=lambda f: X.bic(f, len(x)))
+        x, n = np.asarray(p["x"].iloc[0], float), np.asarray(p["n"].iloc[0], float)
+        m = min((X.fit(x, k, 1, False, 2, count=n) for k in (1, 2, 3)), key=lambda f: X.bic(f, int(n.sum())))
         out = [("mode", i, math.exp(v)) for i, v in enumerate(P.modes(m.weight, m.mean, np.sqrt(m.var)))]
         out += [("boundary", i, b) for i in range(m.k - 1) if (b := m.boundary(i)) is not None]
         return out + [("quantile", int(q * 100), m.quantile(q)) for q in (0.05, 0.5, 0.95)]
 
-    return K.per_group(_logs(spark, sf), ["sex"], work, "what string, place int, seconds double")
+    return K.per_group(K.binned_logs(_logs(spark, sf), "sex", "log_interval"), ["sex"], work, "what string, place int, seconds double")
 
 
 @query(FRAMES + """, p AS (SELECT session_id, distance / 10 AS x, yaw / 30 AS y, speed > 40 AS own FROM frames),

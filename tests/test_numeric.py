@@ -183,6 +183,25 @@ def test_mixture_recovers_components(logs, student):
     assert abs(m.sample(4000, np.random.default_rng(1)).mean() - logs.mean()) < 0.2
 
 
+@pytest.mark.parametrize("student", [False, True])
+def test_counted_logs_fit_like_repeated_ones(logs, student):
+    values, counts = np.unique(np.round(logs, 2), return_counts=True)
+    one, many = X.fit(values, 2, 0, student, count=counts), X.fit(np.repeat(values, counts), 2, 0, student)
+    assert one.loglik == pytest.approx(many.loglik, rel=1e-5) and one.mean == pytest.approx(many.mean, abs=0.02)
+    assert X.icl(one, values, counts) == pytest.approx(X.icl(many, np.repeat(values, counts)), rel=1e-3)
+
+
+def test_binned_logs_lose_nothing(spark, logs):
+    from sonolith.operators import kernels as K
+
+    rows = spark.createDataFrame([("m", float(x)) for x in logs] + [("m", None), ("f", 1.0)], "sex string, v double")
+    got = {r.sex: r for r in K.binned_logs(rows, "sex", "v").collect()}
+    assert sum(got["m"].n) == len(logs) and got["f"].x == [1.0]
+    assert np.dot(got["m"].x, got["m"].n) == pytest.approx(logs.sum()) and got["m"].x == sorted(got["m"].x)
+    fits = K.mixture_sweep(rows.where("sex = 'm'"), "sex", range(2, 3), 1, 0, False, "v").collect()
+    assert fits[0].loglik == pytest.approx(X.fit(logs, 2, 0, False, 2).loglik, rel=1e-5)
+
+
 def test_mixture_selection(logs):
     assert min(range(1, 4), key=lambda k: X.bic(X.fit(logs, k, 0), len(logs))) == 2
     lr, p, null = X.bootstrap_lrt(logs[::3], 1, 8, 0, False)

@@ -12,6 +12,7 @@ from sonolith.functions import numeric as N
 from sonolith.operators import intervals as I
 from sonolith.operators import kernels as K
 from sonolith.operators import normalise as Z
+from sonolith.operators import regression as G
 from sonolith.operators import resampling as R
 from sonolith.plans.registry import query
 
@@ -236,15 +237,10 @@ def univariate_models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def forward_model_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Features chosen stepwise on held-out loss; one group of rows goes to one task, as the models are small."""
-    e = A.table(spark, sf, "embeddings").where("size(embedding) >= 12").select(F.lit(0).alias("model"), (F.array_position(F.slice("embedding", 1, 3), F.array_max(F.slice("embedding", 1, 3))) - 1).cast("int").alias("y"), (F.col("vec_id") % 4).alias("fold"), F.slice("embedding", 1, 12).alias("x"))
-
-    def work(p):
-        x = K.N_rows(p["x"])
-        chosen = L.forward_selection({f"f{k}": x[:, 3 * k : 3 * k + 3] for k in range(4)}, p["y"].to_numpy(int), p["fold"].to_numpy(), 3)
-        return [(i, n, v) for i, (n, v) in enumerate(chosen)]
-
-    return K.per_group(e, ["model"], work, "step int, feature string, log_loss double")
+    """Features chosen stepwise on held-out loss; each pass over the rows serves all candidates and folds of a step."""
+    e = A.table(spark, sf, "embeddings").where("size(embedding) >= 12").select((F.array_position(F.slice("embedding", 1, 3), F.array_max(F.slice("embedding", 1, 3))) - 1).cast("int").alias("y"), (F.col("vec_id") % 4).cast("int").alias("fold"), F.slice("embedding", 1, 12).alias("x"))
+    chosen = G.forward_selection(e, {f"f{k}": tuple(range(3 * k, 3 * k + 3)) for k in range(4)}, 3)
+    return spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(chosen)], "step int, feature string, log_loss double")
 
 
 @query()

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sonolith.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordered", "verbs", "curves", "kernels", "streams", "summaries", "pose", "masks", "modelling", "recordings")
+MODULES = ("ordered", "verbs", "curves", "kernels", "streams", "summaries", "pose", "masks", "modelling", "recordings", "models")
 
 
 def load() -> tuple[dict, dict]:

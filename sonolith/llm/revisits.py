@@ -14,6 +14,8 @@ from sonolith.llm.common import cut
 
 #: Captures of one URL that one task orders, about.
 ROWS_PER_BUCKET = 1_000_000
+#: Stretches of one URL, at most.
+MOST_STRETCHES = 1024
 # Headers of a 304 that do not replace those stored (RFC 9110 and 9111).
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type",
@@ -46,6 +48,22 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(stored, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(names, k)), allowed)
 
 
+def _stretched(rows: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """Adds stretch: for a URL with more captures than a task should order, which of its stretches of time a capture lies in; else 0.
+
+    Such URLs are ``rows / rows_per_bucket`` at most, and so are their stretches, twice over.
+    """
+    hot = cut(rows.where(F.col("target_url").isNotNull() & F.col("ts").isNotNull()).groupBy("target_url").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_bucket))
+    if hot.isEmpty():
+        return rows.withColumn("stretch", F.lit(0))
+    marks = F.percentile_approx("ts", [i / MOST_STRETCHES for i in range(1, MOST_STRETCHES)], 10 * MOST_STRETCHES)
+    every = F.greatest(F.lit(1), F.floor(F.lit(MOST_STRETCHES) * rows_per_bucket / F.col("n"))).cast("int")
+    told = rows.join(F.broadcast(hot), "target_url").groupBy("target_url").agg(marks.alias("marks"), F.first("n").alias("n"))
+    edges = cut(told.select("target_url", F.array_distinct(F.filter("marks", lambda _, i: (i + 1) % every == 0)).alias("edges")))
+    placed = rows.join(F.broadcast(edges), "target_url", "left")
+    return placed.withColumn("stretch", F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("ts"))), F.lit(0))).drop("edges")
+
+
 def resolve_revisits(records: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """(record_id, target_url, response_id, status, headers) for each revisit.
 
@@ -60,12 +78,7 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET)
     Repeated rows give repeated rows; an empty table gives none; other columns are not looked at.
     """
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("target_url"), "ts", "headers").where(F.col("kind").isin("response", "revisit"))
-    rows = cut(rows)
-    n = rows.count()
-    stretches = max(1, -(-n // rows_per_bucket))
-    edges = rows.approxQuantile("ts", [i / stretches for i in range(1, stretches)], 0.1 / stretches) if stretches > 1 else []
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("ts"))) if edges else F.lit(0)
-    rows = rows.withColumn("stretch", at)
+    rows = _stretched(cut(rows), rows_per_bucket)
     usable = F.col("target_url").isNotNull() & F.col("ts").isNotNull()
     full = rows.where((F.col("kind") == "response") & usable).groupBy("target_url", "stretch", "ts").agg(F.max_by(F.struct("record_id", "headers"), "record_id").alias("full"))
     asked = rows.where((F.col("kind") == "revisit") & usable)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 1 << 12
 #: A key with more than this part of all rows is looked up by broadcast, so at most so many keys are.
 HOT_PARTS = 512
+#: Rows of a few numbers that one partition holds, about.
+NARROW_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,6 +59,14 @@ def if_few(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(table) if few else table), few
 
 
+def cut_narrow(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``cut`` for rows of a few numbers, on as many partitions as these fill; ``most``: so many rows at most, if that is known before."""
+    if most is not None:
+        return cut(df.coalesce(most // NARROW_ROWS + 1))
+    out = cut(df)
+    return out.coalesce(out._jdf.queryExecution().toRdd().count() // NARROW_ROWS + 1)  # counted where they lie, without an exchange
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import cut, keyed_lookup
+from sonolith.llm.common import NARROW_ROWS, cut, cut_narrow, keyed_lookup
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One round on edges (a, b), a > b; each node's least neighbour is a partial minimum, joined back."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")).coalesce(parts)
         out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("low"))
+        least = edges.groupBy("a").agg(F.min("b").alias("low")).coalesce(parts)
         out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         out = out.unionByName(least.select("a", F.col("low").alias("b")))
-    return out.where("a > b").distinct()
+    return out.where("a > b").coalesce(parts).distinct().coalesce(parts)
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -30,14 +30,16 @@ def component_roots(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a and b, any order): root is the least node reachable.
 
     Nodes without an edge have no row; loops and repeated edges count for nothing; an empty table
-    gives an empty one. The number of rounds grows with the logarithm of the longest chain.
+    gives an empty one. The number of rounds grows with the logarithm of the longest chain; edges,
+    which don't grow in number, are kept on as many partitions as they fill.
     """
-    now = cut(
+    now = cut_narrow(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     )
     seen = _print_of(now)
     while seen[0]:
-        now = cut(_stars(_stars(now, True), False))
+        parts = seen[0] // NARROW_ROWS + 1
+        now = cut(_stars(_stars(now, True, parts), False, parts))
         was, seen = seen, _print_of(now)
         if was == seen:
             break
@@ -48,6 +50,6 @@ def component_roots(edges: DataFrame) -> DataFrame:
 
 def component_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """(key, n, component_id) for each of ``nodes`` (key, low, n): the least ``low`` among all nodes with its root."""
-    rooted = cut(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)))
+    rooted = cut_narrow(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)))
     groups = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    return cut(keyed_lookup(rooted, cut(groups), "root", "nodes", rooted.count()).select(key, "n", "component_id"))
+    return cut_narrow(keyed_lookup(rooted, cut_narrow(groups), "root", "nodes", rooted.count()).select(key, "n", "component_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import arrow_map, cut, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.common import arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, runs, starts_of, text_chunks
 from sonolith.llm.components import component_ids, component_roots
 from sonolith.llm.shingles import shingle_hashes
 
@@ -187,7 +187,7 @@ def _shared(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
 
 
 def _plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches allow the similarity."""
+    """(a, b, a_hash, b_hash): pairs whose sketches allow the similarity, with the hash of a text of each set."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, m, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
@@ -198,10 +198,11 @@ def _plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
                 mine = np.flatnonzero((widths == (p, q)).all(axis=1))
                 differ = np.abs(_folded(_counts(x[mine]), min(p, q)) - _folded(_counts(y[mine]), min(p, q))).sum(axis=1)
                 ok[mine] = 9 * differ <= n[mine] + m[mine]
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1, 6, 7)], names=["a", "b", "a_hash", "b_hash"])
 
-    both = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    return arrow_map(both, work, "a long, b long")
+    own = drawn.select("sig", "n", "sketch", "text_hash")
+    both = pairs.join(own.toDF("a", "n", "x", "a_hash"), "a").join(own.toDF("b", "m", "y", "b_hash"), "b").select("a", "b", "n", "m", "x", "y", "a_hash", "b_hash")
+    return arrow_map(both, work, "a long, b long, a_hash long, b_hash long")
 
 
 def _to_leader(salt: int) -> Callable[[Columns, np.ndarray], Iterator[Columns]]:
@@ -251,23 +252,21 @@ def _all_pairs(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
         yield [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets have a similarity of 4/5 or more; ``texts`` has the hash of one text for each sig."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(texts, "sig"))
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sets have a similarity of 4/5 or more."""
+    wanted = cut_narrow(pairs.select(F.explode(F.array("a_hash", "b_hash")).alias("text_hash")).distinct())
     # only texts that are compared go to Python
-    hashes = if_few(wanted.select("text_hash"), BROADCAST_ROWS)[0]
-    compared = docs.withColumn("text_hash", F.xxhash64("text")).join(hashes, "text_hash", "left_semi")
-    sets = _sets(compared).join(if_few(wanted.select("sig"), BROADCAST_ROWS)[0], "sig", "left_semi")
-    sets = cut(sets.groupBy("sig").agg(F.first("tokens").alias("tokens")))
+    compared = docs.withColumn("text_hash", F.xxhash64("text")).join(if_few(wanted, BROADCAST_ROWS)[0], "text_hash", "left_semi")
+    sets = cut(_sets(compared).groupBy("sig").agg(F.first("tokens").alias("tokens")))
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     return both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
 def _by_fingerprint(rows: DataFrame, link_edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs (a, b), a > b, of sets with equal or linked fingerprints: to one set for each fingerprint, and between these."""
-    sets = cut(rows.groupBy("fp", "sig").agg(F.count(F.lit(1)).alias("n")))
-    ones = cut(sets.groupBy("fp").agg(F.min("sig").alias("one"), F.count(F.lit(1)).alias("sets")))
-    same = keyed_lookup(sets.drop("n"), ones, "fp", "sets", sets.count()).select(F.col("sig").alias("a"), F.col("one").alias("b"))
+    sets = cut_narrow(rows.select("fp", "sig").distinct())
+    ones = cut_narrow(sets.groupBy("fp").agg(F.min("sig").alias("one"), F.count(F.lit(1)).alias("sets")))
+    same = keyed_lookup(sets, ones, "fp", "sets", sets.count()).select(F.col("sig").alias("a"), F.col("one").alias("b"))
     edges = link_edges(ones.select("fp")).distinct()
     linked = edges.join(ones.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(ones.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
     return same.unionByName(linked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).where("a > b").distinct()
@@ -282,11 +281,10 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
     """
     docs = named(df, id_col, text_col).toDF("id", "text")
     rows = cut(_digests(docs, _frequent(docs), majority))
-    texts = rows.groupBy("sig").agg(F.min("text_hash").alias("text_hash"))
-    drawn = cut(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    pairs = tried = cut(_plausible(_by_fingerprint(rows, link_edges), drawn))
-    edges = cut(_verified(docs, texts, pairs))
-    roots = cut(component_roots(edges))
+    drawn = cut(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text_hash").alias("text_hash")))
+    pairs = cut_narrow(_plausible(_by_fingerprint(rows, link_edges), drawn))
+    edges = cut_narrow(_verified(docs, pairs))
+    roots = cut_narrow(component_roots(edges))
     posts = cut(_by_list(rows.select(F.explode("prefix").alias("token"), "sig"), _shared, "token long, sig long"))
     for salt in range(STAR_ROUNDS + 1):
         known = if_few(roots.toDF("sig", "comp"), BROADCAST_ROWS)[0]
@@ -295,11 +293,9 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
         if salt == STAR_ROUNDS:
             mixed = apart.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
             apart, work = apart.join(mixed, "token", "left_semi").join(drawn, "sig").select("token", "sig", "comp", "n", "sketch"), _all_pairs
-        pairs = _by_list(apart, work, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(_plausible(pairs, drawn))
-        tried = tried.unionByName(pairs)
-        edges = cut(edges.unionByName(_verified(docs, texts, pairs)))
-        roots = cut(component_roots(edges))
-    nodes = cut(rows.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+        pairs = cut_narrow(_plausible(_by_list(apart, work, "a long, b long").distinct(), drawn))
+        edges = cut_narrow(edges.unionByName(_verified(docs, pairs)))
+        roots = cut_narrow(component_roots(edges))
+    nodes = cut_narrow(rows.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     classes = component_ids(nodes, roots, "sig")
     return keyed_lookup(rows.select("id", "sig"), classes, "sig", "n", rows.count()).select(F.col("id").alias(id_col), "component_id")

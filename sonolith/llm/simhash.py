@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.llm import shingle_join
-from sonolith.llm.common import arrow_map, cut, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.common import arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, runs, starts_of, text_chunks
 from sonolith.llm.components import component_ids, component_roots
 from sonolith.llm.shingles import shingle_hashes
 
@@ -197,7 +197,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty one. Ids, links and classes stay distributed; no task holds a class.
     """
     rows = cut(fingerprint_rows(df, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+    nodes = cut_narrow(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     classes = component_ids(nodes, component_roots(link_edges(nodes)), "fp")
     return keyed_lookup(rows, classes, "fp", "n", rows.count()).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -229,7 +229,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", com
     id_at, text_at = columns[df.columns.index(id_col)], columns[df.columns.index(text_col)]
     marked = components(inner, id_at, text_at).select(F.col(id_at).alias("id"), "component_id").where("id is not null")
     decided = marked.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("twice"))
-    decided = cut(decided.where("gone or twice"))
+    decided = cut_narrow(decided.where("gone or twice"))
     table, few = if_few(decided, BROADCAST_IDS)
     found = inner if few else inner.where(F.col(id_at).isNotNull())
     found = found.join(table, F.col(id_at) == F.col("id"), "left")

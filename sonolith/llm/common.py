@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one round of vectorised work takes at a time; texts.
-CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 1 << 12
+#: Characters of text that one round of vectorised work takes at a time; texts; texts that are made strings at a time.
+CHUNK_CHARS, CHUNK_TEXTS, SLICE_TEXTS = 1 << 20, 1 << 12, 256
 #: A key with more than this part of all rows is looked up by broadcast, so at most so many keys are.
 HOT_PARTS = 512
 #: Rows of a few numbers that one partition holds, about.
@@ -120,13 +120,14 @@ def named(df: DataFrame, *wanted: str) -> DataFrame:
 def text_chunks(column: pa.Array, chars: int = CHUNK_CHARS, texts: int = CHUNK_TEXTS) -> Iterator[tuple[int, list[str]]]:
     """Whole texts (null: empty) in runs of about ``chars`` characters and ``texts`` texts at most; a longer text is a run of its own."""
     start, size, run = 0, 0, []
-    for i, value in enumerate(column.to_pylist()):
-        text = value or ""
-        if run and (size + len(text) > chars or len(run) >= texts):
-            yield start, run
-            start, size, run = i, 0, []
-        run.append(text)
-        size += len(text)
+    for low in range(0, len(column), SLICE_TEXTS):  # a batch of long texts isn't turned into strings at once
+        for i, value in enumerate(column.slice(low, SLICE_TEXTS).to_pylist(), low):
+            text = value or ""
+            if run and (size + len(text) > chars or len(run) >= texts):
+                yield start, run
+                start, size, run = i, 0, []
+            run.append(text)
+            size += len(text)
     if run:
         yield start, run
 

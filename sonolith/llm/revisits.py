@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import cut
+from sonolith.llm.common import cut, named
 
 #: Captures of one URL that one task orders, about.
 ROWS_PER_BUCKET = 1_000_000
@@ -77,7 +77,8 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET)
     ordered by a task, with the latest response of the stretches before carried over.
     Repeated rows give repeated rows; an empty table gives none; other columns are not looked at.
     """
-    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("target_url"), "ts", "headers").where(F.col("kind").isin("response", "revisit"))
+    own = named(records, "record_id", "kind", "url", "ts", "headers")
+    rows = own.select("record_id", "kind", canonical_url(F.col("url")).alias("target_url"), "ts", "headers").where(F.col("kind").isin("response", "revisit"))
     rows = _stretched(cut(rows), rows_per_bucket)
     usable = F.col("target_url").isNotNull() & F.col("ts").isNotNull()
     full = rows.where((F.col("kind") == "response") & usable).groupBy("target_url", "stretch", "ts").agg(F.max_by(F.struct("record_id", "headers"), "record_id").alias("full"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells of a dense grid at most.
+MOST_CELLS = 10_000_000
+
 
 def replace_slice(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``table`` whose keys ``new`` has go, then ``new`` is added; doing it twice changes nothing."""
@@ -18,10 +23,13 @@ def last_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> Data
 
 
 def dense_grid(counts: DataFrame, dims: list[DataFrame], value: str, fill: int = 0) -> DataFrame:
-    """All combinations of the dims, ``fill`` where ``counts`` has none. Dims are lists of labels, not of rows."""
-    grid = dims[0].distinct()
-    for d in dims[1:]:
-        grid = grid.crossJoin(d.distinct())
+    """All combinations of the dims, ``fill`` where ``counts`` has none. Dims are lists of labels, not of rows: over MOST_CELLS combinations raise."""
+    labels = [d.distinct() for d in dims]
+    if math.prod(d.count() for d in labels) > MOST_CELLS:
+        raise ValueError(f"a grid of over {MOST_CELLS} cells is not made of labels")
+    grid = labels[0]
+    for d in labels[1:]:
+        grid = grid.crossJoin(F.broadcast(d))
     return grid.join(counts, grid.columns, "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 

@@ -48,10 +48,7 @@ def emitter_roles(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("session_id", target.alias("target"), predictor.alias("predictor"))
 
 
-_ROLE_ROWS = """WITH t AS (SELECT CAST(ts AS DATE) AS session_id, CASE CAST(user_id % 3 AS INTEGER) WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unassigned' END AS sex, user_id FROM events)"""
-
-
-@query(_ROLE_ROWS + """, m AS (SELECT session_id, sex, min(user_id) AS emitter FROM t WHERE sex <> 'unassigned' GROUP BY ALL)
+@query(EVENTS + """, m AS (SELECT session_id, sex, min(user_id) AS emitter FROM events_m WHERE sex <> 'unassigned' GROUP BY ALL)
     SELECT session_id, max(emitter) FILTER (sex = 'male') AS male, max(emitter) FILTER (sex = 'female') AS female, count(*) AS n_roles FROM m GROUP BY session_id""")
 def role_maps(spark: SparkSession, sf: str) -> DataFrame:
     """Emitter and role of each session as a map, read by role."""

@@ -14,8 +14,12 @@ from sonolith.streaming import events as S
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A folder that all executors reach: that of checkpoints if one is named, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder that all executors reach: that of checkpoints; without one the warehouse, but only where Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -90,10 +94,10 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     run = S.upsert_batches(base, ["n_regionkey"])
     run(n, 0)
     run(n.where("n_regionkey = 1").withColumn("version", F.lit("new")), 1)
-    return spark.read.parquet(f"{base}/v00000002")
+    return spark.read.parquet(base).withColumn("n_regionkey", F.col("n_regionkey").cast("int"))
 
 
-@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, count(*) AS n, CAST(max(rn) AS BIGINT) AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS rn FROM events) GROUP BY 1""")
+@query(A.with_sql("events_m") + " SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS n, max(row_idx) AS last_row FROM events_m GROUP BY session_id")
 def csv_file_order(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as a CSV a session and read again with their places in the files."""
     from sonolith.sources import tables as Q

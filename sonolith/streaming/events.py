@@ -73,14 +73,12 @@ def streaming_bouts(events: DataFrame, gap: float) -> DataFrame:
 
 
 def upsert_batches(table_path: str, keys: list[str]):
-    """For ``foreachBatch``: replaces the slices that a batch has, by writing a new version beside the old one."""
-    from sonolith.operators.relational import replace_slice
+    """For ``foreachBatch``: a batch takes the place of the slices (key values) that it has in a table partitioned by the keys.
+
+    Other slices are neither read nor written; a batch that runs again gives the same table.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = f"{table_path}/v{epoch + 1:08d}"
-        if epoch:
-            batch = replace_slice(spark.read.parquet(f"{table_path}/v{epoch:08d}"), batch, keys)
-        batch.write.mode("overwrite").parquet(new)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(table_path)
 
     return run

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one round of vectorised work takes at a time; texts; texts that are made strings at a time.
 CHUNK_CHARS, CHUNK_TEXTS, SLICE_TEXTS = 1 << 20, 1 << 12, 256
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2_000
 #: A key with more than this part of all rows is looked up by broadcast, so at most so many keys are.
 HOT_PARTS = 512
 #: Rows of a few numbers that one partition holds, about.
@@ -35,8 +37,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand out Arrow batches of BATCH_ROWS rows at most: texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, which outlives executors, and go on from there."""
+    small_batches(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -90,6 +101,7 @@ def beside(columns: list[str], *new: str) -> list[str]:
 
 def stored(df: DataFrame, folder: str) -> DataFrame:
     """``df`` as Parquet in a folder that all executors share; unlike a checkpoint, columns that aren't needed aren't read again."""
+    small_batches(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -133,7 +145,9 @@ def text_chunks(column: pa.Array, chars: int = CHUNK_CHARS, texts: int = CHUNK_T
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` on each Arrow batch; batches are bounded in rows and bytes by Spark's settings."""
+    """``work`` on each Arrow batch; batches are bounded in rows by ``small_batches`` and in bytes by Spark's settings."""
+
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -52,3 +52,23 @@ def require_all(rows: DataFrame, dimension: DataFrame, keys: list[str], what: st
     message = F.concat(F.lit(f"no {what} for "), F.to_json(F.struct(*keys)))
     joined = rows.join(known, keys, "left")
     return joined.where(F.when(F.col("__known"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("__known")
+
+
+def beside(frames: list[tuple[DataFrame, list[str]]], place: str, rows_each: int = 1_000_000) -> DataFrame:
+    """Frames side by side, each in order of its own columns (the first of them a number): row i of all, nulls where a frame has ended.
+
+    Beyond ``rows_each`` rows a frame is cut at quantiles of its first column, and the parts' sizes
+    are added, so no task numbers a whole frame.
+    """
+    out = None
+    for frame, order in frames:
+        cuts = frame.count() // rows_each
+        edges = sorted(set(frame.approxQuantile(order[0], [i / (cuts + 1) for i in range(1, cuts + 1)], 0.01))) if cuts else []
+        part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
+        parts = frame.withColumn("__part", F.coalesce(part, F.lit(0)))
+        sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a part
+        before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+        nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+        numbered = parts.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn(place, (F.col("__before") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__before")
+        out = numbered if out is None else out.join(numbered, place, "full")
+    return out

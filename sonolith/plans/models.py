@@ -195,3 +195,27 @@ def overridden_settings(spark: SparkSession, sf: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["event_id", "path", "value", "digest", "unchanged"])
 
     return A.table(spark, sf, "events").select("event_id", "props", "event_type").mapInPandas(run, "event_id long, path string, value long, digest string, unchanged boolean")
+
+
+# tables side by side
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_name FROM nation), b AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS i, r_name FROM region)
+    SELECT coalesce(a.i, b.i) AS place, n_name, r_name FROM a FULL JOIN b ON a.i = b.i""")
+def horizontal_concat(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables side by side by place, nulls where the shorter one ends."""
+    from sonolith.operators.relational import beside
+
+    return beside([(A.table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]), (A.table(spark, sf, "region").select("r_regionkey", "r_name"), ["r_regionkey"])], "place").select("place", "n_name", "r_name")
+
+
+@query("SELECT label, count(*) AS n, round(sum(vec_id * 0.5), 6) AS total FROM (SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings WHERE label < 3) GROUP BY label")
+def vertical_concat(spark: SparkSession, sf: str) -> DataFrame:
+    """One table below another of the same columns, repeated rows kept, written as CSV and read again."""
+    from sonolith.plans.streams import _work_dir
+
+    e = A.table(spark, sf, "embeddings").select("vec_id", "label")
+    base = _work_dir(spark)
+    e.unionByName(e.where("label < 3")).write.option("header", True).csv(base)
+    back = spark.read.schema("vec_id long, label int").option("header", True).csv(base)
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("vec_id") * 0.5)).alias("total"))

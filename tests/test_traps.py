@@ -121,6 +121,14 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == [("a", 1), ("b", 8), ("b", 9)] == sorted(map(tuple, R.replace_slice(once, new, ["k"]).collect()))
 
 
+@pytest.mark.parametrize("each", [3, 1000])
+def test_frames_side_by_side(spark, each):
+    a = spark.createDataFrame([(i * 7 % 20, f"a{i * 7 % 20:02}") for i in range(20)], "k int, a string")
+    b = spark.createDataFrame([(-i, f"b{i}") for i in range(12)], "j int, b string")
+    got = sorted((r.place, r.a, r.b) for r in R.beside([(a, ["k"]), (b, ["j"])], "place", each).collect())
+    assert got == [(i, f"a{i:02}", f"b{11 - i}" if i < 12 else None) for i in range(20)]
+
+
 def test_foreign_keys_raise(spark):
     rows = spark.createDataFrame([(1,), (2,)], "k int")
     assert R.require_all(rows, rows, ["k"], "mouse").count() == 2

@@ -7,9 +7,10 @@ keeps lists short; the sample decides on speed alone, not on what is found.
 
 Links are verified in rounds, and only between texts that are still in different components, so a
 large group of copies costs no pairs: first those that SimHash links, then two rounds in which every
-list is compared with one leader, then what is left. Before, each set has counts of its shingles by
-class, about PER_CLASS in each; as counts differ by no more than sets do, a pair whose counts differ
-by over a ninth of both sizes can't have the similarity, and its sets aren't read.
+list is compared with one leader, then what is left. Before, each set has a bit for each class of
+shingles, whether their number is odd, in two to four classes a shingle; as bits differ in no more
+places than sets do, and in nearly as many, a pair whose bits differ in over a ninth of both sizes
+can't have the similarity, and its sets aren't read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ WORDS = 5
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1_000_000
 #: Rounds in which members of a list are compared with one leader only.
 STAR_ROUNDS = 2
-#: Shingles for each class that they are counted in, about; least and most classes, as powers of two.
-PER_CLASS, CLASS_BITS = 4, (6, 14)
+#: Classes, at least, for each shingle of a set; least and most classes, as powers of two.
+CLASSES_EACH, CLASS_BITS = 2, (8, 17)
 #: Texts that are compared are found by broadcast up to so many; texts made into sets at a time.
 BROADCAST_ROWS, BATCH_TEXTS = 500_000, 4096
 
@@ -64,27 +65,33 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def class_bits(n: np.ndarray) -> np.ndarray:
     """How many leading bits of a shingle tell its class, for sets of n; sets that can be similar differ by one bit at most."""
-    return np.ceil(np.log2(np.maximum(n / PER_CLASS, 1))).astype(np.int64).clip(*CLASS_BITS)
+    return np.ceil(np.log2(np.maximum(n * CLASSES_EACH, 1))).astype(np.int64).clip(*CLASS_BITS)
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set its shingles' counts by class as bytes, 255 at most (which lessens differences, never adds to them), and where each set's start."""
+    """For each set a bit for each class, whether it has an odd number of shingles there, and the byte where each set's start."""
     bits = class_bits(np.diff(at))
     start = starts_of(1 << bits)
     own = np.repeat(start[:-1], np.diff(at)) + (h >> np.repeat(64 - bits, np.diff(at)).astype(np.uint64)).astype(np.int64)
-    return np.minimum(np.bincount(own, minlength=int(start[-1])), 255).astype(np.uint8), start
+    return np.packbits((np.bincount(own, minlength=int(start[-1])) & 1).astype(np.uint8)), start // 8
 
 
-def _folded(counts: np.ndarray, width: int) -> np.ndarray:
-    """Rows of counts in half as many classes, until there are ``width``."""
-    while counts.shape[1] > width:
-        counts = counts[:, ::2] + counts[:, 1::2]
-    return counts
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bits for half as many classes, until they have ``width`` bytes."""
+    while rows.shape[1] > width:
+        bits = np.unpackbits(rows, axis=1)
+        rows = np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+    return rows
 
 
-def _counts(blobs: np.ndarray) -> np.ndarray:
-    """Sketches of one width as rows of numbers."""
-    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1).astype(np.int32)
+def _rows_of(blobs: np.ndarray) -> np.ndarray:
+    """Sketches of one width as rows of bytes."""
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Classes in which rows differ: no more than the shingles that only one of two sets has."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +203,8 @@ def _plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
         for p, q in np.unique(widths, axis=0).tolist():
             if max(p, q) <= 2 * min(p, q):
                 mine = np.flatnonzero((widths == (p, q)).all(axis=1))
-                differ = np.abs(_folded(_counts(x[mine]), min(p, q)) - _folded(_counts(y[mine]), min(p, q))).sum(axis=1)
-                ok[mine] = 9 * differ <= n[mine] + m[mine]
+                differ = _apart(_folded(_rows_of(x[mine]), min(p, q)), _folded(_rows_of(y[mine]), min(p, q)))
+                ok[mine] = 9 * np.maximum(differ, np.abs(n[mine] - m[mine])) <= n[mine] + m[mine]
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1, 6, 7)], names=["a", "b", "a_hash", "b_hash"])
 
     own = drawn.select("sig", "n", "sketch", "text_hash")
@@ -225,31 +232,44 @@ def _all_pairs(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
     _, sig, comp, n, sketch = cols
     several = np.minimum.reduceat(comp, at[:-1]) != np.maximum.reduceat(comp, at[:-1])
     found: list[Columns] = []
+    held = known = 0
     for g in np.flatnonzero(several):
         order = at[g] + np.argsort(n[at[g] : at[g + 1]], kind="stable")
         size, parts = n[order], comp[order]
         last = np.searchsorted(4 * size, 5 * size, side="right")  # of sizes that fit
         width = np.array([len(x) for x in sketch[order]])
         first = {w: int(np.searchsorted(width, w)) for w in np.unique(width).tolist()}  # widths go up with sizes
-        counts = {w: _counts(sketch[order[width == w]]) for w in first}
-        half = {w: _folded(c, w // 2) for w, c in counts.items()}
+        whole = {w: _rows_of(sketch[order[width == w]]) for w in first}
+        half = {w: _folded(c, w // 2) for w, c in whole.items()}
         for i in range(len(order) - 1):
             w = int(width[i])
-            for table, begin in ((counts, first.get(w)), (half, first.get(2 * w))):
+            for table, begin in ((whole, first.get(w)), (half, first.get(2 * w))):
                 if begin is None:
                     continue
-                rows = table[w if table is counts else 2 * w]
+                rows = table[w if table is whole else 2 * w]
                 j = np.arange(max(i + 1, begin), min(int(last[i]), begin + len(rows)))
                 j = j[parts[j] != parts[i]]
                 if len(j):
-                    j = j[9 * np.abs(rows[j - begin] - counts[w][i - first[w]]).sum(axis=1) <= size[j] + size[i]]
+                    j = j[9 * _apart(rows[j - begin], whole[w][i - first[w]]) <= size[j] + size[i]]
                     a, b = sig[order[j]], np.full(len(j), sig[order[i]])
                     found.append([np.maximum(a, b), np.minimum(a, b)])
-            if sum(len(f[0]) for f in found[-64:]) > 100_000:
-                yield [np.concatenate(x) for x in zip(*found, strict=True)]
-                found = []
+            held += sum(len(f[0]) for f in found[known:])
+            known = len(found)
+            if held > 500_000:
+                yield _once(found)
+                found, held, known = [], 0, 0
     if found:
-        yield [np.concatenate(x) for x in zip(*found, strict=True)]
+        yield _once(found)
+
+
+def _once(found: list[Columns]) -> Columns:
+    """Pairs of many lists, each once."""
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return [a[new], b[new]]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

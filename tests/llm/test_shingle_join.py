@@ -65,12 +65,11 @@ def test_sketches_differ_less_than_sets():
             b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 2**64, int(n * share) // 2, dtype=np.uint64)]))
             sets = [x for x in (a, b) if len(x)]
             data, at = shingle_join.sketches(np.concatenate(sets), shingle_join.starts_of(np.array([len(x) for x in sets])))
-            parts = [data[i:j].astype(int)[None, :] for i, j in zip(at[:-1], at[1:], strict=True)]
-            assert [p.sum() for p in parts] == [len(x) for x in sets] or n > 20_000
+            parts = [data[i:j][None, :] for i, j in zip(at[:-1], at[1:], strict=True)]
             if len(parts) == 2:
                 width = min(p.shape[1] for p in parts)
-                apart = np.abs(shingle_join._folded(parts[0], width) - shingle_join._folded(parts[1], width)).sum()
-                assert apart <= len(np.setxor1d(a, b))
+                apart, real = int(shingle_join._apart(*(shingle_join._folded(p, width) for p in parts))[0]), len(np.setxor1d(a, b))
+                assert apart <= real and (share > 0.3 or n < 700 or apart >= 0.75 * real)
     n = np.arange(1, 60_000)
     assert (shingle_join.class_bits(n * 5 // 4) - shingle_join.class_bits(n) <= 1).all()
 

@@ -105,7 +105,7 @@ def permute_labels(matrices: DataFrame, a: str, b: str, n: int, seed: int, key:
         null = np.array([delta(permuted(i)) for i in range(n)])
         sd = null.std()
         null, d = np.round(null, 9), round(d, 9)  # equal splits are equal
-        return pd.DataFrame({key: [p[key].iloc[0]], "delta": [d], "z": [(d - null.mean()) / sd if sd > 0 else np.nan], "p_one": [((null >= d).sum() + 1) / (n + 1)], "p_two": [((np.abs(null) >= abs(d)).sum() + 1) / (n + 1)]})
+        return pd.DataFrame({key: [p[key].iloc[0]], "delta": [d], "z": [(d - null.mean()) / sd if sd > 1e-9 else np.nan], "p_one": [((null >= d).sum() + 1) / (n + 1)], "p_two": [((np.abs(null) >= abs(d)).sum() + 1) / (n + 1)]})
 
     return matrices.groupBy(key).applyInPandas(work, f"{key} {kind}, delta double, z double, p_one double, p_two double")
 

@@ -86,12 +86,12 @@ def bootstrap_coactivity(spark: SparkSession, sf: str) -> DataFrame:
     c AS (SELECT session_id, i, a, (sum(s * s) - any_value(live)) / (any_value(k) * (any_value(k) - 1)) AS c FROM v GROUP BY session_id, i, a),
     d AS (SELECT session_id, i, max(c) FILTER (a) - max(c) FILTER (NOT a) AS d FROM c GROUP BY session_id, i),
     m AS (SELECT session_id, max(d) FILTER (i < 0) AS d, avg(d) FILTER (i >= 0) AS mean, stddev_pop(d) FILTER (i >= 0) AS sd FROM d GROUP BY session_id)
-    SELECT d.session_id, round(any_value(m.d), 6) AS delta, round((any_value(m.d) - any_value(mean)) / any_value(sd), 5) AS z, round((count(*) FILTER (i >= 0 AND round(d.d, 9) >= round(m.d, 9)) + 1) / 101.0::DOUBLE, 6) AS p_one,
+    SELECT d.session_id, round(any_value(m.d), 6) AS delta, CASE WHEN any_value(sd) > 1e-9 THEN round((any_value(m.d) - any_value(mean)) / any_value(sd), 5) END AS z, round((count(*) FILTER (i >= 0 AND round(d.d, 9) >= round(m.d, 9)) + 1) / 101.0::DOUBLE, 6) AS p_one,
            round((count(*) FILTER (i >= 0 AND abs(round(d.d, 9)) >= abs(round(m.d, 9))) + 1) / 101.0::DOUBLE, 6) AS p_two FROM d JOIN m USING (session_id) JOIN na USING (session_id) WHERE na >= 2 AND nb >= 2 GROUP BY d.session_id""")
 def label_permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Of sessions that have two trials of each group at least."""
     p = R.permute_labels(_matrices(spark, sf), "a", "b", 100, 11).where("not isnan(delta)")
-    return p.select("session_id", r6("delta").alias("delta"), r6("z", 5).alias("z"), r6("p_one").alias("p_one"), r6("p_two").alias("p_two"))
+    return p.select("session_id", r6("delta").alias("delta"), r6(F.when(~F.isnan("z"), F.col("z")), 5).alias("z"), r6("p_one").alias("p_one"), r6("p_two").alias("p_two"))
 
 
 _SHIFTS = [float(s) for s in np.random.default_rng(5).uniform(20, 60, 20) * 60]

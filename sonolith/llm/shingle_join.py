@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.common import NARROW_ROWS, arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, runs, starts_of, text_chunks
 from sonolith.llm.components import component_ids, component_roots
 from sonolith.llm.shingles import shingle_hashes
 
@@ -34,8 +34,10 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1_000_000
 STAR_ROUNDS = 2
 #: Classes, at least, for each shingle of a set; least and most classes, as powers of two.
 CLASSES_EACH, CLASS_BITS = 2, (8, 17)
-#: Texts that are compared are found by broadcast up to so many; texts made into sets at a time.
-BROADCAST_ROWS, BATCH_TEXTS = 500_000, 4096
+#: Texts that are compared are found by broadcast up to so many.
+BROADCAST_ROWS = 500_000
+#: Pairs that a task holds to give each once.
+HELD_PAIRS = 500_000
 
 Frequent = tuple[np.ndarray, np.ndarray]
 Columns = list[np.ndarray]
@@ -157,17 +159,39 @@ def _digests(docs: DataFrame, frequent: Frequent, majority: Callable[[np.ndarray
     return arrow_map(source, work, f"id {id_type}, text_hash long, fp long, sig long, n long, prefix array<long>, sketch binary")
 
 
-def _by_list(rows: DataFrame, work: Callable[[Columns, np.ndarray], Iterator[Columns]], schema: str) -> DataFrame:
-    """``work`` on the columns of many rows and where each list (rows of one token, in order of sig) starts; holds one list besides a batch."""
+def _by_list(rows: DataFrame, work: Callable[[Columns, np.ndarray], Iterator[Columns]], schema: str, tasks: int | None = None) -> DataFrame:
+    """``work`` on the columns of many rows and where each list (rows of one token, in order of sig) starts; holds one list besides a batch.
+
+    With ``tasks``, lists are dealt to so many, and what ``work`` gives are pairs, of which a task
+    gives each once, as far as HELD_PAIRS go.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def out(cols: Columns, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def made(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
         if len(at) > 1:
-            for found in work([c[: at[-1]] for c in cols], at):
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+            yield from (found for found in work([c[: at[-1]] for c in cols], at) if len(found[0]))
+
+    def batch(found: Columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tasks is None:
+            yield from map(batch, lists(batches))
+            return
+        held, merged, size = [], 0, 0
+        for found in lists(batches):
+            held.append(found)
+            size += len(found[0])
+            if size > 2 * merged + HELD_PAIRS:
+                held = [_once(held)]
+                size = merged = len(held[0][0])
+                if merged > HELD_PAIRS:
+                    yield batch(held[0])
+                    held, merged, size = [], 0, 0
+        if held:
+            yield batch(_once(held))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         rest = None
         for b in batches:
             if not b.num_rows:
@@ -176,12 +200,13 @@ def _by_list(rows: DataFrame, work: Callable[[Columns, np.ndarray], Iterator[Col
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             at = runs(cols[:1])
-            yield from out(cols, at[:-1])
+            yield from made(cols, at[:-1])
             rest = [c[at[-2] :] for c in cols]
         if rest is not None:
-            yield from out(rest, runs(rest[:1]))
+            yield from made(rest, runs(rest[:1]))
 
-    return rows.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(run, schema)
+    dealt = rows.repartition("token") if tasks is None else rows.repartition("token").coalesce(tasks)
+    return dealt.sortWithinPartitions("token", "sig").mapInArrow(run, schema)
 
 
 def _shared(cols: Columns, at: np.ndarray) -> Iterator[Columns]:
@@ -306,6 +331,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
     edges = cut_narrow(_verified(docs, pairs))
     roots = cut_narrow(component_roots(edges))
     posts = cut(_by_list(rows.select(F.explode("prefix").alias("token"), "sig"), _shared, "token long, sig long"))
+    tasks = posts.count() // NARROW_ROWS + 1
     for salt in range(STAR_ROUNDS + 1):
         known = if_few(roots.toDF("sig", "comp"), BROADCAST_ROWS)[0]
         apart = posts.join(known, "sig", "left").select("token", "sig", F.coalesce("comp", "sig").alias("comp"))
@@ -313,7 +339,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
         if salt == STAR_ROUNDS:
             mixed = apart.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
             apart, work = apart.join(mixed, "token", "left_semi").join(drawn, "sig").select("token", "sig", "comp", "n", "sketch"), _all_pairs
-        pairs = cut_narrow(_plausible(_by_list(apart, work, "a long, b long").distinct(), drawn))
+        pairs = cut_narrow(_plausible(_by_list(apart, work, "a long, b long", tasks).distinct(), drawn))
         edges = cut_narrow(edges.unionByName(_verified(docs, pairs)))
         roots = cut_narrow(component_roots(edges))
     nodes = cut_narrow(rows.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))

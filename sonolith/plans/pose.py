@@ -109,6 +109,25 @@ def spike_noise_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return K.per_group(li, ["unit_id"], lambda p: [(P.noise_deviation(p["at"].to_numpy(float), p["a"].to_numpy(float), 0.5, 100.0, 10.0),)], "sd_ratio double").withColumn("sd_ratio", r6("sd_ratio"))
 
 
+@query("""WITH e AS (SELECT vec_id, i, CAST(i % 2 * 32 AS DOUBLE) AS cx, CAST(i // 2 * 40 AS DOUBLE) AS cy, abs(CAST(embedding[i + 1] AS DOUBLE)) + 0.01 AS a FROM embeddings, range(8) r(i) WHERE len(embedding) >= 8),
+    m AS (SELECT vec_id, arg_max(cx, (a, -i)) AS mx, arg_max(cy, (a, -i)) AS my FROM e GROUP BY vec_id),
+    d AS (SELECT e.vec_id, sqrt((cx - mx) ** 2 + (cy - my) ** 2) AS x, a * a AS w, ln(a) AS y FROM e JOIN m USING (vec_id))
+    SELECT vec_id, round(-(sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2), 6) AS decay FROM d GROUP BY vec_id""")
+def contact_decays(spark: SparkSession, sf: str) -> DataFrame:
+    """Decay of amplitudes with distance from the contact that has the greatest."""
+
+    def run(batches):
+        import pandas as pd
+
+        contacts = np.array([(x, y) for y in range(0, 160, 40) for x in (0, 32)], dtype=float)
+        for p in batches:
+            a = np.abs(K.N_rows(p["x"])) + 0.01 if len(p) else np.zeros((0, 8))
+            d = [np.sqrt(((contacts - contacts[v.argmax()]) ** 2).sum(axis=1)) for v in a]
+            yield pd.DataFrame({"vec_id": p["vec_id"], "decay": [P.exponential_decay(x, v) for x, v in zip(d, a, strict=True)]})
+
+    return _curves(spark, sf, 8).mapInPandas(run, "vec_id long, decay double").withColumn("decay", r6("decay"))
+
+
 @query()
 def source_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Decay with distance and position of sources from amplitudes on a grid of contacts."""

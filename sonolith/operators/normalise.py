@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,13 +74,13 @@ def holdout_sessions(ids: list, proportion: float, seed: int) -> list:
 def stratified_session_splits(counts: dict, n_splits: int, proportion: float, tolerance: float, seed: int, widen: float = 0.02, every: int = 1000, most: int = 50_000) -> list[list]:
     """Seeded test sets of sessions whose class shares are within the tolerance of all rows'.
 
-    ``counts``: session -> rows of each class. Sets that miss are drawn again; after every ``every``
-    draws the tolerance widens.
+    ``counts``: session -> rows of each class. A draw takes the sessions first by a hash of seed, draw
+    and id. Sets that miss are drawn again; after every ``every`` draws the tolerance widens.
     """
     ids = sorted(counts)
     table = np.array([counts[i] for i in ids], dtype=float)
     want = table.sum(axis=0) / table.sum()
-    rng, out, tries = np.random.default_rng(seed), [], 0
+    out, tries = [], 0
     size = max(1, int(round(len(ids) * proportion)))
     while len(out) < n_splits:
         tries += 1
@@ -86,7 +88,7 @@ def stratified_session_splits(counts: dict, n_splits: int, proportion: float, to
             raise ValueError("no split is near enough to the distribution of classes")
         if tries % every == 0:
             tolerance += widen
-        pick = rng.permutation(len(ids))[:size]
+        pick = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{seed}:{tries}:{ids[i]}".encode()).hexdigest(), i))[:size]
         have = table[pick].sum(axis=0)
         rest = table.sum(axis=0) - have
         if have.sum() and rest.min() > 0 and have.min() > 0 and np.abs(have / have.sum() - want).max() <= tolerance:

@@ -486,7 +486,13 @@ def held_out_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return Z.held_out(s, "session_id", 0.1, 42)
 
 
-@query()
+@query(CALLS + """, n AS (SELECT session_id, count(*) FILTER (category = 'click') AS a, count(*) FILTER (category = 'view') AS b, count(*) FILTER (category = 'purchase') AS c, count(*) FILTER (category = 'signup') AS d FROM calls GROUP BY session_id),
+    t AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, sum(a + b + c + d) AS n, greatest(1, CAST(round_even(count(*) * 0.2, 0) AS BIGINT)) AS size FROM n),
+    o AS (SELECT k, n.*, row_number() OVER (PARTITION BY k ORDER BY md5('42:' || k || ':' || strftime(session_id, '%Y-%m-%d')), session_id) AS place FROM n, range(1, 3000) r(k)),
+    p AS (SELECT o.* FROM o, t WHERE place <= size), h AS (SELECT k, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, sum(a + b + c + d) AS n FROM p GROUP BY k),
+    g AS (SELECT k FROM h, t WHERE least(h.a, h.b, h.c, h.d) > 0 AND least(t.a - h.a, t.b - h.b, t.c - h.c, t.d - h.d) > 0
+          AND greatest(abs(h.a / h.n - t.a / t.n), abs(h.b / h.n - t.b / t.n), abs(h.c / h.n - t.c / t.n), abs(h.d / h.n - t.d / t.n)) <= 0.05 + 0.02 * (k // 1000) ORDER BY k LIMIT 5)
+    SELECT CAST(dense_rank() OVER (ORDER BY g.k) - 1 AS INTEGER) AS split, session_id FROM g JOIN p USING (k)""")
 def stratified_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Test sessions of seeded splits whose classes are distributed as all are."""
     n = A.calls(spark, sf).groupBy("session_id").pivot("category", ["click", "view", "purchase", "signup"]).agg(F.count(F.lit(1))).na.fill(0).collect()

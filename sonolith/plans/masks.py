@@ -59,7 +59,15 @@ def masked_features(spark: SparkSession, sf: str) -> DataFrame:
     return _waves(spark, sf).mapInPandas(run, "vec_id long, n_cells int, mean_freq double, bandwidth double, kept double")
 
 
-@query()
+_STEP = "(x - cx - far * sqrt((s.k + 1.5) / 9) * cos(6 * pi() * sqrt((s.k + 1.5) / 9))) ** 2 + (y - cy - far * sqrt((s.k + 1.5) / 9) * sin(6 * pi() * sqrt((s.k + 1.5) / 9))) ** 2"
+
+
+@query(A.with_sql("points").replace("WITH ", "WITH RECURSIVE ", 1) + f""", m AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM points GROUP BY label),
+    c AS (SELECT label, any_value(cx) AS cx, any_value(cy) AS cy, max(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS far FROM points JOIN m USING (label) GROUP BY label),
+    s AS (SELECT label, -1 AS k, NULL::BIGINT AS vec_id, []::BIGINT[] AS used FROM c UNION ALL
+          SELECT s.label, s.k + 1, arg_min(p.vec_id, ({_STEP}, p.vec_id)), list_append(any_value(s.used), arg_min(p.vec_id, ({_STEP}, p.vec_id)))
+          FROM s JOIN c ON c.label = s.label JOIN points p ON p.label = s.label WHERE s.k < 8 AND NOT list_contains(s.used, p.vec_id) GROUP BY s.label, s.k)
+    SELECT label, CAST(k AS INTEGER) AS place, vec_id FROM s WHERE k >= 0""")
 def spiral_examples(spark: SparkSession, sf: str) -> DataFrame:
     """Nine examples of each category along a spiral from its centre."""
 

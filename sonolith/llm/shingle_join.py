@@ -8,7 +8,7 @@ keeps lists short; the sample decides on speed alone, not on what is found.
 Links are verified in rounds, and only between texts that are still in different components, so a
 large group of copies costs no pairs: first those that SimHash links, then two rounds in which every
 list is compared with one leader, then what is left. Before, each set has a bit for each class of
-shingles, whether their number is odd, in two to four classes a shingle; as bits differ in no more
+shingles, whether their number is odd, in one to two classes a shingle; as bits differ in no more
 places than sets do, and in nearly as many, a pair whose bits differ in over a ninth of both sizes
 can't have the similarity, and its sets aren't read.
 """
@@ -33,7 +33,7 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1_000_000
 #: Rounds in which members of a list are compared with one leader only.
 STAR_ROUNDS = 2
 #: Classes, at least, for each shingle of a set; least and most classes, as powers of two.
-CLASSES_EACH, CLASS_BITS = 2, (8, 17)
+CLASSES_EACH, CLASS_BITS = 1, (8, 17)
 #: Texts that are compared are found by broadcast up to so many.
 BROADCAST_ROWS = 500_000
 #: Pairs that a task holds to give each once.

@@ -38,6 +38,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it where b is 0: infinite, or NaN for 0 / 0."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(F.try_divide(a, b))
+
+
 def softplus(x: Column) -> Column:
     """log(1 + exp(x)) without overflow."""
     return F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))

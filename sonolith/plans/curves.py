@@ -204,7 +204,7 @@ def vocal_modulation_index(spark: SparkSession, sf: str) -> DataFrame:
     sp = A.spikes(spark, sf)
     before = P.count_in_windows(sp, w, ("session_id",)).select("session_id", F.floor(F.col("window_id") / 2).alias("bout"), (F.col("n") / F.lit(2000.0)).alias("base"))
     inside = P.count_in_windows(sp, v, ("session_id",), closed=True).select("session_id", F.floor(F.col("window_id") / 2).alias("bout"), F.col("n").alias("n_in"))
-    r = b.join(before, ["session_id", "bout"]).join(inside, ["session_id", "bout"]).withColumn("inside", F.col("n_in") / (F.col("offset") - F.col("onset")))
+    r = b.join(before, ["session_id", "bout"]).join(inside, ["session_id", "bout"]).withColumn("inside", S.float_ratio(F.col("n_in"), F.col("offset") - F.col("onset")))  # a bout may last no time
     agg = r.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_bouts"), F.avg("base").alias("base"), F.avg("inside").alias("inside"))
     return agg.select("session_id", "n_bouts", r6("base").alias("base"), r6("inside").alias("inside"), r6(S.ratio(F.col("inside") - F.col("base"), F.col("inside") + F.col("base"))).alias("vmi"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -168,12 +170,13 @@ def amplitude_strata(spark: SparkSession, sf: str) -> DataFrame:
     per = e.groupBy("duration").agg(F.count(F.lit(1)).alias("k"))
     parts = 16
     bounds = per.approxQuantile("duration", [i / parts for i in range(1, parts)], 0.01)
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col("duration")))
+    at = F.when(F.col("duration").isNull(), parts).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col("duration"))))  # null comes last
     marked = e.withColumn("part", at)
     base = marked.groupBy("part").agg(F.count(F.lit(1)).alias("k")).withColumn("base", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("k")
     ranked = marked.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("duration", "event_id"))).join(F.broadcast(base), "part")  # 16 rows
     q = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x < F.col("r") + F.col("base"))) + 1
-    return ranked.groupBy(q.alias("q"), "sex").agg(F.count(F.lit(1)).alias("n"), r6(F.exp(F.avg(F.log("duration")))).alias("geo_mean"), r6(F.min("duration")).alias("lo"), r6(F.max("duration")).alias("hi"))
+    log = F.when(F.col("duration") == 0, -math.inf).otherwise(F.log("duration"))  # a single 0 makes the geometric mean 0
+    return ranked.groupBy(q.alias("q"), "sex").agg(F.count(F.lit(1)).alias("n"), r6(F.exp(F.avg(log))).alias("geo_mean"), r6(F.min("duration")).alias("lo"), r6(F.max("duration")).alias("hi"))
 
 
 @query(CALLS + """, g AS (SELECT session_id, category, count(*) AS n FROM calls GROUP BY ALL) SELECT category, count(*) AS n_sessions, round(avg(n), 6) AS mean_n, round(stddev_samp(n) / sqrt(count(*)), 6) AS sem, round(avg(n) - 2 * stddev_samp(n) / sqrt(count(*)), 6) AS low FROM g GROUP BY category""")

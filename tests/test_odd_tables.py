@@ -26,3 +26,8 @@ def events(sf_dir, value):
 def test_bouts_that_last_no_time(spark, sf_dir, tmp_path):
     """Their rate is infinite with a spike at the onset and NaN without, as in SQL."""
     same_as_sql("vocal_modulation_index", spark, tmp_path, events=events(sf_dir, "case when event_id % 2 = 0 then 0 else value end"))
+
+
+def test_geometric_means_of_events_that_last_no_time(spark, sf_dir, tmp_path):
+    """One makes the mean 0, as in SQL; events of unknown length come last."""
+    same_as_sql("amplitude_strata", spark, tmp_path, events=events(sf_dir, "case event_id % 50 when 0 then 0 when 1 then null else value end"))

@@ -215,12 +215,16 @@ def cluster_template_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH d AS (SELECT a.p_partkey AS unit, b.s_suppkey AS channel, abs(a.p_size * 4 - b.s_suppkey % 200) AS d FROM part a, supplier b)
     SELECT unit, channel, CAST(row_number() OVER (PARTITION BY unit ORDER BY d, channel) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def nearest_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """The five channels of a probe that lie nearest to each unit; a probe's channels are a parameter table."""
+    """The five channels that lie nearest to each unit: places of units meet the first five channels of each place of channels."""
     u = A.table(spark, sf, "part").select(F.col("p_partkey").alias("unit"), (F.col("p_size") * 4).alias("u"))
     s = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("channel"), (F.col("s_suppkey") % 200).alias("c"))
-    packed = s.agg(F.collect_list(F.struct("channel", "c")).alias("cs"))
-    near = u.join(F.broadcast(packed)).select("unit", F.slice(F.array_sort(F.transform("cs", lambda x: F.struct(F.abs(F.col("u") - x["c"]).alias("d"), x["channel"].alias("channel")))), 1, 5).alias("n"))  # one row
-    return near.select("unit", F.posexplode("n").alias("p", "x")).select("unit", F.col("x.channel").alias("channel"), (F.col("p") + 1).alias("rank"))
+    by_channel, by_distance = F.asc_nulls_last("channel"), F.asc_nulls_last("d")
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(by_channel))).where("rank <= 5").drop("rank")
+    # five rows a place, of which a modulus leaves 400 at most; places of units are few as well, as sizes are
+    near = u.select("u").distinct().join(F.broadcast(s)).withColumn("d", F.abs(F.col("u") - F.col("c")))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(by_distance, by_channel))).where("rank <= 5").drop("rank", "c").withColumnRenamed("u", "at")
+    each = u.join(F.broadcast(near), F.col("u").eqNullSafe(F.col("at"))).withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(by_distance, by_channel)))
+    return each.where("rank <= 5").select("unit", "channel", "rank")
 
 
 @query("SELECT n_regionkey AS shank, array_to_string(list(n_nationkey ORDER BY n_nationkey % 7, n_nationkey), ',') AS channels FROM nation GROUP BY n_regionkey")

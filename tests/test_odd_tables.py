@@ -31,3 +31,15 @@ def test_bouts_that_last_no_time(spark, sf_dir, tmp_path):
 def test_geometric_means_of_events_that_last_no_time(spark, sf_dir, tmp_path):
     """One makes the mean 0, as in SQL; events of unknown length come last."""
     same_as_sql("amplitude_strata", spark, tmp_path, events=events(sf_dir, "case event_id % 50 when 0 then 0 when 1 then null else value end"))
+
+
+def test_channels_of_a_place_are_cut_to_the_nearest_before_they_meet_units(spark, sf_dir, tmp_path):
+    """Few rows meet units however many channels there are; units twice or of unknown place are as in SQL."""
+    part = f"select p_partkey, case when p_partkey % 7 <> 0 then p_size end as p_size from '{sf_dir}/part.parquet'"
+    part += f" union all select p_partkey, p_size + 1 from '{sf_dir}/part.parquet' where p_partkey % 5 = 0"
+    same_as_sql("nearest_channels", spark, tmp_path, part=part, supplier="select i as s_suppkey from range(3000) r(i)")
+    many = tmp_path / "many"
+    many.mkdir()
+    duckdb.execute(f"copy (select i as p_partkey, cast(i % 50 + 1 as integer) as p_size from range(40000) r(i)) to '{many}/part.parquet' (format parquet)")
+    duckdb.execute(f"copy (select i as s_suppkey from range(400000) r(i)) to '{many}/supplier.parquet' (format parquet)")  # 16 billion pairs
+    assert QUERIES["nearest_channels"](spark, str(many)).count() == 200_000

@@ -166,6 +166,43 @@ def forward_backward(log_start: np.ndarray, log_move: np.ndarray, log_emit: np.n
     return total, np.exp(a + b - total), moves
 
 
+def expected_states(start: np.ndarray, move: np.ndarray, log_emit: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, posteriors and expected moves of sequences of one length together: a step of all of them is one product.
+
+    ``log_emit``: step, sequence, state. As forward_backward, but scaled at each step, which needs start and moves above 0.
+    """
+    n, _, k = log_emit.shape
+    top = log_emit.max(axis=2, keepdims=True)
+    emit = np.exp(log_emit - top)
+    a, b, c = np.empty_like(emit), np.ones_like(emit), np.empty_like(top)
+    ones = np.ones((k, 1))
+    for i in range(n):
+        v = (a[i - 1] @ move if i else start) * emit[i]
+        np.matmul(v, ones, out=c[i])  # faster than a sum over few states
+        np.divide(v, c[i], out=a[i])
+    ahead, back = emit / c, move.T
+    for i in range(n - 2, -1, -1):
+        ahead[i + 1] *= b[i + 1]
+        np.matmul(ahead[i + 1], back, out=b[i])
+    moves = move * (a[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
+    return float((np.log(c) + top).sum()), a * b, moves
+
+
+def likeliest_paths(log_start: np.ndarray, log_move: np.ndarray, log_emit: np.ndarray) -> np.ndarray:
+    """States by step and sequence, as viterbi has them, of sequences of one length together."""
+    n, s, k = log_emit.shape
+    score, back = log_start + log_emit[0], np.zeros((n, s, k), dtype=np.int32)
+    for i in range(1, n):
+        m = score[:, None, :] + log_move.T
+        back[i] = m.argmax(axis=2)
+        score = m.max(axis=2) + log_emit[i]
+    path, each = np.empty((n, s), dtype=int), np.arange(s)
+    path[-1] = score.argmax(axis=1)
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = back[i, each, path[i]]
+    return path
+
+
 def viterbi(log_start: np.ndarray, log_move: np.ndarray, log_emit: np.ndarray) -> np.ndarray:
     """Likeliest states; the first of equal ones."""
     n, k = log_emit.shape
@@ -184,6 +221,9 @@ def viterbi(log_start: np.ndarray, log_move: np.ndarray, log_emit: np.ndarray) -
 def fit_gaussian_hmm(sequences: list[np.ndarray], k: int, seed: int, rounds: int = 40) -> dict:
     """EM with diagonal normal emissions over sequences; also BIC and each sequence's states."""
     every = np.concatenate(sequences)
+    sizes = np.array([len(x) for x in sequences])
+    begins = np.cumsum(sizes) - sizes
+    alike = [begins[sizes == n] + np.arange(n)[:, None] for n in np.unique(sizes[sizes > 0])]  # rows by step and sequence, for each length
     rng = np.random.default_rng(seed)
     mean = every[rng.choice(len(every), k, replace=False)]
     mean = mean[np.argsort(mean[:, 0], kind="stable")]
@@ -192,17 +232,17 @@ def fit_gaussian_hmm(sequences: list[np.ndarray], k: int, seed: int, rounds: int
     np.fill_diagonal(move, 0.9 if k > 1 else 1.0)
     last = -np.inf
     for _ in range(rounds):
-        total, s0, m0, post = 0.0, np.zeros(k), np.zeros((k, k)), []
-        for x in sequences:
-            ll, p, mv = forward_backward(np.log(start), np.log(move), _gaussian_log(x, mean, var))
+        total, s0, m0, g = 0.0, np.zeros(k), np.zeros((k, k)), np.empty((len(every), k))
+        emit = _gaussian_log(every, mean, var)
+        for at in alike:
+            ll, p, mv = expected_states(start, move, emit[at])
             total += ll
-            s0 += p[0]
+            s0 += p[0].sum(axis=0)
             m0 += mv
-            post.append(p)
+            g[at] = p
         if abs(total - last) < 1e-6:
             break
         last = total
-        g = np.concatenate(post)
         n = g.sum(axis=0) + 1e-9
         mean = g.T @ every / n[:, None]
         var = np.maximum(g.T @ every**2 / n[:, None] - mean**2, 1e-4)
@@ -211,5 +251,8 @@ def fit_gaussian_hmm(sequences: list[np.ndarray], k: int, seed: int, rounds: int
         move /= move.sum(axis=1, keepdims=True)
     d = every.shape[1]
     free = (k - 1) + k * (k - 1) + 2 * k * d
-    states = [viterbi(np.log(start), np.log(move), _gaussian_log(x, mean, var)) for x in sequences]
+    found, emit = np.empty(len(every), dtype=int), _gaussian_log(every, mean, var)
+    for at in alike:
+        found[at] = likeliest_paths(np.log(start), np.log(move), emit[at])
+    states = np.split(found, begins[1:])
     return {"loglik": last, "bic": -2 * last + free * math.log(len(every)), "mean": mean, "var": var, "move": move, "states": states}

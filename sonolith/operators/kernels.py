@@ -209,19 +209,18 @@ def N_rows(column: pd.Series) -> np.ndarray:
 
 
 def hmm_sweep(rows: DataFrame, key: str, sequence: str, order: str, features: list[str], ks: range, seed: int) -> DataFrame:
-    """Gaussian chains of each number of states over the sequences of a key."""
-    spark: SparkSession = rows.sparkSession
-    grid = spark.createDataFrame([(k,) for k in ks], "k int")
-    joined = rows.join(F.broadcast(grid))  # a parameter grid
+    """Gaussian chains of each number of states over the sequences of a key, whose rows go to numpy once for all of them."""
 
     def work(p: pd.DataFrame) -> Iterable[tuple]:
-        k = int(p["k"].iloc[0])
-        seqs = [g.sort_values(order)[features].to_numpy(float) for _, g in p.groupby(sequence)]
-        m = L.fit_gaussian_hmm(seqs, k, seed, 15)
-        share = np.bincount(np.concatenate(m["states"]), minlength=k) / sum(map(len, seqs))
-        return [(m["loglik"], m["bic"], share.tolist())]
-
-    return per_group(joined, [key, "k"], work, "loglik double, bic double, share array<double>")
+        own = p[sequence].to_numpy()
+        at = np.lexsort((p[order].to_numpy(), own))
+        seqs = np.split(p[features].to_numpy(float)[at], np.flatnonzero(np.diff(own[at])) + 1)
+        for k in ks:
+            m = L.fit_gaussian_hmm(seqs, k, seed, 15)
+            share = np.bincount(np.concatenate(m["states"]), minlength=k) / len(p)
+            yield k, m["loglik"], m["bic"], share.tolist()
+
+    return per_group(rows, [key], work, "k int, loglik double, bic double, share array<double>")
 
 
 def merged_detections(rows: DataFrame, key: str, bin_s: float, peak_min: int, valley: float, stretch: float = 3600.0) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 import duckdb
+import numpy as np
+import pytest
 
 from sonolith import plans
+from sonolith.functions import learning as L
 from tests.compare import check
 
 QUERIES, ORACLES = plans.load()
@@ -43,3 +49,22 @@ def test_channels_of_a_place_are_cut_to_the_nearest_before_they_meet_units(spark
     duckdb.execute(f"copy (select i as p_partkey, cast(i % 50 + 1 as integer) as p_size from range(40000) r(i)) to '{many}/part.parquet' (format parquet)")
     duckdb.execute(f"copy (select i as s_suppkey from range(400000) r(i)) to '{many}/supplier.parquet' (format parquet)")  # 16 billion pairs
     assert QUERIES["nearest_channels"](spark, str(many)).count() == 200_000
+
+
+def test_chains_of_many_sequences():
+    """As forward_backward and viterbi have each sequence by itself, in a small part of their time."""
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 3):
+        start, move = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k)
+        emit = rng.normal(0, 30, (7, 5, k))
+        total, post, moves = L.expected_states(start, move, emit)
+        one = [L.forward_backward(np.log(start), np.log(move), emit[:, i]) for i in range(5)]
+        assert total == pytest.approx(sum(x[0] for x in one)) and moves == pytest.approx(sum(x[2] for x in one))
+        assert all(post[:, i] == pytest.approx(x[1]) for i, x in enumerate(one))
+        paths = L.likeliest_paths(np.log(start), np.log(move), emit)
+        assert all((paths[:, i] == L.viterbi(np.log(start), np.log(move), emit[:, i])).all() for i in range(5))
+    x = np.repeat(rng.integers(0, 2, 4000), 5)[:, None] * 5.0 + rng.normal(size=(20_000, 2))
+    begun = time.process_time()
+    m = L.fit_gaussian_hmm(np.split(x, [*range(100, 19_900, 100), 19_930]), 3, 2, 15)
+    assert time.process_time() - begun < 4  # one sequence after another takes 15 s and more
+    assert sum(map(len, m["states"])) == 20_000 and math.isfinite(m["loglik"])

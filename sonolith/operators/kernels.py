@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -223,6 +225,22 @@ def hmm_sweep(rows: DataFrame, key: str, sequence: str, order: str, features: li
     return per_group(rows, [key], work, "k int, loglik double, bic double, share array<double>")
 
 
+def amplitude_variation(rows: DataFrame, keys: list[str], per_bin: int = 50, least_bins: int = 10) -> DataFrame:
+    """Median and spread (p95 - p5) of deviation over mean of amplitudes in bins of about ``per_bin`` rows of equal width.
+
+    ``rows``: keys, amplitude, at. A bin is a group of rows, so a key isn't bound to a task. NaN under ``least_bins`` bins.
+    """
+    size = rows.groupBy(*keys).agg((F.max("at") + 1).cast("double").alias("__n"), F.floor(F.count(F.lit(1)) / per_bin).alias("__bins"))
+    size = size.select(*[F.col(c).alias(f"__{c}_of") for c in keys], "__n", "__bins")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}_of")) for c in keys]
+    k = F.least(F.floor(F.col("at") / F.col("__n") * F.col("__bins")), F.col("__bins") - 1)
+    placed = rows.join(F.broadcast(size), reduce(and_, same)).groupBy(*keys, k.alias("__k"))  # a row a key
+    bins = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("amplitude").alias("mean"), F.stddev_pop("amplitude").alias("sd")).where("n > 1 and mean <> 0")
+    q = bins.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("sd") / F.abs("mean"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    known = lambda x: F.when(F.col("n") >= least_bins, x).otherwise(F.lit(float("nan")))
+    return q.select(*keys, known(F.col("q")[1]).alias("cv_median"), known(F.col("q")[2] - F.col("q")[0]).alias("cv_range"))
+
+
 def merged_detections(rows: DataFrame, key: str, bin_s: float, peak_min: int, valley: float, stretch: float = 3600.0) -> DataFrame:
     """Detections on channels as events. Regions that no detection bridges are independent, so those that
     begin in one stretch of time make a group, however long a session is.

@@ -332,7 +332,7 @@ def resized_spectrograms(spark: SparkSession, sf: str) -> DataFrame:
     SELECT unit_id, CASE WHEN count(*) >= 10 THEN round(median(cv), 6) ELSE 'nan'::DOUBLE END AS cv_median, CASE WHEN count(*) >= 10 THEN round(quantile_cont(cv, 0.95) - quantile_cont(cv, 0.05), 6) ELSE 'nan'::DOUBLE END AS cv_range FROM k GROUP BY unit_id""")
 def amplitude_variation(spark: SparkSession, sf: str) -> DataFrame:
     li = A.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("unit_id"), F.col("l_extendedprice").alias("amplitude"), F.col("l_orderkey").alias("at"))
-    cv = K.per_group(li, ["unit_id"], lambda p: [N.amplitude_cv(p["amplitude"].to_numpy(float), p["at"].to_numpy(float), int(p["at"].max()) + 1, 1.0)], "cv_median double, cv_range double")
+    cv = K.amplitude_variation(li, ["unit_id"])
     return cv.select("unit_id", r6("cv_median").alias("cv_median"), r6("cv_range").alias("cv_range"))
 
 

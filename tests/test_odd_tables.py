@@ -68,3 +68,9 @@ def test_chains_of_many_sequences():
     m = L.fit_gaussian_hmm(np.split(x, [*range(100, 19_900, 100), 19_930]), 3, 2, 15)
     assert time.process_time() - begun < 4  # one sequence after another takes 15 s and more
     assert sum(map(len, m["states"])) == 20_000 and math.isfinite(m["loglik"])
+
+
+def test_amplitudes_of_one_long_unit(spark, tmp_path):
+    """40,000 bins of a unit are groups, not passes over its rows; a unit of few rows is NaN, one of a single row isn't there."""
+    unit = "case when i % 1000 = 7 then 1 when i = 3 then 2 else 5 * (i % 3) end"
+    same_as_sql("amplitude_variation", spark, tmp_path, lineitem=f"select {unit} as l_suppkey, cast(i as bigint) as l_orderkey, cast(hash(i) % 9973 as double) + 1 as l_extendedprice from range(2000000) r(i) where i > 300000 or i % 1000 <> 7")

@@ -412,7 +412,7 @@ def macro_von_mises_score(spark: SparkSession, sf: str) -> DataFrame:
 @query(POINTS + f""", d AS (SELECT a.vec_id, b.vec_id AS other, sqrt({_td('a.x', 'b.x')} ** 2 + {_td('a.y', 'b.y')} ** 2) AS d FROM points a JOIN points b ON a.vec_id <> b.vec_id)
     SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS INTEGER) AS rank, round(d, 6) AS d FROM d QUALIFY rank <= 5""")
 def torus_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return M.nearest_neighbours(A.points(spark, sf), 5, PERIOD, 16).select("vec_id", "rank", r6("d").alias("d"))
+    return M.nearest_neighbours(A.points(spark, sf), 5, PERIOD).select("vec_id", "rank", r6("d").alias("d"))
 
 
 @query(POINTS + f""", c AS (SELECT label, avg(x) AS x, avg(y) AS y FROM points GROUP BY label), d AS (SELECT a.label, min(sqrt({_td('a.x', 'b.x')} ** 2 + {_td('a.y', 'b.y')} ** 2)) AS d FROM c a JOIN c b ON a.label <> b.label GROUP BY a.label)

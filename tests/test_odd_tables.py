@@ -11,6 +11,7 @@ import pytest
 
 from sonolith import plans
 from sonolith.functions import learning as L
+from sonolith.operators import manifold as M
 from tests.compare import check
 
 QUERIES, ORACLES = plans.load()
@@ -74,3 +75,26 @@ def test_amplitudes_of_one_long_unit(spark, tmp_path):
     """40,000 bins of a unit are groups, not passes over its rows; a unit of few rows is NaN, one of a single row isn't there."""
     unit = "case when i % 1000 = 7 then 1 when i = 3 then 2 else 5 * (i % 3) end"
     same_as_sql("amplitude_variation", spark, tmp_path, lineitem=f"select {unit} as l_suppkey, cast(i as bigint) as l_orderkey, cast(hash(i) % 9973 as double) + 1 as l_extendedprice from range(2000000) r(i) where i > 300000 or i % 1000 <> 7")
+
+
+def test_neighbours_are_sought_in_few_rows(spark, tmp_path):
+    """Dense spots, copies and points across the seam give what brute force gives, and no join makes pairs of near points."""
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.uniform(0, 6, (1500, 2)), np.mod(rng.normal(0, 1e-3, (1500, 2)), 6), np.repeat(rng.uniform(0, 6, (20, 2)), 30, axis=0), rng.integers(0, 12, (900, 2)) / 2])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "vec_id long, x double, y double")
+    got = {}
+    for r in M.nearest_neighbours(points, 5, 6.0, 100).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = (r.d, r.other)
+    for i, v in enumerate(xy):
+        g = v - xy
+        g -= 6 * np.rint(g / 6)
+        d = np.sqrt((g**2).sum(axis=1))
+        d[i] = np.inf
+        assert got[i] == {n + 1: (pytest.approx(d[j]), j) for n, j in enumerate(np.argsort(d, kind="stable")[:5])}
+
+
+def test_neighbours_of_a_crowd(spark, tmp_path):
+    """40,000 points in a cell of a fixed grid would make 1.6 billion pairs."""
+    near = "[1 + hash(i) % 100003 / 1e7, 1 + hash(i + 7) % 100019 / 1e7, 0, 0]::FLOAT[]"
+    duckdb.execute(f"copy (select cast(i as bigint) as vec_id, {near} as embedding, 0 as label from range(40000) r(i)) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    assert QUERIES["torus_neighbours"](spark, str(tmp_path)).count() == 200_000

@@ -117,6 +117,11 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: its heap shrinks again, and Spark's cleaner drops shuffles, broadcasts and checkpoints that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def named(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by position, so that names that differ in case alone don't clash."""
     seen = {}

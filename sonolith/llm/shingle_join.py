@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import NARROW_ROWS, arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, runs, starts_of, text_chunks
+from sonolith.llm.common import NARROW_ROWS, arrow_map, cut, cut_narrow, if_few, keyed_lookup, named, release, runs, starts_of, text_chunks
 from sonolith.llm.components import component_ids, component_roots
 from sonolith.llm.shingles import shingle_hashes
 
@@ -332,6 +332,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
     roots = cut_narrow(component_roots(edges))
     posts = cut(_by_list(rows.select(F.explode("prefix").alias("token"), "sig"), _shared, "token long, sig long"))
     tasks = posts.count() // NARROW_ROWS + 1
+    release(df.sparkSession)
     for salt in range(STAR_ROUNDS + 1):
         known = if_few(roots.toDF("sig", "comp"), BROADCAST_ROWS)[0]
         apart = posts.join(known, "sig", "left").select("token", "sig", F.coalesce("comp", "sig").alias("comp"))
@@ -342,6 +343,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, majority: Callabl
         pairs = cut_narrow(_plausible(_by_list(apart, work, "a long, b long", tasks).distinct(), drawn))
         edges = cut_narrow(edges.unionByName(_verified(docs, pairs)))
         roots = cut_narrow(component_roots(edges))
+        release(df.sparkSession)  # a round leaves dozens of plans and shuffles
     nodes = cut_narrow(rows.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     classes = component_ids(nodes, roots, "sig")
     return keyed_lookup(rows.select("id", "sig"), classes, "sig", "n", rows.count()).select(F.col("id").alias(id_col), "component_id")

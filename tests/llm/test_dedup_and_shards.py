@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonolith.llm import exact_dedup, sharding, simhash
+from sonolith.llm import components, exact_dedup, sharding, simhash
 from sonolith.llm.common import keyed_lookup
 from sonolith.llm.components import component_roots
 from sonolith.llm.xxh64 import xxh64
@@ -229,3 +229,37 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in component_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + k: 1000 for k in range(40)}}
     assert component_roots(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def _brute_roots(edges):
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(low[x] != low[y] for x, y in edges if x != y):
+        for x, y in edges:
+            if x != y:
+                low[x] = low[y] = min(low[x], low[y])
+    return low
+
+
+@pytest.mark.parametrize("most", [200_000, 100])
+def test_components_in_one_task_and_in_rounds_are_the_same(spark, monkeypatch, most):
+    """Random forests and chains in shuffled order, negative nodes, repeated edges and loops; over 100 edges by rounds, then."""
+    rng = np.random.default_rng(7)
+    names = rng.permutation(rng.integers(-(2**63), 2**63 - 1, 400, dtype=np.int64)).tolist()
+    edges = [(names[i], names[i + 1]) for i in range(150)] + [(names[int(x)], names[int(y)]) for x, y in rng.integers(151, 400, (120, 2))]
+    edges += edges[:5] + [(names[3], names[3])]
+    want = _brute_roots(edges)
+    df = spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long").repartition(3)
+    monkeypatch.setattr(components, "NARROW_ROWS", most)
+    got = component_roots(df).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Rounds over a few edges were dozens of shuffles, whose plans and tasks filled the driver's memory."""
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    try:
+        assert {r.root for r in component_roots(df).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 8
